@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, language_id, mixing, packing, simhash
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op5_source_mixing": mixing.op5_source_mixing,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
