@@ -3,7 +3,8 @@
 Each source has a target number of words: a share of the total by weight, at most `max_epochs` times the source's own
 size, the excess dealt anew by weight until no source is above. A source's complete epochs take every document; what is
 left of the target is filled in order of the key -ln(u) / quality weight (the smallest keys are the weighted sample
-without replacement), prefix-summed to the budget. The document on the edge is taken if that brings the sum nearer.
+without replacement), prefix-summed to the budget. The gap before the first document that no longer fits is closed by that
+one of the rest whose size comes nearest to it, if any brings the sum nearer.
 
 No source is sorted whole. Keys fall into buckets (1,024 to an octave); bucket sums give the bucket that holds a source's
 edge, and only that bucket's rows are sorted. The result is one row per source (epochs, edge bucket, edge key), by which
@@ -86,18 +87,29 @@ def plan(rows: DataFrame, source_col: str = "source", **how) -> DataFrame:
     at = Window.partitionBy("__source").orderBy("__key", "__tie")
     near = near.withColumn("__sum", F.col("__before") + F.sum("__size").over(at.rowsBetween(Window.unboundedPreceding, -1).orderBy("__key", "__tie")))
     near = near.withColumn("__sum", F.coalesce("__sum", "__before"))
-    last = near.filter(F.col("__sum") + F.col("__size") / 2 < F.col("__left")).groupBy("__source").agg(F.max(F.struct("__key", "__tie")).alias("__last"))
-    a, b = edge.select(F.col("__source").alias("__s1"), "__edge"), last.select(F.col("__source").alias("__s2"), "__last")
+    fits = near.filter(F.col("__sum") + F.col("__size") <= F.col("__left"))
+    last = fits.groupBy("__source").agg(F.max(F.struct("__key", "__tie")).alias("__last"), F.max(F.col("__sum") + F.col("__size")).alias("__got"))
+    a, b = edge.select(F.col("__source").alias("__s1"), "__edge", "__before"), last.withColumnRenamed("__source", "__s2")
     out = goal.join(a, goal["__source"].eqNullSafe(a["__s1"]), "left").join(b, goal["__source"].eqNullSafe(b["__s2"]), "left")
-    return out.select("__source", "source_size", "target", "__epochs", "__left", "__edge", "__last")
+    gap = F.col("__left") - F.coalesce("__got", "__before")
+    out = written(out.select("__source", "source_size", "target", "__epochs", "__edge", "__last", gap.alias("__gap")), "mix-cut")
+    rest = rows.join(out.filter("__gap > 0").select("__source", "__edge", "__last", "__gap"), rows[source_col].eqNullSafe(F.col("__source"))).filter(~_inside())
+    off = F.abs(F.col("__size") - F.col("__gap"))
+    fill = rest.filter(off < F.col("__gap")).groupBy("__source").agg(F.min(F.struct(off.alias("off"), "__key", "__tie")).alias("__fill")).withColumnRenamed("__source", "__s3")
+    return out.join(fill, out["__source"].eqNullSafe(fill["__s3"]), "left").select("__source", "source_size", "target", "__epochs", "__edge", "__last", "__fill")
+
+
+def _inside() -> Column:
+    """Whether a keyed row, joined with its source's plan, is in the prefix. Without an edge complete epochs meet the target."""
+    on_edge = (F.col("__bucket") == F.col("__edge")) & F.coalesce(F.struct("__key", "__tie") <= F.col("__last"), F.lit(False))
+    return F.coalesce((F.col("__bucket") < F.col("__edge")) | on_edge, F.lit(False))
 
 
 def decided(rows: DataFrame, goals: DataFrame, source_col: str = "source") -> DataFrame:
     """rows (keyed) with source_size, target, __times: how often each row is taken."""
     df = rows.join(goals, rows[source_col].eqNullSafe(goals["__source"]))
-    inside = (F.col("__bucket") < F.col("__edge")) | ((F.col("__bucket") == F.col("__edge")) & F.coalesce(F.struct("__key", "__tie") <= F.col("__last"), F.lit(False)))
-    # without an edge the target is met by complete epochs
-    return df.withColumn("__times", F.col("__epochs") + F.coalesce(inside, F.lit(False)).cast("long"))
+    fills = F.coalesce((F.col("__key") == F.col("__fill.__key")) & (F.col("__tie") == F.col("__fill.__tie")), F.lit(False))
+    return df.withColumn("__times", F.col("__epochs") + (_inside() | fills).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: int = SEED, **how) -> DataFrame:

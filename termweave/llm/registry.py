@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, simhash
+from . import exact_dedup, language_id, mixing, packing, secrets, simhash
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
