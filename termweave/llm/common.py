@@ -68,6 +68,25 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+#: log2 of a key bitmap's bits: 2^20 bits, 16,384 rows of 64, 128 KB, whatever the input's size.
+FILTER_BITS = 20
+
+
+def key_bitmap(keys: DataFrame, hashed: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """A bitmap of a hash (long) over keys: (__word, __bits), 2^bits / 64 rows at most."""
+    slot = F.shiftrightunsigned(hashed, 64 - bits)
+    held = keys.select(F.shiftright(slot, 6).alias("__word"), (slot % 64).cast("int").alias("__bit"))
+    return held.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+
+
+def with_hit(df: DataFrame, hashed: Column, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """df with __hit: whether the bitmap has the hash (some false, never missing). The bitmap's bound is proven: broadcast."""
+    slot = F.shiftrightunsigned(hashed, 64 - bits)
+    df = df.withColumn("__word", F.shiftright(slot, 6)).withColumn("__bit", (slot % 64).cast("int"))
+    df = df.join(F.broadcast(bitmap), "__word", "left")
+    return df.withColumn("__hit", F.coalesce(F.expr("shiftrightunsigned(__bits, __bit) & 1L"), F.lit(0)) == 1).drop("__word", "__bit", "__bits")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet, compared without case."""
     taken = {c.lower() for c in df.columns}

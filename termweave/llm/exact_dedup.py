@@ -16,10 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import FILTER_BITS, free_name, key_bitmap, with_hit, written
 
-#: log2 of the bitmap's bits: 2^20 bits, 16,384 rows of 64, 128 KB, whatever the input's size.
-FILTER_BITS = 20
 PREFIX_CHARS = 256
 
 
@@ -40,15 +38,10 @@ def _candidates(docs: DataFrame, text: str, prefix_chars: int, filter_bits: int)
     keys = written(_keyed(docs.select(text), text, prefix_chars).groupBy("__len", "__prefix").agg(F.count("*").alias("n")), "dedup-keys")
     lengths = keys.groupBy("__len").agg(F.sum("n").alias("n_len")).filter("n_len > 1").select("__len")
     left = keys.filter("n > 1").join(lengths, "__len", "left_semi")
-    slot = F.shiftrightunsigned(F.xxhash64("__len", "__prefix"), 64 - filter_bits)
-    word, bit = F.shiftright(slot, 6), (slot % 64).cast("int")
-    one = F.expr("shiftleft(1L, __bit)")
-    bitmap = left.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or(one).alias("__bits"))
-    # round 3: the full hash, only where the bitmap has the row's key; at most 2^filter_bits / 64 rows are broadcast
-    df = _keyed(docs, text, prefix_chars).withColumn("__word", word).withColumn("__bit", bit)
-    df = df.join(F.broadcast(bitmap), "__word", "left")
-    hit = F.coalesce(F.expr("shiftrightunsigned(__bits, __bit) & 1L"), F.lit(0)) == 1
-    return df.withColumn("__full", F.when(hit, F.sha2("__norm", 256))).drop("__word", "__bit", "__bits", "__len", "__prefix")
+    key = F.xxhash64("__len", "__prefix")
+    # round 3: the full hash, only where the bitmap has the row's key
+    df = with_hit(_keyed(docs, text, prefix_chars), key, key_bitmap(left, key, filter_bits), filter_bits)
+    return df.withColumn("__full", F.when(F.col("__hit"), F.sha2("__norm", 256))).drop("__hit", "__len", "__prefix")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
