@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language_id, mixing, packing, secrets, simhash
+from . import chat, exact_dedup, language_id, mixing, packing, secrets, simhash, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_warc": warc.op6_warc,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_chat_formatting": chat.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
