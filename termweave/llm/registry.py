@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language_id, mixing, packing, secrets, simhash, warc
+from . import chat, exact_dedup, language_id, mixing, packing, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_quality_mil": quality.op9_quality_mil,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
