@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language_id, mixing, packing, quality, secrets, simhash, warc
+from . import chat, exact_dedup, kdtree, language_id, mixing, packing, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_exact_topk": kdtree.op3_exact_topk,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_warc": warc.op6_warc,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_exact_topk": kdtree.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
