@@ -40,6 +40,8 @@ CACHE_CHUNKS = 300_000
 #: Bytes of text that are split into chunks at once.
 RUN_BYTES = 2_000_000
 BLOCK_ROWS = 50_000
+#: Bytes of ids that a task of pack() holds to pack them together.
+BLOCK_BYTES = 32_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -305,22 +307,42 @@ def assign(rows: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_RO
     return packed.unionByName(full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long")))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """Sequences: sequence_id, offset, id_col, piece, start, length, ids; one row per piece, in no order."""
-    cut = written(pieces(docs, id_col, text_col, capacity, path=path), "pieces")
-    keys = cut.select(id_col, "piece", "start", "length", F.xxhash64("ids").alias("__mark")).withColumn("__row", F.monotonically_increasing_id())
-    placed = assign(written(keys, "piece-lengths"), capacity)
-    n = placed.select(F.col(id_col).alias("__id"), F.col("piece").alias("__piece"), "__mark", "sequence_id", "offset", _nth(id_col, "piece").alias("__nth"))
-    cut = cut.withColumn("__mark", F.xxhash64("ids")).withColumn("__nth", _nth(id_col, "piece"))
-    same = cut[id_col].eqNullSafe(n["__id"]) & (cut["piece"] == n["__piece"]) & (cut["__mark"] == n["__mark"]) & (cut["__nth"] == n["__nth"])
-    return cut.join(n, same).select("sequence_id", "offset", id_col, "piece", "start", "length", "ids")
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Sequences with their ids: sequence_id, offset, id_col, piece, start, length, ids; one row per piece.
 
+    Tokenises and packs in one pass without a shuffle: each task packs what it has tokenised in blocks of some
+    block_bytes of ids, so that at most one sequence a block stays short for want of pieces.
+    """
+    cut = pieces(docs, id_col, text_col, capacity, path=path)
+    names = [*cut.columns, "sequence_id", "offset"]
 
-def _nth(id_col: str, piece: str):
-    """Tells repeated rows apart."""
-    from pyspark.sql import Window
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    return F.row_number().over(Window.partitionBy(id_col, piece, "__mark").orderBy(F.lit(0)))
+        first = TaskContext.get().partitionId() << 33
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("ids").nbytes
+            if size >= block_bytes:
+                for out, used in settled(held, first):
+                    yield out
+                first, held, size = first + used, [], 0
+        if held:
+            for out, _ in settled(held, first):
+                yield out
+
+    def settled(held: list[pa.RecordBatch], first: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+        sizes = np.concatenate([b.column("length").to_numpy() for b in held])
+        bin_of, offset = pack_lengths(sizes, capacity)
+        used, at = int(bin_of.max()) + 1 if len(bin_of) else 0, 0
+        for b in held:
+            part = slice(at, at + b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bin_of[part] + first), pa.array(offset[part])], names=names), used
+            at += b.num_rows
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
+    return cut.mapInArrow(run, schema).select("sequence_id", "offset", id_col, "piece", "start", "length", "ids")
 
 
 # ---- query -------------------------------------------------------------------------------------------------------
