@@ -16,6 +16,7 @@ extra columns pass.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,8 +33,12 @@ MAX_LANGS = 200
 #: Entries in all; each language and kind gets an equal share of them.
 MAX_ENTRIES = 240_000
 MAX_N = 5
-CACHE_CHUNKS = 150_000
+#: Chunks in a generation of the cache, and bytes of text that are split at once.
+CACHE_CHUNKS = 300_000
+RUN_BYTES = 2_000_000
 _LETTERS = regex.compile(r"\p{L}+")
+#: One word and ASCII marks after it, the common chunk.
+_PLAIN = re.compile(r"([A-Za-z]+)[!-@\[-`{-~]*")
 
 
 def words(text: str) -> list[str]:
@@ -46,55 +51,55 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """tables[0]: words, tables[n]: n-grams, each entry -> row of log10 relative frequencies by language."""
+    """tables[0]: words, tables[n]: n-grams, each entry -> its row of log10 relative frequencies by language."""
 
     def __init__(self, langs: list[str], counts: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
         self.langs = sorted(langs)
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_N + 1)]
+        self.tables: list[dict[str, int]] = [{} for _ in range(MAX_N + 1)]
         # what a language lacks: as if seen a tenth of a time
-        self.floor = np.array([[np.log10(0.1 / max(1, totals.get((lang, k), 1))) for lang in self.langs] for k in range(MAX_N + 1)], np.float32)
+        floor = np.array([[np.log10(0.1 / max(1, totals.get((lang, k), 1))) for lang in self.langs] for k in range(MAX_N + 1)], np.float32).reshape(MAX_N + 1, len(self.langs))
+        rows = [floor[1]]  # row 0: nothing is known
         for lang, k, entry, n in counts:
-            row = self.tables[k].get(entry)
-            if row is None:
-                row = self.tables[k][entry] = self.floor[k].copy()
-            row[at[lang]] = np.log10(n / totals[lang, k])
-
-    def word(self, w: str) -> np.ndarray:
-        if (row := self.tables[0].get(w)) is not None:
-            return row
-        for n in range(min(MAX_N, len(w) + 2), 0, -1):
-            table = self.tables[n]
-            known = [table[g] for g in grams(w, n) if g in table]
-            if known:
-                return np.mean(known, axis=0)
-        return self.floor[1]
+            if (i := self.tables[k].get(entry)) is None:
+                i = self.tables[k][entry] = len(rows)
+                rows.append(floor[k].copy())
+            rows[i][at[lang]] = np.log10(n / totals[lang, k])
+        self.rows = np.stack(rows)
+
+    def entries(self, w: str) -> list[int]:
+        """The rows whose mean scores a word: its own, or those of its longest known n-grams."""
+        if (i := self.tables[0].get(w)) is not None:
+            return [i]
+        s = f" {w} "
+        for n in range(min(MAX_N, len(s)), 0, -1):
+            get = self.tables[n].get
+            if found := [i for a in range(len(s) - n + 1) if (i := get(s[a : a + n])) is not None]:
+                return found
+        return [0]
 
 
 class Scorer:
-    """Scores texts; keeps the scores of chunks between ASCII white space in a bounded cache of two generations."""
+    """Scores texts, by chunks between ASCII white space; keeps those in a bounded cache of two generations."""
 
     def __init__(self, model: Model, cache: int = CACHE_CHUNKS):
-        self.model, self.cache = model, cache
-        self.width = len(model.langs)
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.rows = np.zeros((2 * self.cache, self.width + 1), np.float32)
-
-    def __call__(self, text: bytes) -> tuple[str, float]:
-        chunks = text.split()
-        total = np.zeros(self.width + 1)
-        for lo in range(0, len(chunks), self.cache):
-            some = chunks[lo : lo + self.cache]
-            new = {c for c in some if c not in self.at}
-            if len(self.at) + len(new) > len(self.rows):
-                self._turn()
-                new = {c for c in some if c not in self.at}
-            for c in new:
-                self._learn(c)
-            total += self.rows[list(map(self.at.__getitem__, some))].sum(axis=0, dtype=np.float64)
+        self.model, self.width = model, len(model.langs)
+        self.cache = min(cache, 60_000_000 // (4 * (self.width + 1)))
+        self.young, self.old = {}, {}
+        self.rows = self.old_rows = np.zeros((0, self.width + 1), np.float32)
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        split = [t.split() for t in texts]
+        self._prepare(set().union(*split))
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        total = np.zeros((len(texts), self.width + 1))
+        get = self.young.__getitem__
+        for i, chunks in enumerate(split):
+            if size[i]:
+                total[i] = self.rows[list(map(get, chunks))].sum(axis=0, dtype=np.float64)
+        return [self._told(row) for row in total]
+
+    def _told(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1] or not self.width:
             return "und", 0.0
         mean = total[:-1] / total[-1] * np.log(10)
@@ -102,22 +107,55 @@ class Scorer:
         best = int(p.argmax())
         return self.model.langs[best], float(p[best] / p.sum())
 
-    def _learn(self, chunk: bytes) -> None:
-        row = self.rows[len(self.at)]
-        found = words(chunk.decode("utf-8", "replace"))
-        row[:] = 0
-        for w in found:
-            row[:-1] += self.model.word(w)
-        row[-1] = len(found)
-        self.at[chunk] = len(self.at)
-
-    def _turn(self) -> None:
-        """Keeps the younger half."""
-        young = list(self.at)[len(self.at) - self.cache :] if len(self.at) > self.cache else list(self.at)
-        young = young[-self.cache // 2 :]
-        rows = self.rows[[self.at[c] for c in young]]
-        self.at = {c: i for i, c in enumerate(young)}
-        self.rows[: len(young)] = rows
+    def _prepare(self, seen: set[bytes]) -> None:
+        """Puts every chunk seen into the young generation."""
+        new = seen.difference(self.young)
+        if len(self.young) + len(new) > len(self.rows):
+            self.old, self.old_rows = self.young, self.rows
+            self.young, new = {}, seen
+            self.rows = np.zeros((max(self.cache, len(seen)), self.width + 1), np.float32)
+        back = [c for c in new if c in self.old]
+        fresh = [c for c in new if c not in self.old]
+        n = len(self.young)
+        if back:
+            self.rows[n : n + len(back)] = self.old_rows[[self.old[c] for c in back]]
+        if fresh:
+            self.rows[n + len(back) : n + len(new)] = self._scores(fresh)
+        self.young.update(zip(back + fresh, range(n, n + len(new)), strict=True))
+
+    def _scores(self, chunks: list[bytes]) -> np.ndarray:
+        flat: list[int] = []
+        of_word, of_chunk, held = [], [], []
+        entries, match = self.model.entries, _PLAIN.fullmatch
+        for i, c in enumerate(chunks):
+            s = c.decode("utf-8", "replace")
+            found = (m[1].lower(),) if (m := match(s)) else words(s)
+            if found:
+                held.append(i)
+                of_chunk.append(len(of_word))
+                for w in found:
+                    of_word.append(len(flat))
+                    flat += entries(w)
+        out = np.zeros((len(chunks), self.width + 1), np.float32)
+        if held:
+            each = np.diff(np.append(of_word, len(flat)))[:, None]
+            by_word = np.add.reduceat(self.model.rows[flat], of_word, axis=0) / each
+            out[held, :-1] = np.add.reduceat(by_word, of_chunk, axis=0)
+            out[held, -1] = np.diff(np.append(of_chunk, len(of_word)))
+        return out
+
+
+def scored(score: Scorer, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Languages and scores, by runs of some MB."""
+    found, run, held = [], [], 0
+    for t in texts:
+        run.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
+        held += len(run[-1])
+        if held > RUN_BYTES:
+            found += score(run)
+            run, held = [], 0
+    found += score(run) if run else []
+    return pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, docs_per_lang: int = DOCS_PER_LANG, max_entries: int = MAX_ENTRIES) -> Model:
@@ -161,8 +199,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(sent.value)
         for batch in batches:
-            found = [score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), *scored(score, batch.column(text_col))], names=[*cols, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
     return docs.select(*cols, *[text_col] * (text_col not in cols)).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in cols) + "lang_pred string, score double")
