@@ -62,7 +62,7 @@ def review_rows(df: DataFrame, query_id: str = "query_id", name_col: str = "sour
         else:
             out[c] = F.lit(default).cast(kind)
     out["sourceName"] = F.coalesce(has(name_col), has("sourceName"), F.concat(F.lit("Query "), n.cast("string")))
-    out["sourceCode"] = F.coalesce(has(code_col), has("sourceCode"), F.concat(F.lit("ROW_"), F.lpad(n.cast("string"), 5, "0")))
+    out["sourceCode"] = F.coalesce(has(code_col), has("sourceCode"), F.concat(F.lit("ROW_"), F.when(n < 100_000, F.lpad(n.cast("string"), 5, "0")).otherwise(n.cast("string"))))
     out["mappingStatus"] = F.coalesce(_text(out["mappingStatus"]), F.lit("UNCHECKED"))
     out["matchScore"] = F.coalesce(out["matchScore"], F.lit(0.0))
     rest = [c for c in df.columns if c not in COLUMNS and c != query_id]
