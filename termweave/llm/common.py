@@ -57,6 +57,18 @@ def as_long(h: Column) -> Column:
     return h.cast("long")
 
 
+#: Rows that go to Python at once, where rows are whole texts; Spark's own default would hold ten times as many.
+TEXT_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lowers the session's Arrow batch to rows, if it is larger: it bounds the memory of Python workers that read texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """f over each Arrow batch."""
 

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, id_hash
+from .common import bounded_batches, free_name, id_hash
 
 DOCS_PER_LANG = 1500
 MAX_LANGS = 200
@@ -34,7 +34,7 @@ MAX_LANGS = 200
 MAX_ENTRIES = 240_000
 MAX_N = 5
 #: Chunks in a generation of the cache, and bytes of text that are split at once.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 120_000
 RUN_BYTES = 2_000_000
 _LETTERS = regex.compile(r"\p{L}+")
 #: One word and ASCII marks after it, the common chunk.
@@ -191,27 +191,27 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
     return Model([r["lang"] for r in sizes], list(zip(lang, k, entry, n, strict=True)), dict(zip(zip(lang, k, strict=True), total, strict=True)))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
-    """docs with lang_pred string, score double. carry: the columns to return (all, if None)."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with lang string, score double. Only texts go to Python, and only languages and scores come back."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_entries entries
-    cols = list(docs.columns if carry is None else carry)
+    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(sent.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), *scored(score, batch.column(text_col))], names=[*cols, "lang_pred", "score"])
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(sent.value)
+        for batch in texts:
+            yield pa.StructArray.from_arrays(scored(scorer, batch), names=["lang", "score"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*cols, *[text_col] * (text_col not in cols)).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in cols) + "lang_pred string, score double")
+    out = free_name(docs, "__told")
+    return docs.withColumn(out, told(F.col(text_col))).withColumns({lang: F.col(f"{out}.lang"), score: F.col(f"{out}.score")}).drop(out)
 
 
 def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_score: float = 0.4) -> DataFrame:
     """docs without the texts that have no letter or whose language stays open (a score below min_score)."""
     model = fit(docs, text_col, lang_col)
-    names = [free_name(docs, "lang_pred"), free_name(docs, "score")]
-    found = predict(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), model, f"c{docs.columns.index(text_col)}")
-    found = found.toDF(*docs.columns, *names)
-    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= min_score)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = predict(docs, model, text_col, lang, score)
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= min_score)).select(*docs.columns)
 
 
 # ---- query -------------------------------------------------------------------------------------------------------
@@ -221,4 +221,4 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held = F.pmod(id_hash("doc_id"), F.lit(4)) == 2
     model = fit(docs.filter(~held), key=F.xxhash64("doc_id"))
-    return predict(docs.withColumn("held_out", held), model, carry=("doc_id", "held_out"))
+    return predict(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "lang_pred", "score")
