@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import key_bitmap, map_batches, with_hit, written
 from .components import components
 
 SEED = 42
@@ -393,11 +393,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     mark = F.xxhash64(text_col)
     own = written(fingerprints(docs.withColumn("__mark", mark), id_col, text_col, words, ("__mark",)), "fingerprints")
-    found = classes(own, id_col, radius)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), "__mark").distinct()
-    rows = docs.withColumn("__mark", mark)
-    out = rows.join(kept, (rows["__mark"] == kept["__mark"]) & rows[id_col].eqNullSafe(kept["__id"]), "left_semi")
-    return out.dropDuplicates([id_col, "__mark"]).drop("__mark")
+    keys = classes(own, id_col, radius).groupBy(F.col(id_col).alias("__id"), F.col("__mark").alias("__of")).agg(F.count("*").alias("__n"), F.first("component_id").alias("__root"))
+    keys = written(keys.withColumn("__stays", F.col("__id").eqNullSafe(F.col("__root"))), "near-duplicate-keys")
+    # rows that surely stay are told by a bitmap of fixed size; only the rest are shuffled
+    key = lambda i, m: F.xxhash64(F.coalesce(i.cast("string"), F.lit("null")), m)
+    unsure = keys.filter("not __stays or __n > 1")
+    bitmap = key_bitmap(unsure, key(F.col("__id"), F.col("__of")))
+    rows = with_hit(docs.withColumn("__mark", mark), key(F.col(id_col), F.col("__mark")), bitmap)
+    stays = keys.filter("__stays").select("__id", "__of")
+    rest = rows.filter("__hit").join(stays, (F.col("__mark") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, "__mark"])
+    return rows.filter("not __hit").unionByName(rest).select(*docs.columns)
 
 
 # ---- query -------------------------------------------------------------------------------------------------------
