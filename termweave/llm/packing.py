@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a generation of each cache: chunks, words, tails.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 #: Bytes of text that are split into chunks at once.
 RUN_BYTES = 2_000_000
 BLOCK_ROWS = 50_000
@@ -145,6 +145,7 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """(id_col, piece int, start long, length long, ids binary: little-endian unsigned 32 bits)."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     end = np.array([end_id], "<u4").tobytes()
     width = 4 * capacity

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash
+from .common import bounded_batches, id_hash
 
 PASSAGE_WORDS = 50
 MAX_DOCS = 4000
@@ -188,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
     """docs with score double. carry: the columns to return (all, if None)."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     cols = list(docs.columns if carry is None else carry)
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, map_batches, with_hit, written
+from .common import bounded_batches, key_bitmap, map_batches, with_hit, written
 from .components import components
 
 SEED = 42
@@ -74,6 +74,7 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, carry, fp long), one row per row."""
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, *carry))
+    bounded_batches(docs.sparkSession)
     src = docs.select(id_col, *carry, F.col(text_col).cast("binary").alias("__text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
