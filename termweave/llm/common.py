@@ -99,6 +99,18 @@ def with_hit(df: DataFrame, hashed: Column, bitmap: DataFrame, bits: int = FILTE
     return df.withColumn("__hit", F.coalesce(F.expr("shiftrightunsigned(__bits, __bit) & 1L"), F.lit(0)) == 1).drop("__word", "__bit", "__bits")
 
 
+def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """df under column names c0, c1, ..., those of `names`, and the way back.
+
+    Helper columns (all start with two underscores) then cannot clash with the input's, whatever those are called.
+    """
+    cols = df.columns
+    plain = [f"c{i}" for i in range(len(cols))]
+    lower = [c.lower() for c in cols]
+    found = [plain[cols.index(n) if n in cols else lower.index(n.lower())] for n in names]
+    return df.toDF(*plain), found, lambda out: out.select(*plain).toDF(*cols)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet, compared without case."""
     taken = {c.lower() for c in df.columns}

@@ -8,15 +8,16 @@ Equality ends at SHA-256 of the whole normalised text.
 
 Of equal texts the row with the most code points in its original text stays, then the smallest id (null last). Repeated
 rows (same id and text) are members of the group like others, and one of them stays. An empty table gives an empty one;
-extra columns pass through, and helper columns take names that the input does not have.
+extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .common import FILTER_BITS, free_name, key_bitmap, with_hit, written
+from .common import FILTER_BITS, key_bitmap, shielded, with_hit, written
 
 PREFIX_CHARS = 256
 
@@ -72,19 +73,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _descending(c, kind):
+    """Numbers by size, other ids as they are."""
+    return -c if isinstance(kind, NumericType) else c
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs, with the row that stays of each group, all columns as they were.
 
     Rows that refinement shows to be alone pass without a shuffle; of the others, a map-side aggregate sends on the best
     row of each group and task, so that a group of any size shuffles one row a task.
     """
+    docs, (id_col, text_col), back = shielded(docs, id_col, text_col)
     rows = _candidates(docs, text_col, prefix_chars, filter_bits)
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    order = F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), F.col(id_col).isNotNull().alias("n"), (-F.col(id_col)).alias("i"))
+    order = F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), F.col(id_col).isNotNull().alias("n"), _descending(F.col(id_col), docs.schema[id_col].dataType).alias("i"))
     alone = rows.filter("__full is null").select(*docs.columns)
-    best = free_name(docs, "__best")
-    rest = rows.filter("__full is not null").groupBy("__full").agg(F.max_by(whole, order).alias(best)).select(f"{best}.*")
-    return alone.unionByName(rest)
+    rest = rows.filter("__full is not null").groupBy("__full").agg(F.max_by(whole, order).alias("__best")).select("__best.*")
+    return back(alone.unionByName(rest))
 
 
 # ---- query -------------------------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, shielded, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -114,11 +114,15 @@ def decided(rows: DataFrame, goals: DataFrame, source_col: str = "source") -> Da
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: int = SEED, **how) -> DataFrame:
     """docs, each row as often as the mix takes it."""
-    rows = keyed(docs, id_col, text_col, weight, seed)
+    docs = docs if weight is None else docs.withColumn("__given", weight)
+    given = docs.columns[-1] if weight is not None else source_col
+    docs, (id_col, text_col, source_col, given), back = shielded(docs, id_col, text_col, source_col, given)
+    rows = keyed(docs, id_col, text_col, None if weight is None else F.col(given), seed)
     skinny = written(rows.select(source_col, "__size", "__key", "__tie", "__bucket"), "mix-keys")
     goals = written(plan(skinny, source_col, **how), "mix-plan")
     out = decided(rows, goals, source_col).filter("__times > 0")
-    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    out = back(out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))))
+    return out if weight is None else out.drop("__given")
 
 
 # ---- query -------------------------------------------------------------------------------------------------------

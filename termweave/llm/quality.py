@@ -186,28 +186,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(bags, y, np.array([n[int(k)] / total * len(y) / have[int(k)] for k in y]))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
-    """docs with score double. carry: the columns to return (all, if None)."""
-    bounded_batches(docs.sparkSession)
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with a score, double; a column of that name is replaced. Only texts go to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
-    cols = list(docs.columns if carry is None else carry)
+    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            out, bags, held = [], [], 0
-            for t in batch.column(text_col):
+    @F.arrow_udf("double")
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            done, bags, held = [], [], 0
+            for t in batch:
                 bags.append(passages(t.as_buffer().to_pybytes() if t.is_valid else b""))
                 held += len(bags[-1])
                 if held > 2000:
-                    out.append(m.scores(bags))
+                    done.append(sent.value.scores(bags))
                     bags, held = [], 0
             if bags:
-                out.append(m.scores(bags))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*cols, "score"])
+                done.append(sent.value.scores(bags))
+            yield pa.array(np.concatenate(done) if done else np.zeros(0))
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*cols, *[text_col] * (text_col not in cols)).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in cols) + "score double")
+    return docs.withColumn(out, told(F.col(text_col)))
 
 
 # ---- query -------------------------------------------------------------------------------------------------------
@@ -218,5 +216,5 @@ def op9_quality_mil(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     held = F.pmod(id_hash("doc_id"), F.lit(5)) == 0
     model = fit(docs, labels, keep=~held)
-    out = score(docs.withColumn("held_out", held), model, carry=("doc_id", "held_out"))
+    out = score(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "score")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

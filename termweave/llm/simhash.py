@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, key_bitmap, map_batches, with_hit, written
+from .common import bounded_batches, key_bitmap, map_batches, shielded, with_hit, written
 from .components import components
 
 SEED = 42
@@ -392,6 +392,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without an id stay if no row of their component has one.
     """
+    docs, (id_col, text_col), back = shielded(docs, id_col, text_col)
     mark = F.xxhash64(text_col)
     own = written(fingerprints(docs.withColumn("__mark", mark), id_col, text_col, words, ("__mark",)), "fingerprints")
     keys = classes(own, id_col, radius).groupBy(F.col(id_col).alias("__id"), F.col("__mark").alias("__of")).agg(F.count("*").alias("__n"), F.first("component_id").alias("__root"))
@@ -403,7 +404,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = with_hit(docs.withColumn("__mark", mark), key(F.col(id_col), F.col("__mark")), bitmap)
     stays = keys.filter("__stays").select("__id", "__of")
     rest = rows.filter("__hit").join(stays, (F.col("__mark") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, "__mark"])
-    return rows.filter("not __hit").unionByName(rest).select(*docs.columns)
+    return back(rows.filter("not __hit").unionByName(rest))
 
 
 # ---- query -------------------------------------------------------------------------------------------------------
