@@ -114,6 +114,8 @@ def map_terms(spark: SparkSession, sheet: DataFrame, index: DataFrame, vector_co
         df = ranking.enriched(df, queries, mode=o.post_mode, weight=o.post_weight, w_strength=o.w_strength, w_text=o.w_text, w_brand=o.w_brand, minmax_within_query=o.minmax, eps=o.tiebreak_eps, topn=o.tiebreak_topn, brand_strict=o.brand_strict)
     else:
         df = ranking.plain(df)
+    if "final_score" not in df.columns:  # features without a relevance to blend with
+        df = df.withColumn("final_score", F.lit(None).cast("double"))
     if ancestors is not None and concepts is not None and {"atc_ids", "atc_codes"} & set(sheet.columns):
         scopes = scope.scope_ids(queries, concepts)
         df = scope.scoped_first(df, scope.allowlist(scopes, ancestors, concepts, most=o.scope_most))
