@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, id_hash
+from .common import bounded_batches, free_name, id_hash, tidy
 
 DOCS_PER_LANG = 1500
 MAX_LANGS = 200
@@ -198,6 +198,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(run)(texts)
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for batch in texts:
             yield pa.StructArray.from_arrays(scored(scorer, batch), names=["lang", "score"])

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, key_bitmap, map_batches, shielded, with_hit, written
+from .common import bounded_batches, key_bitmap, map_batches, shielded, tidy, with_hit, written
 from .components import components
 
 SEED = 42
@@ -114,7 +114,7 @@ def bit_agreement(fps: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(i * 64 + j), pa.array(total[i, j].astype(np.int64))], names=["k", "n"])
 
     out = np.zeros(4096)
-    for k, n in fps.select("fp").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for k, n in fps.select("fp").mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         out[k] = n
     return out.reshape(64, 64)
 
@@ -148,7 +148,7 @@ def byte_counts(fps: DataFrame, order: list[int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
 
     out = np.zeros(2048)
-    for k, n in fps.select("fp").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for k, n in fps.select("fp").mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         out[k] = n
     return out.reshape(8, 256)
 
@@ -243,7 +243,7 @@ def best_plan(fps: DataFrame, radius: int = RADIUS) -> Plan:
                 total[m] += float(plan.thresholds(x)[1].sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()))], names=["m", "cost"])
 
-    sums = {m: c for m, c in fps.select("fp").mapInArrow(run, "m long, cost double").groupBy("m").agg(F.sum("cost")).collect()}
+    sums = {m: c for m, c in fps.select("fp").mapInArrow(tidy(run), "m long, cost double").groupBy("m").agg(F.sum("cost")).collect()}
     return min(plans.values(), key=lambda p: (sums.get(p.m, 0.0), p.m))
 
 
@@ -274,7 +274,7 @@ def probes(fps: DataFrame, plan: Plan) -> DataFrame:
         n = len(fp)
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(value.view(np.int64)), pa.array(fp), pa.array(np.full(n, probe))], names=["part", "value", "fp", "probe"])
 
-    return fps.select("fp").mapInArrow(run, "part int, value long, fp long, probe boolean")
+    return fps.select("fp").mapInArrow(tidy(run), "part int, value long, fp long, probe boolean")
 
 
 def _spanning(q: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,7 +367,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS,
         F.explode(F.when(F.col("probe"), F.transform(every("kx"), lambda x: F.struct(slot("kq", 1).alias("qb"), x.alias("xb")))).otherwise(F.transform(every("kq"), lambda x: F.struct(x.alias("qb"), slot("kx", 2).alias("xb"))))).alias("at"),
     ).select("part", "value", "at.qb", "at.xb", "fp", "probe")
     rows = rows.repartition("part", "value", "qb", "xb").sortWithinPartitions("part", "value", "qb", "xb", "probe")
-    return rows.mapInArrow(_verify(radius), "a long, b long")
+    return rows.mapInArrow(tidy(_verify(radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
