@@ -30,18 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, tidy, written
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a generation of each cache: chunks, words, tails.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 120_000
 #: Bytes of text that are split into chunks at once.
 RUN_BYTES = 2_000_000
 BLOCK_ROWS = 50_000
 #: Bytes of ids that a task of pack() holds to pack them together.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -145,47 +145,48 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """(id_col, piece int, start long, length long, ids binary: little-endian unsigned 32 bits)."""
     path = path or tokenizer_path()
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = _texts(docs, id_col, text_col).mapInArrow(tidy(lambda batches: _cut(batches, path, capacity, end_id)), f"id {kind}, piece int, start long, length long, ids binary")
+    return out.withColumnRenamed("id", id_col)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
-    width = 4 * capacity
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            row, piece, start, size, ids = [], [], [], [], []
-            held = 0
-            for k, all_ids in encoded(enc, batch.column("text")):
-                for p, at in enumerate(range(0, len(all_ids), width)):
-                    part = all_ids[at : at + width] if len(all_ids) > width else all_ids
-                    row.append(k)
-                    piece.append(p)
-                    start.append(at // 4)
-                    size.append(len(part) // 4)
-                    ids.append(part)
-                    held += len(part)
-                if held > 32_000_000:
-                    yield made(batch, row, piece, start, size, ids)
-                    row, piece, start, size, ids, held = [], [], [], [], [], 0
-            if row:
-                yield made(batch, row, piece, start, size, ids)
-
-    def encoded(enc: Encoder, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+
+def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """(id, piece, start, length, ids) of batches of (id, text)."""
+    enc, end, width = encoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+    names = ["id", "piece", "start", "length", "ids"]
+
+    def encoded(texts: pa.Array) -> Iterator[tuple[int, bytes]]:
         """By runs of some MB: what a run lacks is asked of the tokenizer at once."""
-        first, run_, held = 0, [], 0
+        first, run, held = 0, [], 0
         for k in range(len(texts)):
-            run_.append(texts[k].as_py() or b"")
-            held += len(run_[-1])
+            run.append(texts[k].as_py() or b"")
+            held += len(run[-1])
             if held > RUN_BYTES or k + 1 == len(texts):
-                for j, ids in enumerate(enc.encode(run_)):
+                for j, ids in enumerate(enc.encode(run)):
                     yield first + j, ids + end
-                first, run_, held = k + 1, [], 0
-
-    def made(batch, row, piece, start, size, ids):
-        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], names=["id", "piece", "start", "length", "ids"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+                first, run, held = k + 1, [], 0
+
+    def made(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        row, piece, start, length, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())], names=names)
+
+    for batch in batches:
+        rows, held = [], 0
+        for k, ids in encoded(batch.column("text")):
+            for p, at in enumerate(range(0, len(ids), width)):
+                part = ids[at : at + width] if len(ids) > width else ids
+                rows.append((k, p, at // 4, len(part) // 4, part))
+                held += len(part)
+            if held > 8_000_000:
+                yield made(batch.column("id"), rows)
+                rows, held = [], 0
+        if rows:
+            yield made(batch.column("id"), rows)
 
 
 # ---- bins --------------------------------------------------------------------------------------------------------
@@ -308,30 +309,30 @@ def assign(rows: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_RO
     return packed.unionByName(full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long")))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Sequences with their ids: sequence_id, offset, id_col, piece, start, length, ids; one row per piece.
 
     Tokenises and packs in one pass without a shuffle: each task packs what it has tokenised in blocks of some
     block_bytes of ids, so that at most one sequence a block stays short for want of pieces.
     """
-    cut = pieces(docs, id_col, text_col, capacity, path=path)
-    names = [*cut.columns, "sequence_id", "offset"]
+    path = path or tokenizer_path()
+    names = ["id", "piece", "start", "length", "ids", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
         held, size = [], 0
-        for batch in batches:
+        for batch in _cut(batches, path, capacity, end_id):
             held.append(batch)
             size += batch.column("ids").nbytes
             if size >= block_bytes:
+                used = 0
                 for out, used in settled(held, first):
                     yield out
                 first, held, size = first + used, [], 0
-        if held:
-            for out, _ in settled(held, first):
-                yield out
+        for out, _ in settled(held, first) if held else ():
+            yield out
 
     def settled(held: list[pa.RecordBatch], first: int) -> Iterator[tuple[pa.RecordBatch, int]]:
         sizes = np.concatenate([b.column("length").to_numpy() for b in held])
@@ -342,8 +343,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bin_of[part] + first), pa.array(offset[part])], names=names), used
             at += b.num_rows
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
-    return cut.mapInArrow(run, schema).select("sequence_id", "offset", id_col, "piece", "start", "length", "ids")
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = _texts(docs, id_col, text_col).mapInArrow(tidy(run), f"id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return out.select("sequence_id", "offset", F.col("id").alias(id_col), "piece", "start", "length", "ids")
 
 
 # ---- query -------------------------------------------------------------------------------------------------------
