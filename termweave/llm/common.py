@@ -114,6 +114,23 @@ def with_hit(df: DataFrame, hashed: Column, bitmap: DataFrame, bits: int = FILTE
     return df.withColumn("__hit", F.coalesce(F.expr("shiftrightunsigned(__bits, __bit) & 1L"), F.lit(0)) == 1).drop("__word", "__bit", "__bits")
 
 
+#: A group is hot if it has more than this share of the rows: there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 1000
+
+
+def split_hot(groups: DataFrame, size: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """groups whose size is above HOT_SHARE of rows, marked for broadcast (their number is bounded), and the others."""
+    least = max(1.0, rows * HOT_SHARE)
+    return F.broadcast(groups.filter(F.col(size) > least)), groups.filter(F.col(size) <= least)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined with groups (one row a key, with the group's size in rows), the hot groups apart and without a shuffle."""
+    hot, cold = split_hot(groups, size, total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+
+
 def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
     """df under column names c0, c1, ..., those of `names`, and the way back.
 

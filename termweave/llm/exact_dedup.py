@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import FILTER_BITS, key_bitmap, shielded, with_hit, written
+from .common import FILTER_BITS, join_groups, key_bitmap, shielded, with_hit, written
 
 PREFIX_CHARS = 256
 
@@ -49,7 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: id_col, carry, keep_id, group_size, kept.
 
     carry: columns of docs to return as well. The join that brings a group's decision back to its rows is on the hash;
-    a hot group is split by adaptive execution (the group side has one row per key).
+    hot groups, whose number is bounded, are broadcast instead.
     """
     rows = _candidates(docs, text_col, prefix_chars, filter_bits)
     rows = rows.select(
@@ -62,7 +62,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = rows.filter("__full is not null").groupBy("__full").agg(F.min(order).alias("__best"), F.count("*").alias("__size"))
     groups = groups.filter("__size > 1")
     # rows known to be alone have no key; they stay out of the join, where they would all meet in one task
-    out = rows.filter("__full is not null").join(groups, "__full", "left")
+    out = join_groups(rows.filter("__full is not null"), groups, "__full", "__size", rows.count())
     none = {"__best": F.lit(None).cast(groups.schema["__best"].dataType), "__size": F.lit(None).cast("long")}
     out = out.unionByName(rows.filter("__full is null").withColumns(none))
     return out.select(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, join_groups, written
 
 KINDS = ("assign", "access", "hex", "live")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -95,10 +95,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """found (owner, repo, hash) to (hash, n_owners, n_repos)."""
-    pairs = found.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    """found (owner, repo, hash) to (hash, n_owners, n_repos, n_found)."""
+    pairs = found.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_found"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", widely: int = WIDELY) -> DataFrame:
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     each = rows.filter(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")
     seen = ownership(each)
     verdict = F.when(F.col("n_owners") >= widely, "example").when(F.col("entropy") >= ENTROPY, "live").otherwise("plain")
-    told = each.join(seen, "hash").withColumn("verdict", verdict).filter("kind <> 'live' or verdict = 'live'")
+    told = join_groups(each, seen, "hash", "n_found", each.count(), "inner").withColumn("verdict", verdict).filter("kind <> 'live' or verdict = 'live'")
     nth = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     by_row = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", nth.alias("nth"), "end", "kind", "n_owners", "n_repos", "verdict"))).alias("secrets"))
     # rows with nothing found stay out of the join

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, key_bitmap, map_batches, shielded, tidy, with_hit, written
+from .common import bounded_batches, join_groups, key_bitmap, map_batches, shielded, tidy, with_hit, written
 from .components import components
 
 SEED = 42
@@ -383,8 +383,8 @@ def classes(own: DataFrame, id_col: str, radius: int = RADIUS, bucket_rows: int
     roots = written(roots, "roots")
     linked = reps.join(roots, "fp")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = linked.join(lows, "root").select("fp", "component_id").unionByName(reps.join(roots, "fp", "left_anti").select("fp", F.col("low").alias("component_id")))
-    return own.join(by_fp, "fp")
+    by_fp = linked.join(lows, "root").select("fp", "component_id", "n").unionByName(reps.join(roots, "fp", "left_anti").select("fp", F.col("low").alias("component_id"), "n"))
+    return join_groups(own, by_fp, "fp", "n", own.count(), "inner").drop("n")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, scratch_path, with_hit, written
+from .common import key_bitmap, scratch_path, split_hot, with_hit, written
 
 MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -152,12 +152,17 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, payload, size, digest, refers_to): refers_to is null for responses; revisits have no payload."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    same = rows.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    same = rows.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     same = written(same, "warc-payloads")
     key = F.xxhash64("digest", "size")
     rows = with_hit(rows, key, key_bitmap(same, key))
-    alone = rows.filter("not __hit").withColumn("refers_to", F.lit(None).cast(rows.schema["id"].dataType))
-    joined = rows.filter("__hit").join(same, ["digest", "size"], "left")
+    # a hot payload's rows lose it before anything is shuffled; there are few such payloads
+    hot, cold = split_hot(same, "n", pages.count())
+    rows = rows.join(hot.withColumnRenamed("first", "hot_first").drop("n"), ["digest", "size"], "left")
+    told = F.col("hot_first").isNotNull()
+    again = told & ~F.col("id").eqNullSafe(F.col("hot_first"))
+    alone = rows.filter(told | ~F.col("__hit")).withColumn("refers_to", F.when(again, F.col("hot_first"))).withColumn("payload", F.when(~again, F.col("payload")))
+    joined = rows.filter(~told & F.col("__hit")).join(cold, ["digest", "size"], "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     joined = joined.withColumn("refers_to", F.when(again, F.col("first"))).withColumn("payload", F.when(~again, F.col("payload")))
     cols = ("id", "url", "payload", "size", "digest", "refers_to")
