@@ -7,9 +7,12 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from . import __version__
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="termweave")
+    p.add_argument("--version", action="version", version=__version__)
     top = p.add_subparsers(dest="group", required=True)
     index = top.add_parser("index").add_subparsers(dest="action", required=True)
     b = index.add_parser("build", help="build a vector index from concept tables")
@@ -20,16 +23,18 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--concepts-table", default="concept")
     for flag in ("domain-id", "concept-class-id", "exclude-concept-class-id", "extra-column"):
         b.add_argument(f"--{flag}", action="append", default=[])
-    b.add_argument("--max-synonyms", type=int, default=5)
-    b.add_argument("--include-codes-in-text", action=argparse.BooleanOptionalAction, default=True)
+    b.add_argument("--max-synonyms", type=int, default=3)
+    b.add_argument("--include-codes-in-text", action=argparse.BooleanOptionalAction, default=False)
     b.add_argument("--batch-size", type=int, default=256)
     infer = top.add_parser("infer").add_subparsers(dest="action", required=True)
     k = infer.add_parser("bulk", help="map a sheet of terms")
     k.add_argument("--input", required=True)
     k.add_argument("--out", required=True)
     q = infer.add_parser("query", help="look terms up; without --text, one a line")
-    q.add_argument("--text")
-    q.add_argument("--show-topk", type=int, default=10)
+    q.add_argument("--query", "--text", dest="text")
+    q.add_argument("--show-topk", type=int, default=20)
+    q.add_argument("--expect-name", help="exit 1 unless the first candidate has this name")
+    q.add_argument("--debug", action="store_true", help="show the features of each candidate")
     for x in (k, q):
         x.add_argument("--db", required=True)
         x.add_argument("--table", required=True)
@@ -53,6 +58,10 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--encoder-model-id")
         x.add_argument("--encoder-pooling", choices=("cls", "mean"))
         x.add_argument("--encoder-max-length", type=int)
+        x.add_argument("--encoder-trust-remote-code", action=argparse.BooleanOptionalAction, default=None)
+        x.add_argument("--no-rerank", action="store_true", help="keep the order of the vector search")
+        x.add_argument("--cosine-relevance", action="store_true", help="without reranking, take the cosine as relevance")
+        x.add_argument("--batch-size", type=int, default=64)
     for x in (b,):
         x.add_argument("--model-id")
         x.add_argument("--pooling", choices=("cls", "mean"), default="cls")
@@ -66,6 +75,7 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--status-column", default="mappingStatus")
     k.add_argument("--approved-value", default="APPROVED")
     k.add_argument("--vocab", help="folder with concept and concept_ancestor, for scopes and class exclusion")
+    k.add_argument("--atc-scope", action=argparse.BooleanOptionalAction, default=True, help="move candidates below a row's atc_ids or atc_codes up (needs --vocab)")
     k.add_argument("--allowlist-max-ids", type=int, default=1000)
     k.add_argument("--rag-provider")
     k.add_argument("--rag-model")
@@ -73,14 +83,70 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--rag-candidate-limit", type=int, default=50)
     k.add_argument("--rag-extra-context-column")
     k.add_argument("--rag-stop-sequence", action="append", default=[])
+    k.add_argument("--rag-template", help="a file with {source}, {candidates}, {format_instructions}, {extra_context}")
+    k.add_argument("--rag-template-field", default="profile_text")
+    k.add_argument("--rag-profile-char-limit", type=int, default=512)
+    k.add_argument("--rag-include-retrieval-score", action=argparse.BooleanOptionalAction, default=False)
+    k.add_argument("--rag-include-final-score", action=argparse.BooleanOptionalAction, default=False)
+    k.add_argument("--rag-use-normalized-query", action=argparse.BooleanOptionalAction, default=True)
+    k.add_argument("--cloudflare-use-responses-api", action=argparse.BooleanOptionalAction, default=None)
+    k.add_argument("--gpt-reasoning-effort", choices=("low", "medium", "high"))
+    k.add_argument("--cf-reasoning-summary", choices=("auto", "concise", "detailed"))
+    k.add_argument("--ollama-timeout", "--llamacpp-timeout", dest="timeout", type=float)
+    k.add_argument("--ollama-keep-alive")
+    k.add_argument("--llamacpp-model-path")
+    k.add_argument("--llamacpp-n-ctx", type=int)
+    k.add_argument("--llamacpp-n-gpu-layers", type=int)
+    k.add_argument("--llamacpp-n-threads", type=int)
+    k.add_argument("--llamacpp-chat-format")
+    k.add_argument("--llamacpp-system-prompt")
     return p
 
 
+def prompt_builder(a: argparse.Namespace):
+    from functools import partial
+
+    from .functions.prompts import FORMAT, file_prompt, prompt
+
+    if a.rag_template:
+        return partial(file_prompt, a.rag_template, field=a.rag_template_field, limit=a.rag_profile_char_limit, instructions=FORMAT)
+    scores = ("retrieval_score",) * a.rag_include_retrieval_score + ("final_score",) * a.rag_include_final_score
+    return partial(prompt, scores=scores)
+
+
+def model_client(a: argparse.Namespace):
+    """The client of a run's flags; None without a provider. llamacpp is a server, or a model file if one is given."""
+    from .sources.clients import client
+
+    if not a.rag_provider:
+        return None
+    if a.rag_candidate_limit <= 0:
+        raise ValueError("--rag-candidate-limit must be above 0")
+    options = {"stop": tuple(a.rag_stop_sequence)}
+    name = "llamacpp-local" if a.rag_provider == "llamacpp" and a.llamacpp_model_path else a.rag_provider
+    if name == "llamacpp-local":
+        options |= {"model_path": a.llamacpp_model_path, "n_ctx": a.llamacpp_n_ctx, "n_gpu_layers": a.llamacpp_n_gpu_layers, "n_threads": a.llamacpp_n_threads, "chat_format": a.llamacpp_chat_format, "system": a.llamacpp_system_prompt}
+    else:
+        options["base_url"] = a.rag_base_url
+        if name != "llamacpp":
+            options["model"] = a.rag_model
+        if name in ("ollama", "llamacpp"):
+            options["timeout"] = a.timeout
+        if name == "ollama":
+            options["keep_alive"] = a.ollama_keep_alive
+        if name == "cloudflare":
+            reasoning = {"effort": a.gpt_reasoning_effort, "summary": a.cf_reasoning_summary}
+            options |= {"use_responses": a.cloudflare_use_responses_api, "reasoning": {k: v for k, v in reasoning.items() if v} or None}
+    return client(name, **options)
+
+
+FEATURES = ("strength_sim", "jaccard_text", "brand_score", "release_score", "form_release_score", "form_route_score", "post_score", "_relevance_score")
+
+
 def main(argv: list[str] | None = None) -> int:
     from .operators.profiles import values
     from .plans.build import build_index
-    from .plans.mapping import Options, look_up, run_bulk
-    from .sources.clients import client
+    from .plans.mapping import Options, WordVectors, look_up, run_bulk
     from .sources.encoders import encoder
     from .sources.files import encoder_settings, read_index, read_manifest, table_or_none
 
@@ -91,23 +157,30 @@ def main(argv: list[str] | None = None) -> int:
         print(done)
         return 0
     o = Options(candidate_topk=a.candidate_topk, retrieval_topk=a.retrieval_topk, where=a.where, ascii_only=a.strip_non_latin, drop_chars=a.strip_chars, usan=a.inn2usan, optional_usan=a.inn2usan_extra, without_classes=tuple(values(a.exclude_concept_class_id)), post_mode=a.post_mode, post_weight=a.post_weight, w_strength=a.post_strength_weight, w_text=a.post_jaccard_weight, w_brand=a.post_brand_penalty, minmax=a.post_minmax, tiebreak_eps=a.tiebreak_eps, tiebreak_topn=a.tiebreak_topn, brand_strict=a.brand_strict)
-    encode = encoder(**encoder_settings(read_manifest(spark, a.db, a.table), a.encoder_model_id, a.encoder_pooling, a.encoder_max_length))
+    encode = encoder(**encoder_settings(read_manifest(spark, a.db, a.table), a.encoder_model_id, a.encoder_pooling, a.encoder_max_length, a.encoder_trust_remote_code))
+    o.cosine_relevance = a.cosine_relevance
+    rerank = None if a.no_rerank else WordVectors()
     if a.action == "bulk":
         o.first_rows, o.name_column, o.code_column, o.label_column, o.status_column, o.approved = a.n_limit, a.source_name_column, a.source_code_column, a.label_column, a.status_column, a.approved_value
         o.scope_most, o.model_limit, o.model_context = a.allowlist_max_ids, a.rag_candidate_limit, a.rag_extra_context_column
         tables = {n: table_or_none(spark, a.vocab, n) if a.vocab else None for n in ("concept", "concept_ancestor")}
-        generate = client(a.rag_provider, model=a.rag_model, base_url=a.rag_base_url, stop=tuple(a.rag_stop_sequence)) if a.rag_provider else None
-        print(run_bulk(spark, a.db, a.table, a.input, a.out, o, encode, None, tables["concept"], tables["concept_ancestor"], generate, a.topk))
+        o.model_reads = "query_norm" if a.rag_use_normalized_query else "query_text"
+        o.model_prompt = prompt_builder(a)
+        print(run_bulk(spark, a.db, a.table, a.input, a.out, o, encode, rerank, tables["concept"], tables["concept_ancestor"] if a.atc_scope else None, model_client(a), a.topk))
         return 0
     index, vector = read_index(spark, a.db, a.table)
-    index = index.cache()
+    index, met = index.cache(), True
     for line in [a.text] if a.text else sys.stdin:
         if line.strip() in (":q", ":quit", ":exit"):
             break
         if line.strip():
-            for r in look_up(spark, line.strip(), index, vector, encode, o, show=a.show_topk):
+            for r in look_up(spark, line.strip(), index, vector, encode, o, rerank, a.show_topk):
                 print(f"{r['rank']:>3}  {r['concept_id']:>10}  {r.get('final_score') or 0:.3f}  {r.get('concept_name') or r.get('profile_text')}")
-    return 0
+                if a.debug:
+                    print("     " + "  ".join(f"{k}={r[k]:.3f}" for k in FEATURES if r.get(k) is not None))
+                if a.expect_name and r["rank"] == 1:
+                    met = met and (r.get("concept_name") or r.get("profile_text") or "").strip().lower() == a.expect_name.strip().lower()
+    return 0 if met else 1
 
 
 if __name__ == "__main__":

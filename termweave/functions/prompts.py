@@ -51,7 +51,7 @@ def prompt(query: str, candidates: Sequence[Mapping], template: str = TEMPLATE,
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
-def file_prompt(path: str, query: str, candidates: Sequence[Mapping], field: str = "profile_text", limit: int = 512, context: str | None = None, instructions: str = "") -> str:
+def file_prompt(path: str, query: str, candidates: Sequence[Mapping], context: str | None = None, field: str = "profile_text", limit: int = 512, instructions: str = "") -> str:
     """A prompt from a template file; a candidate shows `field`, cut at limit characters."""
     if not candidates:
         raise ValueError("a prompt needs a candidate")

@@ -18,6 +18,8 @@ def ask(candidates: DataFrame, queries: DataFrame, generate: Callable[[str], str
 
     generate must be picklable. An answer that cannot be read gives an error row and no ids.
     """
+    if "retrieval_score" not in candidates.columns and "_relevance_score" in candidates.columns:
+        candidates = candidates.withColumn("retrieval_score", F.col("_relevance_score").cast("double"))
     have = [F.col(c) for c in _FIELDS if c in candidates.columns]
     some = candidates.filter(F.col(rank) <= limit).groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("_rank"), *have))).alias("cands"))
     told = queries.select(query_id, F.col(text).alias("_text"), (F.col(context).cast("string") if context else F.lit(None).cast("string")).alias("_context")).join(some, query_id)

@@ -50,7 +50,7 @@ def synonyms_of(table: DataFrame) -> DataFrame:
     return named.groupBy("concept_id").agg(F.array_sort(F.collect_set("concept_synonym_name")).alias("synonyms"))
 
 
-def compose_profiles(concepts: DataFrame, synonyms: DataFrame | None = None, domains: Sequence[str] = (), classes: Sequence[str] = (), without_classes: Sequence[str] = (), max_synonyms: int = 5, with_code: bool = True) -> DataFrame:
+def compose_profiles(concepts: DataFrame, synonyms: DataFrame | None = None, domains: Sequence[str] = (), classes: Sequence[str] = (), without_classes: Sequence[str] = (), max_synonyms: int = 3, with_code: bool = False) -> DataFrame:
     """Concepts with a profile_text of name, synonyms and code; empty profiles are dropped."""
     base = concepts.filter(is_valid(domains, classes, [*VARIANT_CLASSES, *without_classes])).select(*CONCEPT_COLUMNS)
     base = base.withColumn("concept_id", F.col("concept_id").cast("long"))

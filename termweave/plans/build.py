@@ -13,7 +13,7 @@ from ..sources.encoders import encoded, encoder
 from ..sources.files import table_or_none, write_index
 
 
-def profiles_of(spark: SparkSession, folder: str, profiles_table: str = "concept_profiles", concepts_table: str = "concept", domains: Sequence[str] = (), classes: Sequence[str] = (), without_classes: Sequence[str] = (), extra: Sequence[str] = (), max_synonyms: int = 5, with_code: bool = True) -> DataFrame:
+def profiles_of(spark: SparkSession, folder: str, profiles_table: str = "concept_profiles", concepts_table: str = "concept", domains: Sequence[str] = (), classes: Sequence[str] = (), without_classes: Sequence[str] = (), extra: Sequence[str] = (), max_synonyms: int = 3, with_code: bool = False) -> DataFrame:
     """Profiles from their table; composed from the concepts where there is none, or none that fits."""
     concepts = table_or_none(spark, folder, concepts_table)
     if concepts is None:
@@ -27,7 +27,7 @@ def profiles_of(spark: SparkSession, folder: str, profiles_table: str = "concept
     return compose_profiles(concepts, table_or_none(spark, folder, "concept_synonym"), domains, classes, without_classes, max_synonyms, with_code)
 
 
-def build_index(spark: SparkSession, folder: str, out: str, table: str, encode: Callable | None = None, profiles_table: str = "concept_profiles", concepts_table: str = "concept", domains=(), classes=(), without_classes=(), extra=(), max_synonyms: int = 5, with_code: bool = True, model_id: str | None = None, pooling: str = "cls", max_length: int = 128, trust_remote_code: bool = False, batch_size: int = 256) -> dict:
+def build_index(spark: SparkSession, folder: str, out: str, table: str, encode: Callable | None = None, profiles_table: str = "concept_profiles", concepts_table: str = "concept", domains=(), classes=(), without_classes=(), extra=(), max_synonyms: int = 3, with_code: bool = False, model_id: str | None = None, pooling: str = "cls", max_length: int = 128, trust_remote_code: bool = False, batch_size: int = 256) -> dict:
     domains, classes, without_classes, extra = (values(v) for v in (domains, classes, without_classes, extra))
     df = profiles_of(spark, folder, profiles_table, concepts_table, domains, classes, without_classes, extra, max_synonyms, with_code)
     df = df.withColumn("profile_text", normalized(F.col("profile_text")))

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions import prompts
 from ..functions.text import prepared_query, query_text
 from ..operators import metrics, model_rank, ranking, scope, search
 from ..sources import exports, usagi
-from ..sources.encoders import encoded, encoder
+from ..sources.encoders import HashedNgrams, encoded, encoder
 from ..sources.files import encoder_settings, numbered, read_index, read_manifest, read_sheet
 
 #: Candidate columns that go on to ranking.
@@ -51,6 +52,10 @@ class Options:
     scope_most: int = 1000
     model_limit: int = 50
     model_context: str | None = None
+    model_reads: str = "query_norm"
+    model_prompt: Callable[..., str] = prompts.prompt
+    #: Without a reranker, take the cosine as relevance; else there is none, and features alone are added.
+    cosine_relevance: bool = False
 
 
 @dataclass
@@ -99,12 +104,24 @@ def retrieve(queries: DataFrame, index: DataFrame, vector_col: str, o: Options,
     about = [c for c in KEPT if c in index.columns]
     df = near.join(index.select(*about), "concept_id")
     if rerank is None:
-        return df.drop("distance")
+        return (df.withColumn("_relevance_score", (1.0 - F.col("distance")).cast("float")) if o.cosine_relevance else df).drop("distance")
     df = relevance(df.join(queries.select("query_id", "query_norm"), "query_id"), rerank)
     df = ranking.by_relevance(df, "query_id", "retrieval_rank")
     return df.filter(F.col("rank") <= o.candidate_topk).withColumn("retrieval_rank", F.col("rank")).drop("rank", "distance", "query_norm")
 
 
+@dataclass
+class WordVectors:
+    """Tokens of a text for late interaction, without a model: the hashed n-grams of each word."""
+
+    dim: int = 128
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words = [t.split() or [""] for t in texts]
+        flat = HashedNgrams(self.dim)([w for own in words for w in own])
+        return np.split(flat, np.cumsum([len(w) for w in words])[:-1])
+
+
 def map_terms(spark: SparkSession, sheet: DataFrame, index: DataFrame, vector_col: str, o: Options, encode: Callable, rerank: Callable | None = None, concepts: DataFrame | None = None, ancestors: DataFrame | None = None, generate: Callable[[str], str] | None = None) -> Result:
     notes: list[str] = []
     queries = encoded(queries_of(sheet, o), "query_norm", encode)
@@ -123,7 +140,7 @@ def map_terms(spark: SparkSession, sheet: DataFrame, index: DataFrame, vector_co
     empty = queries.filter(F.col("query_norm") == "").select(F.col("query_id").alias("index"), F.lit("search").alias("type"), "source_name", "source_code", F.lit("a text query is required").alias("message"))
     errors = empty if rerank else empty.limit(0)
     if generate is not None:
-        answers = model_rank.ask(df, queries, generate, min(o.model_limit, o.candidate_topk), context=o.model_context)
+        answers = model_rank.ask(df, queries, generate, min(o.model_limit, o.candidate_topk), text=o.model_reads, context=o.model_context, build=o.model_prompt)
         df = model_rank.merge(df, answers, min(o.model_limit, o.candidate_topk))
         failed = answers.filter("error IS NOT NULL").join(queries.select("query_id", "source_name", "source_code"), "query_id")
         errors = errors.unionByName(failed.select(F.col("query_id").alias("index"), F.lit("rag").alias("type"), "source_name", "source_code", F.col("error").alias("message")))
@@ -136,8 +153,8 @@ def run_bulk(spark: SparkSession, index_folder: str, table: str, input_path: str
     sheet = read_sheet(spark, input_path)
     index, vector_col = read_index(spark, index_folder, table)
     settings = encoder_settings(read_manifest(spark, index_folder, table))
-    if usagi.is_review_sheet(sheet.columns) and (bad := usagi.invalid_rows(sheet).select("reason").first()):
-        raise ValueError(f"the review sheet has an invalid row: {bad['reason']}")
+    if usagi.is_review_sheet(sheet.columns) and (bad := usagi.invalid_rows(numbered(sheet, "_row", 50)).select("reason", "_row").first()):
+        raise ValueError(f"the review sheet has an invalid row {bad['_row']}: {bad['reason']}")
     got = map_terms(spark, sheet, index, vector_col, o, encode or encoder(**settings), rerank, concepts, ancestors, generate)
     got.candidates.persist()
     try:

@@ -99,7 +99,7 @@ FROM n
 """)
 def profile_compose(spark, sf_dir):
     synonyms = derived(spark, sf_dir, "lineitem", SYNONYM)
-    return profiles.compose_profiles(concepts_of(spark, sf_dir), synonyms, ["Drug"], max_synonyms=3)
+    return profiles.compose_profiles(concepts_of(spark, sf_dir), synonyms, ["Drug"], max_synonyms=3, with_code=True)
 
 
 # ---- text ----------------------------------------------------------------------------------------------------------
@@ -463,17 +463,6 @@ def review_rows(spark, sf_dir):
 # ---- end to end -----------------------------------------------------------------------------------------------------
 
 
-def _letters(texts):
-    """Tokens of a text for late interaction: the vectors of its words."""
-    import numpy as np
-
-    encode = HashedNgrams(64)
-    words = [t.split() or [""] for t in texts]
-    flat = encode([w for ws in words for w in ws])
-    cuts = np.cumsum([len(w) for w in words])[:-1]
-    return np.split(flat, cuts)
-
-
 @query(None)
 def mapped_terms(spark, sf_dir):
     """Part names as source terms against the concepts: encoding, search, late interaction, features, near-tie order. Encoders are beyond SQL."""
@@ -482,5 +471,5 @@ def mapped_terms(spark, sf_dir):
     index = encoded(c, "profile_text", encode)
     sheet = derived(spark, sf_dir, "supplier", {"sourceName": "concat('red widget ', CAST(s_suppkey % 50 * 10 AS STRING), 'mg tablet')", "sourceCode": "CAST(s_suppkey AS STRING)", "conceptId": "s_suppkey"})
     o = mapping.Options(candidate_topk=10, retrieval_topk=20)
-    got = mapping.map_terms(spark, sheet, index, "vector", o, encode, _letters)
+    got = mapping.map_terms(spark, sheet, index, "vector", o, encode, mapping.WordVectors(64))
     return got.candidates.select("query_id", "concept_id", "rank", F.round("final_score", 5).alias("final_score"), "strength_sim", F.round("jaccard_text", 6).alias("jaccard_text"))

@@ -21,14 +21,14 @@ def messages(prompt: str, system: str = SYSTEM) -> list[dict[str, str]]:
 
 
 def found_text(payload: Any) -> str | None:
-    """The first text of an answer: other keys before nested ones, nested ones before text keys, each depth first."""
+    """The first text of an answer: text keys before nested ones, those before any others, each depth first."""
     if isinstance(payload, str):
         return payload.strip() or None
     if isinstance(payload, list):
         return next((t for x in payload if (t := found_text(x))), None)
     if isinstance(payload, dict):
         other = [k for k in payload if k not in (*_TEXT_KEYS, *_NESTED_KEYS, "type")]
-        keys = [*reversed(other), *(k for k in reversed(_NESTED_KEYS) if k in payload), *(k for k in reversed(_TEXT_KEYS) if k in payload)]
+        keys = [k for k in (*_TEXT_KEYS, *_NESTED_KEYS) if k in payload] + other
         return next((t for k in keys if (t := found_text(payload[k]))), None)
     return None
 

@@ -93,3 +93,28 @@ def test_command_line():
 
     a = parser().parse_args(["infer", "bulk", "--db", "d", "--table", "t", "--input", "i", "--out", "o"])
     assert (a.candidate_topk, a.retrieval_topk, a.post_mode, a.tiebreak_topn) == (100, 400, "tiebreak", 50)
+
+
+def test_clients_from_flags(tmp_path):
+    from termweave.__main__ import model_client, parser, prompt_builder
+
+    base = ["infer", "bulk", "--db", "d", "--table", "t", "--input", "i", "--out", "o"]
+    read = lambda *x: parser().parse_args([*base, *x])
+    assert model_client(read()) is None
+    assert isinstance(model_client(read("--rag-provider", "llamacpp")), clients.LlamaServer)
+    assert isinstance(model_client(read("--rag-provider", "llamacpp", "--llamacpp-model-path", "m")), clients.LlamaLocal)
+    assert model_client(read("--rag-provider", "cloudflare", "--gpt-reasoning-effort", "low")).reasoning == {"effort": "low"}
+    with pytest.raises(ValueError):
+        model_client(read("--rag-provider", "ollama", "--rag-candidate-limit", "0"))
+    (tmp_path / "t.md").write_text("{source}: {candidates} {format_instructions}{extra_context}")
+    build = prompt_builder(read("--rag-template", str(tmp_path / "t.md"), "--rag-profile-char-limit", "3"))
+    assert build("q", [{"concept_id": 1, "profile_text": "abcdef"}], context="c").startswith("q: abc … (1)")
+
+
+def test_command_line_look_up(spark, index, capsys):
+    from termweave.__main__ import main
+
+    ask = ["infer", "query", "--db", index, "--table", "drugs", "--query", "ibuprofen 200 mg oral tablet", "--show-topk", "2", "--debug"]
+    assert main([*ask, "--expect-name", "ibuprofen 200 mg oral tablet"]) == 0
+    assert "strength_sim" in capsys.readouterr().out
+    assert main([*ask, "--expect-name", "another"]) == 1

@@ -12,7 +12,7 @@ def test_profile_filters(spark):
     with pytest.raises(ValueError):
         profiles.scan_profiles(p, c, extra=["absent"])
     s = spark.createDataFrame([(1, "A"), (1, "  Alt "), (1, None), (1, "alt")], "concept_id long, concept_synonym_name string")
-    got = {r["concept_id"]: r["profile_text"] for r in profiles.compose_profiles(c, s).collect()}
+    got = {r["concept_id"]: r["profile_text"] for r in profiles.compose_profiles(c, s, with_code=True).collect()}
     # a null class does not pass the built-in exclusions; an empty profile is dropped
     assert got == {1: "a | alt | 1"}
     assert profiles.values(["a, b", None, " ,c"]) == ["a", "b", "c"]
