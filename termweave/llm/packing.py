@@ -36,9 +36,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a generation of each cache: chunks, words, tails.
-CACHE_CHUNKS = 120_000
-#: Bytes of text that are split into chunks at once.
-RUN_BYTES = 2_000_000
+CACHE_CHUNKS = 250_000
 BLOCK_ROWS = 50_000
 #: Bytes of ids that a task of pack() holds to pack them together.
 BLOCK_BYTES = 16_000_000
@@ -55,15 +53,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 _WORD_TAIL = re.compile("([A-Za-z\u00c0-\u024f]+)([!-&(-/:;=>?@\\[-`{}~]*)")
 
 
-class _Two:
-    """A bounded cache of two generations: when the young one is full it becomes the old one, and what is used returns."""
+class _Known(dict):
+    """A bounded cache in two generations: a full one becomes the old one, from which what is used returns."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int, make):
+        self.size, self.make, self.old = size, make, {}
 
-    def make_room(self, n: int) -> None:
-        if len(self.young) + n > self.size:
-            self.old, self.young = self.young, {}
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
 
 class Encoder:
@@ -84,52 +87,28 @@ class Encoder:
         self.bytes = {}
         for c in (chr(i) for i in range(0x250)):
             self.bytes.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
-        self.chunks, self.words, self.tails = _Two(cache), _Two(cache), _Two(cache)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        seen = set().union(*split)
-        self.chunks.make_room(len(seen))
-        self.words.make_room(len(seen))
-        self.tails.make_room(len(seen))
-        self._learn(seen.difference(self.chunks.young))
-        get = self.chunks.young.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
-
-    def _learn(self, new: set[bytes]) -> None:
-        young, old, match, other = self.chunks.young, self.chunks.old, _WORD_TAIL.fullmatch, []
-        for c in new:
-            if c in old:
-                young[c] = old[c]
-                continue
-            s = c.decode("utf-8", "replace")
-            m = match(s)
-            if m is None or (ids := self._word(m[1].lower())) is None:
-                other.append((c, s))
-            else:
-                young[c] = ids + self._tail(m[2]) if m[2] else ids
-        if other:
-            for (c, _), e in zip(other, self.tokenizer.encode_batch_fast([s for _, s in other], add_special_tokens=False), strict=True):
-                young[c] = array("I", e.ids).tobytes()
-
-    def _word(self, w: str) -> bytes | None:
-        young, old = self.words.young, self.words.old
-        if (ids := young.get(w)) is None:
-            if (ids := old.get(w)) is None:
-                if not w.isascii() and not (w.isalpha() and unicodedata.is_normalized("NFC", w)):
-                    return None
-                raw = w if w.isascii() else "".join([self.bytes[b] for b in w.encode()])
-                ids = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
-            young[w] = ids
-        return ids
-
-    def _tail(self, t: str) -> bytes:
-        young, old = self.tails.young, self.tails.old
-        if (ids := young.get(t)) is None:
-            if (ids := old.get(t)) is None:
-                ids = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
-            young[t] = ids
-        return ids
+        self.chunks, self.words, self.tails = _Known(cache, self._chunk), _Known(cache, self._word), _Known(cache, self._whole)
+
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        s = chunk.decode("utf-8", "replace")
+        m = _WORD_TAIL.fullmatch(s)
+        if m is None or not (ids := self.words[m[1].lower()]):
+            return self._whole(s)
+        return ids + self.tails[m[2]] if m[2] else ids
+
+    def _word(self, w: str) -> bytes:
+        """Nothing, if the word is not one that the model can be asked for directly."""
+        if not w.isascii():
+            if not (w.isalpha() and unicodedata.is_normalized("NFC", w)):
+                return b""
+            w = "".join([self.bytes[b] for b in w.encode()])
+        return array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
+
+    def _whole(self, s: str) -> bytes:
+        return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -160,24 +139,14 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: in
     enc, end, width = encoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
     names = ["id", "piece", "start", "length", "ids"]
 
-    def encoded(texts: pa.Array) -> Iterator[tuple[int, bytes]]:
-        """By runs of some MB: what a run lacks is asked of the tokenizer at once."""
-        first, run, held = 0, [], 0
-        for k in range(len(texts)):
-            run.append(texts[k].as_py() or b"")
-            held += len(run[-1])
-            if held > RUN_BYTES or k + 1 == len(texts):
-                for j, ids in enumerate(enc.encode(run)):
-                    yield first + j, ids + end
-                first, run, held = k + 1, [], 0
-
     def made(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         row, piece, start, length, data = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())], names=names)
 
     for batch in batches:
         rows, held = [], 0
-        for k, ids in encoded(batch.column("text")):
+        for k, text in enumerate(batch.column("text")):
+            ids = enc.encode(text.as_buffer().to_pybytes()) + end if text.is_valid else end
             for p, at in enumerate(range(0, len(ids), width)):
                 part = ids[at : at + width] if len(ids) > width else ids
                 rows.append((k, p, at // 4, len(part) // 4, part))
@@ -223,10 +192,14 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds
 
     A round takes each underfull bin from the emptiest up as the donor and looks for the change that leaves a fuller
     partner fullest, among the `window` fullest partners with room: move one piece, exchange one for one, or give two for
-    one. A partner only gains, so the sum of squares grows with each change; a bin that has given all is dropped.
+    one. A partner only gains, so the sum of squares grows with each change; a bin that has given all is dropped. The
+    search ends as soon as the sizes could not fit into fewer bins.
     """
     fill = [int(sizes[b].sum()) for b in bins]
+    least, n = -(-sum(fill) // capacity), len(bins)
     for _ in range(rounds):
+        if n <= least:
+            break
         open_ = sorted((i for i in range(len(bins)) if bins[i] and fill[i] < capacity), key=lambda i: (fill[i], i))
         changed = False
         for at, d in enumerate(open_):
@@ -247,6 +220,9 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds
                     fill[d] -= by
                     fill[p] += by
                     changed = True
+            n -= not bins[d]
+            if n <= least:
+                break
         if not changed:
             break
     return [b for b in bins if b]

@@ -179,7 +179,7 @@ def test_encoder_equals_the_tokenizer():
     for cache in (3, 1000):
         enc = packing.Encoder(path, cache)
         for _ in range(2):
-            got = enc.encode([t.encode() for t in texts])
+            got = [enc.encode(t.encode()) for t in texts]
             assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
