@@ -65,8 +65,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     vector_col = vector_col or vector_column(vectors)
     q = _packed(queries, query_id, query_vector, QUERY_ROWS, "q_block").withColumnsRenamed({"ids": "q_ids", "v": "q"})
     x = _packed(vectors, id_col, vector_col, BLOCK_ROWS, "x_block")
-    # every vector block meets every query block of its dimension; the salt deals the pairs over tasks
-    salt = F.lit(64)
+    # every vector block meets every query block of its dimension; the salt deals the pairs over all cores
+    salt = F.lit(max(64, 2 * vectors.sparkSession.sparkContext.defaultParallelism))
     x = x.withColumn("salt", F.pmod(F.xxhash64("x_block"), salt))
     q = q.withColumnRenamed("dim", "q_dim").withColumn("q_salt", F.explode(F.sequence(F.lit(0), salt - 1)))
     pairs = x.join(q, (F.col("dim") == F.col("q_dim")) & (F.col("salt") == F.col("q_salt")))
