@@ -39,6 +39,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables; results that are still lazy need theirs until they are written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/termweave")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once into a Parquet table in the shared folder: cuts the lineage and outlives executors."""
     path = scratch_path(df.sparkSession, name)
