@@ -24,13 +24,13 @@ component's id is its smallest id that is not null. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_groups, key_bitmap, map_batches, shielded, tidy, with_hit, written
@@ -39,6 +39,12 @@ from .components import components
 SEED = 42
 RADIUS = 4
 SHINGLE_WORDS = 4
+#: Texts as similar as this (Jaccard of shingles of so many words) are near copies for the pipeline.
+SIMILARITY, SIMILAR_WORDS = 0.8, 5
+#: Radius of the word fingerprints that propose such pairs.
+SIMILAR_RADIUS = 7
+#: Rows of one fingerprint up to which each is proposed.
+SAME_ROWS = 8
 #: Shingles whose hashes are held at once.
 HASH_BLOCK = 1 << 16
 #: Rows of one side of a block; a bucket with more is cut.
@@ -71,14 +77,40 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, carry, fp long), one row per row."""
+def word_fingerprint(text: bytes | None) -> int:
+    """SimHash of the distinct words.
+
+    An edit of one word changes five shingles of five words, but one of these features, so that texts whose shingles are
+    0.8 alike mostly lie within 7 bits, where their shingle fingerprints would be some 10 apart.
+    """
+    some = list(set((text or b"").lower().split()))
+    if not some:
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(some), HASH_BLOCK):
+        got = np.array([xxhash.xxh64_intdigest(w, SEED) for w in some[at : at + HASH_BLOCK]], np.uint64)
+        ones += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(some), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    parts = (text or b"").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))], np.uint64))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, carry: tuple[str, ...] = (), make: Callable[[bytes | None], int] | None = None) -> DataFrame:
+    """(id_col, carry, fp long), one row per row. make: the fingerprint of a text, if not that of its shingles."""
+    make = make or (lambda text: fingerprint(text, words))
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, *carry))
     bounded_batches(docs.sparkSession)
     src = docs.select(id_col, *carry, F.col(text_col).cast("binary").alias("__text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("__text")], np.uint64).view(np.int64)
+        fps = np.array([make(t.as_py()) for t in batch.column("__text")], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, *carry)), pa.array(fps)], names=[id_col, *carry, "fp"])
 
     return map_batches(src, run, f"{kept}fp long")
@@ -233,7 +265,7 @@ def best_plan(fps: DataFrame, radius: int = RADIUS) -> Plan:
     n = int(fps.count())
     order = bit_order(both, n)
     counts = byte_counts(fps, order)
-    plans = {m: Plan(order, counts, m, radius) for m in LAYOUTS if 1 < m <= radius + 1}
+    plans = {m: Plan(order, counts, m, radius) for m in LAYOUTS if 1 < m <= radius + 1}  # m = 1 would probe every mask of all 64 bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = dict.fromkeys(plans, 0.0)
@@ -387,21 +419,81 @@ def classes(own: DataFrame, id_col: str, radius: int = RADIUS, bucket_rows: int
     return join_groups(own, by_fp, "fp", "n", own.count(), "inner").drop("n")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """docs (id_col, __mark, text_col) to (id_col, __mark, component_id): components of pairs verified as similar.
+
+    Word fingerprints within the radius propose pairs, by the generalised pigeonhole search. Each proposal is verified on the whole shingle sets. Only rows in a proposal have theirs
+    made, and a bitmap of fixed size keeps the texts of all others out of the shuffle.
+    """
+    own = fingerprints(docs, id_col, text_col, carry=("__mark",), make=word_fingerprint).withColumn("__node", F.monotonically_increasing_id())
+    own = written(own, "word-fingerprints")
+    reps = written(own.groupBy("fp").agg(F.min("__node").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
+    pairs = links(reps, radius)
+    # a fingerprint of few rows proposes each of them, one of many its first row, with which all its rows are compared
+    size = own.count()
+    grouped = join_groups(own.select("__node", "fp"), reps, "fp", "n", size, "inner")
+    members = written(grouped.filter((F.col("n") <= SAME_ROWS) | (F.col("__node") == F.col("low"))), "fingerprint-members")
+    at = lambda c: members.select(F.col("fp").alias(c), F.col("__node").alias(f"{c}_node"))
+    across = pairs.join(at("a"), "a").join(at("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    few = members.filter(F.col("n").between(2, SAME_ROWS))
+    both = few.select("fp", F.col("__node").alias("a")).join(few.select("fp", F.col("__node").alias("b")), "fp").filter("a < b").select("a", "b")
+    many = grouped.filter((F.col("n") > SAME_ROWS) & (F.col("__node") != F.col("low"))).select(F.col("__node").alias("a"), F.col("low").alias("b"))
+    pairs = written(across.unionByName(both).unionByName(many).distinct(), "proposals")
+    nodes = pairs.select(F.col("a").alias("__node")).unionByName(pairs.select(F.col("b").alias("__node"))).distinct()
+    keys = written(own.join(nodes, "__node", "left_semi").select("__node", F.col(id_col).alias("__id"), F.col("__mark").alias("__of")), "proposed-rows")
+    texts = with_hit(docs, _row_key(F.col(id_col), F.col("__mark")), key_bitmap(keys, _row_key(F.col("__id"), F.col("__of")))).filter("__hit")
+    texts = texts.select(id_col, "__mark", F.col(text_col).cast("binary").alias("__text")).dropDuplicates([id_col, "__mark"])
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("binary")
+    def shingled(batch: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            # two texts without a word are alike
+            out.append(both >= similarity * (len(p) + len(q) - both))
+        return pa.array(out, pa.bool_())
+
+    sets = texts.join(keys, (F.col("__mark") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id"))).select("__node", shingled("__text").alias("__set"))
+    sets = written(sets, "shingle-sets")
+    side = lambda c: sets.select(F.col("__node").alias(c), F.col("__set").alias(f"{c}_set"))
+    verified = pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("a_set", "b_set")).select("a", "b")
+    roots = written(components(verified), "roots")
+    linked = own.join(roots, own["__node"] == roots["node"]).select(id_col, "__mark", "root")
+    lows = linked.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    rest = own.join(roots, own["__node"] == roots["node"], "left_anti").select(id_col, "__mark", F.col(id_col).alias("component_id"))
+    return linked.join(lows, "root").select(id_col, "__mark", "component_id").unionByName(rest)
+
+
+def _row_key(i: Column, mark: Column) -> Column:
+    return F.xxhash64(F.coalesce(i.cast("string"), F.lit("null")), mark)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """docs with one row of each component: that with the smallest id; of repeated rows (same id and text), one.
 
-    Rows without an id stay if no row of their component has one.
+    Components are those of fingerprints within the radius; with a similarity, those of pairs whose shingles of `words`
+    words are that similar (Jaccard), which fingerprints only propose. Rows without an id stay if no row of their
+    component has one.
     """
     docs, (id_col, text_col), back = shielded(docs, id_col, text_col)
     mark = F.xxhash64(text_col)
-    own = written(fingerprints(docs.withColumn("__mark", mark), id_col, text_col, words, ("__mark",)), "fingerprints")
-    keys = classes(own, id_col, radius).groupBy(F.col(id_col).alias("__id"), F.col("__mark").alias("__of")).agg(F.count("*").alias("__n"), F.first("component_id").alias("__root"))
+    if similarity is None:
+        own = written(fingerprints(docs.withColumn("__mark", mark), id_col, text_col, words, ("__mark",)), "fingerprints")
+        found = classes(own, id_col, radius)
+    else:
+        found = similar_classes(docs.select(id_col, text_col).withColumn("__mark", mark), id_col, text_col, similarity, words, radius)
+    keys = found.groupBy(F.col(id_col).alias("__id"), F.col("__mark").alias("__of")).agg(F.count("*").alias("__n"), F.first("component_id").alias("__root"))
     keys = written(keys.withColumn("__stays", F.col("__id").eqNullSafe(F.col("__root"))), "near-duplicate-keys")
     # rows that surely stay are told by a bitmap of fixed size; only the rest are shuffled
-    key = lambda i, m: F.xxhash64(F.coalesce(i.cast("string"), F.lit("null")), m)
     unsure = keys.filter("not __stays or __n > 1")
-    bitmap = key_bitmap(unsure, key(F.col("__id"), F.col("__of")))
-    rows = with_hit(docs.withColumn("__mark", mark), key(F.col(id_col), F.col("__mark")), bitmap)
+    bitmap = key_bitmap(unsure, _row_key(F.col("__id"), F.col("__of")))
+    rows = with_hit(docs.withColumn("__mark", mark), _row_key(F.col(id_col), F.col("__mark")), bitmap)
     stays = keys.filter("__stays").select("__id", "__of")
     rest = rows.filter("__hit").join(stays, (F.col("__mark") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, "__mark"])
     return back(rows.filter("not __hit").unionByName(rest))

@@ -128,6 +128,56 @@ def test_thresholds_cover_the_radius():
         assert (t.sum(axis=1) == 4 - m + 1).all() and np.isfinite(cost).all()
 
 
+def slow_similar(texts, words=5, similarity=0.8):
+    """The smallest id of each component of pairs with that Jaccard similarity."""
+    split = {d: (t or "").lower().split() for d, t in texts.items()}
+    sets = {d: {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for d, w in split.items()}
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return {find(d) for d in ids}
+
+
+def test_similar_drop(spark):
+    """Copies with edits go, a large group of them included; others stay."""
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = {}
+    for g in range(12):
+        base = [vocabulary[i] for i in r.integers(0, 5000, 150 + 20 * g)]
+        for k in range(60 if g == 0 else 6):
+            own = list(base)
+            for at in r.integers(0, len(own), k % 5):
+                own[at] = "edit"
+            texts[len(texts)] = " ".join(own) + ("" if k % 2 else " ")
+    texts[len(texts)] = ""
+    texts[len(texts)] = None
+    texts[len(texts)] = "one two"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(df, words=5, radius=7, similarity=0.8).collect()}
+    stays = slow_similar(texts)
+    assert stays <= kept and len(kept - stays) <= 0.05 * len(texts)
+
+
+def test_similar_drop_of_odd_rows(odd, empty):
+    got = simhash.drop_near_duplicates(odd, words=5, radius=7, similarity=0.8)
+    assert got.columns == odd.columns
+    ids = [r["doc_id"] for r in got.collect()]
+    assert 1 in ids and 2 not in ids and 3 in ids and 4 not in ids and 5 not in ids and ids.count(8) == 1 and 10 not in ids and ids.count(None) == 1
+    assert simhash.drop_near_duplicates(empty, words=5, radius=7, similarity=0.8).count() == 0
+
+
 def test_near_drop(odd):
     got = simhash.drop_near_duplicates(odd)
     assert got.columns == odd.columns
