@@ -43,8 +43,8 @@ SHINGLE_WORDS = 4
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
 #: Radius of the word fingerprints that propose such pairs.
 SIMILAR_RADIUS = 7
-#: Rows of one fingerprint up to which each is proposed.
-SAME_ROWS = 8
+#: Rows of one fingerprint up to which each is proposed, and pairs of a block up to which all are.
+SAME_ROWS, SIMILAR_PAIRS = 4, 256
 #: Shingles whose hashes are held at once.
 HASH_BLOCK = 1 << 16
 #: Rows of one side of a block; a bucket with more is cut.
@@ -329,7 +329,7 @@ def _spanning(q: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np
 DENSE_PAIRS = 4096
 
 
-def _verify(radius: int):
+def _verify(radius: int, dense_pairs: int = DENSE_PAIRS):
     """Over rows sorted by group, with group (long) and probe: links as (a, b)."""
 
     def settle(g: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -338,10 +338,10 @@ def _verify(radius: int):
         nq = np.add.reduceat(probe.astype(np.int64), starts)
         nx = size - nq
         out = []
-        for s, n, k in zip(*(v[(nq * nx > DENSE_PAIRS)] for v in (starts, size, nq)), strict=True):
+        for s, n, k in zip(*(v[(nq * nx > dense_pairs)] for v in (starts, size, nq)), strict=True):
             own, p = fp[s : s + n], probe[s : s + n]
             out.append(_spanning(own[p], own[~p], radius))
-        small = (nq > 0) & (nx > 0) & (nq * nx <= DENSE_PAIRS)
+        small = (nq > 0) & (nx > 0) & (nq * nx <= dense_pairs)
         s, n, k = starts[small], nx[small], nq[small]
         # index rows stand first in a group: pairs of row s + j (j < nx) and s + nx + i (i < nq), a few groups at a time
         ends = np.cumsum(n * k)
@@ -384,7 +384,7 @@ def _verify(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, plan: Plan | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, plan: Plan | None = None, dense_pairs: int = DENSE_PAIRS) -> DataFrame:
     """fps (fp, distinct) to links (a, b) whose components are those of all pairs within the radius."""
     plan = plan or best_plan(fps, radius)
     rows = written(probes(fps, plan), "probes")
@@ -399,7 +399,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS,
         F.explode(F.when(F.col("probe"), F.transform(every("kx"), lambda x: F.struct(slot("kq", 1).alias("qb"), x.alias("xb")))).otherwise(F.transform(every("kq"), lambda x: F.struct(x.alias("qb"), slot("kx", 2).alias("xb"))))).alias("at"),
     ).select("part", "value", "at.qb", "at.xb", "fp", "probe")
     rows = rows.repartition("part", "value", "qb", "xb").sortWithinPartitions("part", "value", "qb", "xb", "probe")
-    return rows.mapInArrow(tidy(_verify(radius)), "a long, b long")
+    return rows.mapInArrow(tidy(_verify(radius, dense_pairs)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -428,7 +428,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: flo
     own = fingerprints(docs, id_col, text_col, carry=("__mark",), make=word_fingerprint).withColumn("__node", F.monotonically_increasing_id())
     own = written(own, "word-fingerprints")
     reps = written(own.groupBy("fp").agg(F.min("__node").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
-    pairs = links(reps, radius)
+    pairs = links(reps, radius, dense_pairs=SIMILAR_PAIRS)
     # a fingerprint of few rows proposes each of them, one of many its first row, with which all its rows are compared
     size = own.count()
     grouped = join_groups(own.select("__node", "fp"), reps, "fp", "n", size, "inner")
