@@ -23,8 +23,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose shingles of five words are 0.8 alike (pairs that SimHash proposes), the smallest id of each group stays."""
-    return simhash.drop_near_duplicates(docs, words=simhash.SIMILAR_WORDS, radius=simhash.SIMILAR_RADIUS, similarity=simhash.SIMILARITY)
+    """Of documents whose shingles of five words are 0.8 alike, the smallest id of each group stays."""
+    return simhash.drop_near_duplicates(docs, words=simhash.SIMILAR_WORDS, similarity=simhash.SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

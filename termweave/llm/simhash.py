@@ -24,8 +24,10 @@ component's id is its smallest id that is not null. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,11 @@ RADIUS = 4
 SHINGLE_WORDS = 4
 #: Texts as similar as this (Jaccard of shingles of so many words) are near copies for the pipeline.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
-#: Radius of the word fingerprints that propose such pairs.
-SIMILAR_RADIUS = 7
-#: Rows of one fingerprint up to which each is proposed, and pairs of a block up to which all are.
-SAME_ROWS, SIMILAR_PAIRS = 4, 256
+#: log2 of the counters by which shingles are put in order: 4 MB, whatever the input's size.
+COUNT_BITS, COUNT_CHUNK = 20, 1 << 14
+#: Rounds that compare the rows of a shingle with one of them, before all that are still apart are compared, and rows of
+#: one side of a block in that.
+STAR_ROUNDS, PAIR_ROWS = 6, 256
 #: Shingles whose hashes are held at once.
 HASH_BLOCK = 1 << 16
 #: Rows of one side of a block; a bucket with more is cut.
@@ -77,22 +80,6 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def word_fingerprint(text: bytes | None) -> int:
-    """SimHash of the distinct words.
-
-    An edit of one word changes five shingles of five words, but one of these features, so that texts whose shingles are
-    0.8 alike mostly lie within 7 bits, where their shingle fingerprints would be some 10 apart.
-    """
-    some = list(set((text or b"").lower().split()))
-    if not some:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(some), HASH_BLOCK):
-        got = np.array([xxhash.xxh64_intdigest(w, SEED) for w in some[at : at + HASH_BLOCK]], np.uint64)
-        ones += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(some), bitorder="little").view(np.uint64)[0])
-
-
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
     parts = (text or b"").lower().split()
@@ -102,15 +89,14 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.array([h(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))], np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, carry: tuple[str, ...] = (), make: Callable[[bytes | None], int] | None = None) -> DataFrame:
-    """(id_col, carry, fp long), one row per row. make: the fingerprint of a text, if not that of its shingles."""
-    make = make or (lambda text: fingerprint(text, words))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, carry, fp long), one row per row."""
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, *carry))
     bounded_batches(docs.sparkSession)
     src = docs.select(id_col, *carry, F.col(text_col).cast("binary").alias("__text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([make(t.as_py()) for t in batch.column("__text")], np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("__text")], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, *carry)), pa.array(fps)], names=[id_col, *carry, "fp"])
 
     return map_batches(src, run, f"{kept}fp long")
@@ -329,7 +315,7 @@ def _spanning(q: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np
 DENSE_PAIRS = 4096
 
 
-def _verify(radius: int, dense_pairs: int = DENSE_PAIRS):
+def _verify(radius: int):
     """Over rows sorted by group, with group (long) and probe: links as (a, b)."""
 
     def settle(g: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -338,10 +324,10 @@ def _verify(radius: int, dense_pairs: int = DENSE_PAIRS):
         nq = np.add.reduceat(probe.astype(np.int64), starts)
         nx = size - nq
         out = []
-        for s, n, k in zip(*(v[(nq * nx > dense_pairs)] for v in (starts, size, nq)), strict=True):
+        for s, n, k in zip(*(v[(nq * nx > DENSE_PAIRS)] for v in (starts, size, nq)), strict=True):
             own, p = fp[s : s + n], probe[s : s + n]
             out.append(_spanning(own[p], own[~p], radius))
-        small = (nq > 0) & (nx > 0) & (nq * nx <= dense_pairs)
+        small = (nq > 0) & (nx > 0) & (nq * nx <= DENSE_PAIRS)
         s, n, k = starts[small], nx[small], nq[small]
         # index rows stand first in a group: pairs of row s + j (j < nx) and s + nx + i (i < nq), a few groups at a time
         ends = np.cumsum(n * k)
@@ -384,7 +370,7 @@ def _verify(radius: int, dense_pairs: int = DENSE_PAIRS):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, plan: Plan | None = None, dense_pairs: int = DENSE_PAIRS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, plan: Plan | None = None) -> DataFrame:
     """fps (fp, distinct) to links (a, b) whose components are those of all pairs within the radius."""
     plan = plan or best_plan(fps, radius)
     rows = written(probes(fps, plan), "probes")
@@ -399,7 +385,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS,
         F.explode(F.when(F.col("probe"), F.transform(every("kx"), lambda x: F.struct(slot("kq", 1).alias("qb"), x.alias("xb")))).otherwise(F.transform(every("kq"), lambda x: F.struct(x.alias("qb"), slot("kx", 2).alias("xb"))))).alias("at"),
     ).select("part", "value", "at.qb", "at.xb", "fp", "probe")
     rows = rows.repartition("part", "value", "qb", "xb").sortWithinPartitions("part", "value", "qb", "xb", "probe")
-    return rows.mapInArrow(tidy(_verify(radius, dense_pairs)), "a long, b long")
+    return rows.mapInArrow(tidy(_verify(radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -419,51 +405,151 @@ def classes(own: DataFrame, id_col: str, radius: int = RADIUS, bucket_rows: int
     return join_groups(own, by_fp, "fp", "n", own.count(), "inner").drop("n")
 
 
-def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """docs (id_col, __mark, text_col) to (id_col, __mark, component_id): components of pairs verified as similar.
+# ---- similar texts -------------------------------------------------------------------------------------------------
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """2^COUNT_BITS counters of shingles by their upper bits, summed over all rows: a fixed size."""
 
-    Word fingerprints within the radius propose pairs, by the generalised pigeonhole search. Each proposal is verified on the whole shingle sets. Only rows in a proposal have theirs
-    made, and a bitmap of fixed size keeps the texts of all others out of the shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for b in batches:
+            for s in b.column("__set"):
+                np.add.at(total, np.frombuffer(s.as_py(), np.uint64) >> np.uint64(64 - COUNT_BITS), 1)
+        at = range(0, 1 << COUNT_BITS, COUNT_CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([np.minimum(total[i : i + COUNT_CHUNK], 2**32 - 1).astype(np.uint32).tobytes() for i in at])], names=["at", "n"])
+
+    def added(chunks: pa.Table) -> pa.Table:
+        total = np.zeros(COUNT_CHUNK, np.int64)
+        for n in chunks.column("n"):
+            total += np.frombuffer(n.as_py(), np.uint32)
+        return pa.table({"at": chunks.column("at")[:1], "n": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+
+    out = np.zeros(1 << COUNT_BITS, np.uint32)
+    for at, n in sets.select("__set").mapInArrow(tidy(run), "at int, n binary").groupBy("at").applyInArrow(added, "at int, n binary").collect():
+        out[at : at + COUNT_CHUNK] = np.frombuffer(n, np.uint32)
+    return out
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(token, node, size, pos): of each set the first shingles, rare ones before common ones.
+
+    In one order of all shingles, two sets of a Jaccard similarity t share one of their first n - ceil(t n) + 1. Any order
+    does; the counters only keep common shingles out. Sets without a shingle share token zero.
+    """
+
+    def rows(token: list, node: list, size: list, pos: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(v)) for v in (node, size, pos))], names=["token", "node", "size", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, much = ([], [], [], []), 0
+            for node, s in zip(batch.column("__node"), batch.column("__set"), strict=True):
+                h = np.frombuffer(s.as_py(), np.uint64)
+                n = len(h)
+                first = h[np.lexsort((h, counts[h >> np.uint64(64 - COUNT_BITS)]))[: n - ceil(similarity * n - 1e-9) + 1]] if n else np.zeros(1, np.uint64)
+                k = len(first)
+                for v, x in zip(held, (first, np.full(k, node.as_py()), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)), strict=True):
+                    v.append(x)
+                much += k
+                if much > HASH_BLOCK:
+                    yield rows(*held)
+                    held, much = ([], [], [], []), 0
+            if much:
+                yield rows(*held)
+
+    return sets.select("__node", "__set").mapInArrow(tidy(run), "token long, node long, size int, pos int")
+
+
+def _may_be(similarity: float, a: str, b: str) -> Column:
+    """Whether sets that share a shingle at pos, and none before, can be that similar."""
+    left = lambda c: F.col(f"{c}.size") - F.col(f"{c}.pos")
+    # sets without a shingle have no place left, and are alike
+    return F.least(left(a), left(b)) + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def _star_pairs(live: DataFrame, similarity: float, turn: int, rows: int) -> DataFrame:
+    """Each row of a token with one of them, of the largest component there is; another one each turn."""
+    best = live.groupBy("token").agg(F.min(F.struct(-F.col("together"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "pos", "root")).alias("b"), F.count("*").alias("k"))
+    pairs = join_groups(live.select("token", F.struct("node", "size", "pos", "root").alias("a")), written(best, "centres"), "token", "k", rows, "inner")
+    return _ordered(pairs.filter("a.root <> b.root").filter(_may_be(similarity, "a", "b")))
+
+
+def _all_pairs(live: DataFrame, similarity: float) -> DataFrame:
+    """All rows of a token that are not of one component yet, in blocks."""
+    blocks = F.ceil(F.col("k") / PAIR_ROWS).cast("int")
+    row = F.struct("node", "size", "pos", "root")
+    a = live.select("token", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), row.alias("a"))
+    b = live.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), row.alias("b"))
+    return _ordered(a.join(b, ["token", "block"]).filter("a.node < b.node and a.root <> b.root").filter(_may_be(similarity, "a", "b")))
+
+
+def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
+    """docs (id_col, __mark, text_col) to (id_col, __mark, component_id): components of all pairs that are similar.
+
+    Exact: pairs that share a shingle of their prefixes are verified on the whole sets, but for those that are of one
+    component already. So that a large group is not compared pair by pair, rows of a shingle are first compared with one
+    of them, in a few rounds, and then all with all that are still apart.
     """
-    own = fingerprints(docs, id_col, text_col, carry=("__mark",), make=word_fingerprint).withColumn("__node", F.monotonically_increasing_id())
-    own = written(own, "word-fingerprints")
-    reps = written(own.groupBy("fp").agg(F.min("__node").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
-    pairs = links(reps, radius, dense_pairs=SIMILAR_PAIRS)
-    # a fingerprint of few rows proposes each of them, one of many its first row, with which all its rows are compared
-    size = own.count()
-    grouped = join_groups(own.select("__node", "fp"), reps, "fp", "n", size, "inner")
-    members = written(grouped.filter((F.col("n") <= SAME_ROWS) | (F.col("__node") == F.col("low"))), "fingerprint-members")
-    at = lambda c: members.select(F.col("fp").alias(c), F.col("__node").alias(f"{c}_node"))
-    across = pairs.join(at("a"), "a").join(at("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    few = members.filter(F.col("n").between(2, SAME_ROWS))
-    both = few.select("fp", F.col("__node").alias("a")).join(few.select("fp", F.col("__node").alias("b")), "fp").filter("a < b").select("a", "b")
-    many = grouped.filter((F.col("n") > SAME_ROWS) & (F.col("__node") != F.col("low"))).select(F.col("__node").alias("a"), F.col("low").alias("b"))
-    pairs = written(across.unionByName(both).unionByName(many).distinct(), "proposals")
-    nodes = pairs.select(F.col("a").alias("__node")).unionByName(pairs.select(F.col("b").alias("__node"))).distinct()
-    keys = written(own.join(nodes, "__node", "left_semi").select("__node", F.col(id_col).alias("__id"), F.col("__mark").alias("__of")), "proposed-rows")
-    texts = with_hit(docs, _row_key(F.col(id_col), F.col("__mark")), key_bitmap(keys, _row_key(F.col("__id"), F.col("__of")))).filter("__hit")
-    texts = texts.select(id_col, "__mark", F.col(text_col).cast("binary").alias("__text")).dropDuplicates([id_col, "__mark"])
     bounded_batches(docs.sparkSession)
 
-    @F.arrow_udf("binary")
-    def shingled(batch: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch], pa.binary())
+    def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column("__text")], pa.binary())
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, "__mark", "__node")), found], names=[id_col, "__mark", "__node", "__set"])
 
-    @F.arrow_udf("boolean")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = []
+        for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             both = len(np.intersect1d(p, q, assume_unique=True))
             # two texts without a word are alike
-            out.append(both >= similarity * (len(p) + len(q) - both))
-        return pa.array(out, pa.bool_())
-
-    sets = texts.join(keys, (F.col("__mark") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id"))).select("__node", shingled("__text").alias("__set"))
-    sets = written(sets, "shingle-sets")
-    side = lambda c: sets.select(F.col("__node").alias(c), F.col("__set").alias(f"{c}_set"))
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("a_set", "b_set")).select("a", "b")
-    roots = written(components(verified), "roots")
+            ok.append(both >= similarity * (len(p) + len(q) - both))
+        return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    texts = docs.select(id_col, "__mark", F.monotonically_increasing_id().alias("__node"), F.col(text_col).cast("binary").alias("__text"))
+    sets = written(map_batches(texts, shingled, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, __mark long, __node long, __set binary"), "shingle-sets")
+    firsts = written(prefixes(sets, shingle_counts(sets), similarity), "prefixes")
+    shared = written(firsts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"), "shared-shingles")
+    some = with_hit(firsts, F.col("token"), key_bitmap(shared, F.col("token"), 24), 24).filter("__hit").drop("__hit")
+    live = written(join_groups(some, shared, "token", "k", firsts.count(), "inner").drop("k"), "shared-prefixes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("__at")).distinct()
+        known = with_hit(sets.select("__node", "__set"), F.xxhash64("__node"), key_bitmap(nodes, F.xxhash64("__at"))).filter("__hit")
+        side = lambda c: known.select(F.col("__node").alias(c), F.col("__set").alias(f"{c}_set"))
+        return written(map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), alike, "a long, b long"), "similar-pairs")
+
+    seen, similar, roots = [], [], None
+    for turn in range(STAR_ROUNDS + 1):
+        if roots is None:
+            live = live.withColumn("root", F.col("node")).withColumn("together", F.lit(1).cast("long"))
+        else:
+            sizes = roots.join(roots.groupBy("root").agg(F.count("*").alias("together")), "root")
+            live = live.drop("root", "together", "k").join(sizes, "node", "left").withColumns({"root": F.coalesce("root", "node"), "together": F.coalesce("together", F.lit(1).cast("long"))})
+        # tokens whose rows are of one component have nothing left to tell
+        held = live.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("roots"))
+        held = written(held.filter("roots > 1"), "open-shingles")
+        rows, apart = held.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("within")) / 2), F.lit(0))).first()
+        if not rows:
+            break
+        live = written(join_groups(live, held.select("token", "k"), "token", "k", rows, "inner"), "open-prefixes")
+        last = turn == STAR_ROUNDS or apart <= 2 * rows
+        pairs = _all_pairs(live, similarity) if last else _star_pairs(live, similarity, turn, rows)
+        for s in seen:
+            pairs = pairs.join(s, ["a", "b"], "left_anti")
+        pairs = written(pairs, "proposals")
+        seen.append(pairs)
+        similar.append(verified(pairs))
+        roots = written(components(reduce(DataFrame.unionByName, similar)), "roots")
+        if last:
+            break
+    own = sets.select(id_col, "__mark", "__node")
+    if roots is None:
+        return own.select(id_col, "__mark", F.col(id_col).alias("component_id"))
     linked = own.join(roots, own["__node"] == roots["node"]).select(id_col, "__mark", "root")
     lows = linked.groupBy("root").agg(F.min(id_col).alias("component_id"))
     rest = own.join(roots, own["__node"] == roots["node"], "left_anti").select(id_col, "__mark", F.col(id_col).alias("component_id"))
@@ -478,7 +564,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each component: that with the smallest id; of repeated rows (same id and text), one.
 
     Components are those of fingerprints within the radius; with a similarity, those of pairs whose shingles of `words`
-    words are that similar (Jaccard), which fingerprints only propose. Rows without an id stay if no row of their
+    words are that similar (Jaccard), all of them; the radius then does not count. Rows without an id stay if no row of their
     component has one.
     """
     docs, (id_col, text_col), back = shielded(docs, id_col, text_col)
@@ -487,7 +573,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         own = written(fingerprints(docs.withColumn("__mark", mark), id_col, text_col, words, ("__mark",)), "fingerprints")
         found = classes(own, id_col, radius)
     else:
-        found = similar_classes(docs.select(id_col, text_col).withColumn("__mark", mark), id_col, text_col, similarity, words, radius)
+        found = similar_classes(docs.select(id_col, text_col).withColumn("__mark", mark), id_col, text_col, similarity, words)
     keys = found.groupBy(F.col(id_col).alias("__id"), F.col("__mark").alias("__of")).agg(F.count("*").alias("__n"), F.first("component_id").alias("__root"))
     keys = written(keys.withColumn("__stays", F.col("__id").eqNullSafe(F.col("__root"))), "near-duplicate-keys")
     # rows that surely stay are told by a bitmap of fixed size; only the rest are shuffled

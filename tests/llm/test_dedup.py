@@ -170,6 +170,26 @@ def test_similar_drop(spark):
     assert stays <= kept and len(kept - stays) <= 0.05 * len(texts)
 
 
+def similar_kept(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {x["doc_id"] for x in simhash.drop_near_duplicates(df, words=5, radius=7, similarity=0.8).collect()}
+
+
+def test_similar_drop_of_stars(spark):
+    """Each copy is similar to the base alone: none is missed, wherever the base stands."""
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in r.integers(0, 5000, 300)]
+    texts = {}
+    for k in range(120):
+        own = list(base)
+        for at in r.choice(56, 6 if k != 77 else 0, replace=False) * 5 + 7:
+            own[at] = f"e{k}"
+        texts[k] = " ".join(own)
+    stays = slow_similar(texts)
+    assert len(slow_similar({k: v for k, v in texts.items() if k != 77})) > 60 and len(stays) == 1
+    assert similar_kept(spark, texts) == stays
+
+
 def test_similar_drop_of_odd_rows(odd, empty):
     got = simhash.drop_near_duplicates(odd, words=5, radius=7, similarity=0.8)
     assert got.columns == odd.columns
