@@ -190,6 +190,21 @@ def test_similar_drop_of_stars(spark):
     assert similar_kept(spark, texts) == stays
 
 
+def test_similar_drop_of_reordered_words(spark):
+    """Texts of the same words in other orders, each with near copies of its own: copies go, whatever comes first."""
+    r = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(200)]
+    orders = [list(r.permutation(words)) for _ in range(4)]
+    texts = {0: " ".join(words)}
+    for o in orders:
+        for k in range(4):
+            own = list(o)
+            own[10 * k], own[10 * k + 1] = own[10 * k + 1], own[10 * k]
+            texts[len(texts)] = " ".join(own)
+    stays = slow_similar(texts)
+    assert len(stays) == 5 and similar_kept(spark, texts) == stays
+
+
 def test_similar_drop_of_odd_rows(odd, empty):
     got = simhash.drop_near_duplicates(odd, words=5, radius=7, similarity=0.8)
     assert got.columns == odd.columns
