@@ -205,6 +205,19 @@ def test_similar_drop_of_reordered_words(spark):
     assert len(stays) == 5 and similar_kept(spark, texts) == stays
 
 
+def test_similar_drop_of_block_edits(spark):
+    """Sections that were added, before or after, or cut."""
+    r = np.random.default_rng(7)
+    texts = {}
+    for g in range(40):
+        base = [f"w{i}" for i in r.integers(0, 5000, 200)]
+        block = [f"b{g}x{i}" for i in range(10 + g)]
+        for own in (base, [base + block, block + base, base[: 190 - g // 2]][g % 3]):
+            texts[len(texts)] = " ".join(own)
+    stays = slow_similar(texts)
+    assert len(stays) == 40 and similar_kept(spark, texts) == stays
+
+
 def test_similar_drop_of_odd_rows(odd, empty):
     got = simhash.drop_near_duplicates(odd, words=5, radius=7, similarity=0.8)
     assert got.columns == odd.columns
