@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import math
 import shutil
 import tempfile
 import uuid
@@ -22,26 +23,45 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where that setting is absent and all runs on one machine (tests), a temporary folder takes its place; a cluster
+    without it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='termweave-')}"
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/termweave/{spark.sparkContext.applicationId}"
+
+
+#: Applications whose scratch folder the driver's JVM removes when it ends.
+_GOING: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's scratch folder, which goes when the driver ends: lazy results read from it until then."""
+    own = _own_scratch(spark)
+    if own not in _GOING:
+        p = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(p)
+        system.deleteOnExit(p)
+        _GOING.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Removes all scratch tables; results that are still lazy need theirs until they are written."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/termweave")
+    """Removes this application's scratch tables; results that are still lazy need theirs until they are written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
@@ -65,16 +85,16 @@ def as_long(h: Column) -> Column:
     return h.cast("long")
 
 
-#: Rows that go to Python at once, where rows are whole texts; Spark's own default would hold ten times as many.
-TEXT_ROWS = 1000
+#: Rows and bytes that go to Python at once, where rows are whole texts; Spark's own default would hold ten times as many.
+TEXT_ROWS, TEXT_BYTES = 1000, 16 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Lowers the session's Arrow batch to rows, if it is larger: it bounds the memory of Python workers that read texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = TEXT_ROWS, size: int = TEXT_BYTES) -> None:
+    """Lowers the session's Arrow batch, if it is larger: it bounds the memory of Python workers that read texts."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(name)).removesuffix("b").removesuffix("B")
+        if not now.lstrip("-").isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(name, str(most))
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -101,8 +121,13 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(tidy(run), schema)
 
 
-#: log2 of a key bitmap's bits: 2^20 bits, 16,384 rows of 64, 128 KB, whatever the input's size.
-FILTER_BITS = 20
+#: log2 of a key bitmap's bits, at least and at most: 2^24 bits are 262,144 rows of 64, 2 MB, whatever the input's size.
+FILTER_BITS, MOST_FILTER_BITS = 20, 24
+
+
+def filter_bits(keys: int) -> int:
+    """log2 of the bits that let about one in sixteen of other keys pass, as long as that is within the bound."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, math.ceil(math.log2(16 * max(1, keys)))))
 
 
 def key_bitmap(keys: DataFrame, hashed: Column, bits: int = FILTER_BITS) -> DataFrame:

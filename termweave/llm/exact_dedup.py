@@ -2,7 +2,7 @@
 
 Texts are equal when they are identical after all ASCII white space is deleted; null counts as empty. A row whose
 length, or whose length and prefix hash, no other row shares has no duplicate and its content is never hashed in full.
-The keys that are left go into a bitmap of a fixed size, so that the second pass over the texts decides on the map side
+The keys that are left go into a bitmap of a bounded size, so that the second pass over the texts decides on the map side
 which rows to hash: texts are not shuffled to be hashed, and a false positive of the bitmap costs a hash, never a result.
 Equality ends at SHA-256 of the whole normalised text.
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import FILTER_BITS, join_groups, key_bitmap, shielded, with_hit, written
+from .common import filter_bits, join_groups, key_bitmap, shielded, with_hit, written
 
 PREFIX_CHARS = 256
 
@@ -33,25 +33,26 @@ def _keyed(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
     return df
 
 
-def _candidates(docs: DataFrame, text: str, prefix_chars: int, filter_bits: int) -> DataFrame:
+def _candidates(docs: DataFrame, text: str, prefix_chars: int, bits: int | None) -> DataFrame:
     """docs with __norm, __full (SHA-256, null where refinement already shows the row to be alone)."""
     # round 1 and 2 work on one row for each (length, prefix hash): a skinny table, made by a map-side aggregate
     keys = written(_keyed(docs.select(text), text, prefix_chars).groupBy("__len", "__prefix").agg(F.count("*").alias("n")), "dedup-keys")
     lengths = keys.groupBy("__len").agg(F.sum("n").alias("n_len")).filter("n_len > 1").select("__len")
-    left = keys.filter("n > 1").join(lengths, "__len", "left_semi")
+    left = written(keys.filter("n > 1").join(lengths, "__len", "left_semi"), "dedup-open-keys")
     key = F.xxhash64("__len", "__prefix")
+    bits = bits or filter_bits(left.count())
     # round 3: the full hash, only where the bitmap has the row's key
-    df = with_hit(_keyed(docs, text, prefix_chars), key, key_bitmap(left, key, filter_bits), filter_bits)
+    df = with_hit(_keyed(docs, text, prefix_chars), key, key_bitmap(left, key, bits), bits)
     return df.withColumn("__full", F.when(F.col("__hit"), F.sha2("__norm", 256))).drop("__hit", "__len", "__prefix")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS, bits: int | None = None) -> DataFrame:
     """One row per row of docs: id_col, carry, keep_id, group_size, kept.
 
     carry: columns of docs to return as well. The join that brings a group's decision back to its rows is on the hash;
     hot groups, whose number is bounded, are broadcast instead.
     """
-    rows = _candidates(docs, text_col, prefix_chars, filter_bits)
+    rows = _candidates(docs, text_col, prefix_chars, bits)
     rows = rows.select(
         F.col(id_col).alias("__id"), *carry, "__full",
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("__chars"),
@@ -78,14 +79,14 @@ def _descending(c, kind):
     return -c if isinstance(kind, NumericType) else c
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bits: int | None = None) -> DataFrame:
     """docs, with the row that stays of each group, all columns as they were.
 
     Rows that refinement shows to be alone pass without a shuffle; of the others, a map-side aggregate sends on the best
     row of each group and task, so that a group of any size shuffles one row a task.
     """
     docs, (id_col, text_col), back = shielded(docs, id_col, text_col)
-    rows = _candidates(docs, text_col, prefix_chars, filter_bits)
+    rows = _candidates(docs, text_col, prefix_chars, bits)
     whole = F.struct(*[F.col(c) for c in docs.columns])
     order = F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("c"), F.col(id_col).isNotNull().alias("n"), _descending(F.col(id_col), docs.schema[id_col].dataType).alias("i"))
     alone = rows.filter("__full is null").select(*docs.columns)

@@ -17,6 +17,11 @@ Search, over distinct fingerprints only:
    on, which loses no component.
 4. Components of the links, then back to documents through the fingerprint.
 
+Similar texts (`similarity`): the same search over SimHashes of the distinct words proposes pairs, which are verified by
+the Jaccard similarity of their sets of shingles. What fingerprints do not bring together is completed exactly: of two
+sets that are similar, each has one of the other's first shingles in a common order (prefix filter), so pairs that share
+one and are not of one component yet are verified as well.
+
 Null and blank texts have fingerprint zero, which links like any other. Texts of any length are read whole, hashes in
 blocks. Repeated rows give repeated results. An empty table gives an empty one. A null id takes part in links; a
 component's id is its smallest id that is not null. Extra columns are not read.
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_groups, key_bitmap, map_batches, shielded, tidy, with_hit, written
+from .common import bounded_batches, filter_bits, join_groups, key_bitmap, map_batches, shielded, tidy, with_hit, written
 from .components import components
 
 SEED = 42
@@ -43,6 +48,10 @@ RADIUS = 4
 SHINGLE_WORDS = 4
 #: Texts as similar as this (Jaccard of shingles of so many words) are near copies for the pipeline.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
+#: Within so many bits of their word fingerprints texts are proposed as similar.
+SIMILAR_RADIUS = 7
+#: Pairs that one text is verified in at once, in one task.
+SIDE_PAIRS = 4096
 #: log2 of the counters by which shingles are put in order: 4 MB, whatever the input's size.
 COUNT_BITS, COUNT_CHUNK = 20, 1 << 14
 #: Rounds that compare the rows of a shingle with one of them, before all that are still apart are compared, and rows of
@@ -61,32 +70,50 @@ CANDIDATE_COST = 0.2
 # ---- fingerprints --------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
+def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
+    """The hashes of the shingles in order, repeats included, in blocks."""
     parts = (text or b"").lower().split()
     if not parts:
-        return 0
+        return
     h = xxhash.xxh64_intdigest
     n = max(1, len(parts) - words + 1)
     joined = b" ".join(parts)
     if n == 1:
-        return h(joined, SEED)
+        yield np.array([h(joined, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     first = np.concatenate(([0], ends[: n - 1])).tolist()
     last = (ends[words - 1 :] - 1).tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, HASH_BLOCK):
-        got = np.array([h(joined[a:b], SEED) for a, b in zip(first[at : at + HASH_BLOCK], last[at : at + HASH_BLOCK])], np.uint64)
+        yield np.array([h(joined[a:b], SEED) for a, b in zip(first[at : at + HASH_BLOCK], last[at : at + HASH_BLOCK])], np.uint64)
+
+
+def simhash(hashes: Iterator[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half the hashes; zero if there are none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for got in hashes:
         ones += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+        n += len(got)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]) if n else 0
+
+
+def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
+    return simhash(shingle_hashes(text, words))
+
+
+def word_fingerprint(text: bytes | None) -> int:
+    """SimHash of the distinct words.
+
+    An edit of one word changes five shingles of five words, but one of these features, so that texts whose shingles are
+    0.8 alike mostly lie within 7 bits, where their shingle fingerprints would be some 10 apart.
+    """
+    some = list(set((text or b"").lower().split()))
+    return simhash(np.array([xxhash.xxh64_intdigest(w, SEED) for w in some[at : at + HASH_BLOCK]], np.uint64) for at in range(0, len(some), HASH_BLOCK))
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
-    parts = (text or b"").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(parts[i : i + words]), SEED) for i in range(max(1, len(parts) - words + 1))], np.uint64))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -373,11 +400,12 @@ def _verify(radius: int):
 def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, plan: Plan | None = None) -> DataFrame:
     """fps (fp, distinct) to links (a, b) whose components are those of all pairs within the radius."""
     plan = plan or best_plan(fps, radius)
-    rows = written(probes(fps, plan), "probes")
-    size = rows.groupBy("part", "value").agg(F.count_if("probe").alias("nq"), F.count_if(~F.col("probe")).alias("nx"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    # values have 32 bits at most
+    rows = written(probes(fps, plan).withColumn("key", F.shiftleft(F.col("part").cast("long"), 32) + F.col("value")), "probes")
+    size = rows.groupBy("key").agg(F.count_if("probe").alias("nq"), F.count_if(~F.col("probe")).alias("nx"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     # most keys hold one fingerprint alone, and nothing to compare
-    size = size.filter("nq > 0 and nx > 0 and lo <> hi").select("part", "value", F.ceil(F.col("nq") / bucket_rows).cast("int").alias("kq"), F.ceil(F.col("nx") / bucket_rows).cast("int").alias("kx"))
-    rows = rows.join(size, ["part", "value"])
+    size = size.filter("nq > 0 and nx > 0 and lo <> hi").select("key", (F.col("nq") + F.col("nx")).alias("n"), F.ceil(F.col("nq") / bucket_rows).cast("int").alias("kq"), F.ceil(F.col("nx") / bucket_rows).cast("int").alias("kx"))
+    rows = join_groups(rows, written(size, "probed-keys"), "key", "n", rows.count(), "inner")
     slot = lambda k, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(k)).cast("int")
     every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
     rows = rows.select(
@@ -398,24 +426,29 @@ def classes(own: DataFrame, id_col: str, radius: int = RADIUS, bucket_rows: int
     """own (id_col, fp, ...) with component_id, the smallest id of the component."""
     reps = written(own.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(links(reps, radius, bucket_rows)).withColumnRenamed("node", "fp")
-    roots = written(roots, "roots")
-    linked = reps.join(roots, "fp")
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = linked.join(lows, "root").select("fp", "component_id", "n").unionByName(reps.join(roots, "fp", "left_anti").select("fp", F.col("low").alias("component_id"), "n"))
-    return join_groups(own, by_fp, "fp", "n", own.count(), "inner").drop("n")
+    by_fp = _lowest(reps.join(written(roots, "roots"), "fp", "left"), "low", reps.count())
+    return join_groups(own, by_fp.drop("root", "low"), "fp", "n", own.count(), "inner").drop("n")
+
+
+def _lowest(rows: DataFrame, low: str, total: int) -> DataFrame:
+    """rows (low, root or null, ...) with component_id: the smallest `low` of the rows of a root, a rootless row's own."""
+    rows = written(rows, "rooted")
+    lows = rows.filter("root is not null").groupBy("root").agg(F.min(low).alias("component_id"), F.count("*").alias("__k"))
+    linked = join_groups(rows.filter("root is not null"), written(lows, "root-lows"), "root", "__k", total, "inner").drop("__k")
+    return linked.select(*rows.columns, "component_id").unionByName(rows.filter("root is null").withColumn("component_id", F.col(low)))
 
 
 # ---- similar texts -------------------------------------------------------------------------------------------------
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
+def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     """2^COUNT_BITS counters of shingles by their upper bits, summed over all rows: a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
-            for s in b.column("__set"):
-                np.add.at(total, np.frombuffer(s.as_py(), np.uint64) >> np.uint64(64 - COUNT_BITS), 1)
+            for t in b.column(0):
+                np.add.at(total, (shingle_set(t.as_py(), words) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         at = range(0, 1 << COUNT_BITS, COUNT_CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([np.minimum(total[i : i + COUNT_CHUNK], 2**32 - 1).astype(np.uint32).tobytes() for i in at])], names=["at", "n"])
 
@@ -426,39 +459,41 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
         return pa.table({"at": chunks.column("at")[:1], "n": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     out = np.zeros(1 << COUNT_BITS, np.uint32)
-    for at, n in sets.select("__set").mapInArrow(tidy(run), "at int, n binary").groupBy("at").applyInArrow(added, "at int, n binary").collect():
+    for at, n in docs.select(F.col(text_col).cast("binary")).mapInArrow(tidy(run), "at int, n binary").groupBy("at").applyInArrow(added, "at int, n binary").collect():
         out[at : at + COUNT_CHUNK] = np.frombuffer(n, np.uint32)
     return out
 
 
-def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(token, node, size, pos): of each set the first shingles, rare ones before common ones.
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones.
 
     In one order of all shingles, two sets of a Jaccard similarity t share one of their first n - ceil(t n) + 1. Any order
-    does; the counters only keep common shingles out. Sets without a shingle share token zero.
+    does; the counters only keep common shingles out. Sets without a shingle share shingle zero.
     """
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.uint64)
+    return hashes[np.lexsort((hashes, counts[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))[: n - ceil(similarity * n - 1e-9) + 1]]
 
-    def rows(token: list, node: list, size: list, pos: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(v)) for v in (node, size, pos))], names=["token", "node", "size", "pos"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, much = ([], [], [], []), 0
-            for node, s in zip(batch.column("__node"), batch.column("__set"), strict=True):
-                h = np.frombuffer(s.as_py(), np.uint64)
-                n = len(h)
-                first = h[np.lexsort((h, counts[h >> np.uint64(64 - COUNT_BITS)]))[: n - ceil(similarity * n - 1e-9) + 1]] if n else np.zeros(1, np.uint64)
-                k = len(first)
-                for v, x in zip(held, (first, np.full(k, node.as_py()), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)), strict=True):
-                    v.append(x)
-                much += k
-                if much > HASH_BLOCK:
-                    yield rows(*held)
-                    held, much = ([], [], [], []), 0
-            if much:
-                yield rows(*held)
-
-    return sets.select("__node", "__set").mapInArrow(tidy(run), "token long, node long, size int, pos int")
+def sketches(docs: DataFrame, id_col: str, text_col: str, carry: str, counts: np.ndarray, similarity: float, words: int) -> DataFrame:
+    """(id_col, carry, fp long, size int, prefix array<long>), one row per row: word fingerprint, shingles, the first of them."""
+    sent = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MB
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, sizes, firsts = [], [], []
+        for t in batch.column("__text"):
+            t = t.as_py()
+            own = shingle_set(t, words)
+            fps.append(word_fingerprint(t))
+            sizes.append(len(own))
+            firsts.append(prefix(own, sent.value, similarity).view(np.int64))
+        ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+        held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+        return pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(carry), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), held], names=[id_col, carry, "fp", "size", "prefix"])
+
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, carry))
+    return map_batches(docs.select(id_col, carry, F.col(text_col).cast("binary").alias("__text")), run, f"{kept}fp long, size int, prefix array<long>")
 
 
 def _may_be(similarity: float, a: str, b: str) -> Column:
@@ -488,48 +523,100 @@ def _all_pairs(live: DataFrame, similarity: float) -> DataFrame:
     return _ordered(a.join(b, ["token", "block"]).filter("a.node < b.node and a.root <> b.root").filter(_may_be(similarity, "a", "b")))
 
 
-def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
+class Verifier:
+    """Pairs (a, b) of rows, by the numbers of own (__node, id_col, __mark), to those that are similar.
+
+    Shingle sets are made once, of rows that are in some pair, from texts that a bitmap tells on the map side. A row with
+    many pairs meets them in blocks.
+    """
+
+    def __init__(self, docs: DataFrame, own: DataFrame, id_col: str, text_col: str, similarity: float, words: int):
+        self.docs, self.own, self.id_col, self.text_col, self.similarity, self.words = docs, own, id_col, text_col, similarity, words
+        self.sets: DataFrame | None = None
+
+    def _made(self, nodes: DataFrame) -> DataFrame:
+        keys = written(self.own.join(nodes, "__node", "left_semi").select("__node", F.col(self.id_col).alias("__id"), F.col("__mark").alias("__of")), "paired-rows")
+        bits = filter_bits(keys.count())
+        texts = with_hit(self.docs, _row_key(F.col(self.id_col), F.col("__mark")), key_bitmap(keys, _row_key(F.col("__id"), F.col("__of")), bits), bits).filter("__hit")
+        texts = texts.select(self.id_col, "__mark", F.col(self.text_col).cast("binary").alias("__text")).dropDuplicates([self.id_col, "__mark"])
+        texts = texts.join(keys, (F.col("__mark") == F.col("__of")) & F.col(self.id_col).eqNullSafe(F.col("__id"))).select("__node", "__text")
+        words = self.words
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column("__text")], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column("__node"), found], names=["__node", "__set"])
+
+        return written(map_batches(texts, run, "__node long, __set binary"), "shingle-sets")
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """pairs should be written: they are read more than once."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets, "__node", "left_anti")
+        new = self._made(nodes)
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        found = self._beside(self._beside(pairs, "a"), "b")
+        similarity = self.similarity
+
+        def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ok = []
+            for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                # two texts without a word are alike
+                ok.append(both >= similarity * (len(p) + len(q) - both))
+            return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return written(map_batches(found.select("a", "b", "a_set", "b_set"), alike, "a long, b long"), "similar-pairs")
+
+    def _beside(self, pairs: DataFrame, side: str) -> DataFrame:
+        """pairs with the set of one side. A row's set goes once to each block of its pairs."""
+        often = pairs.groupBy(side).agg(F.count("*").alias("__n")).filter(F.col("__n") > SIDE_PAIRS).withColumn("__k", F.ceil(F.col("__n") / SIDE_PAIRS).cast("int"))
+        sets = self.sets.select(F.col("__node").alias(side), F.col("__set").alias(f"{side}_set"))
+        often = written(often, "frequent-rows")
+        total = often.agg(F.sum("__n")).first()[0]
+        if not total:
+            return pairs.join(sets, side)
+        # at most a block's worth of rows in SIDE_PAIRS, joined to the pairs hot ones apart
+        dealt = join_groups(pairs, often, side, "__n", total).withColumn("__block", F.pmod(F.xxhash64("a", "b"), F.coalesce("__k", F.lit(1))).cast("int")).drop("__n", "__k")
+        copies = sets.join(often, side, "left").withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1))).drop("__n", "__k")
+        return dealt.join(copies, [side, "__block"]).drop("__block")
+
+
+def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, radius: int = SIMILAR_RADIUS) -> DataFrame:
     """docs (id_col, __mark, text_col) to (id_col, __mark, component_id): components of all pairs that are similar.
 
-    Exact: pairs that share a shingle of their prefixes are verified on the whole sets, but for those that are of one
-    component already. So that a large group is not compared pair by pair, rows of a shingle are first compared with one
-    of them, in a few rounds, and then all with all that are still apart.
+    1. Word fingerprints within the radius, found by the generalised pigeonhole search, propose pairs: one row of each
+       fingerprint with one of the other, and with the rows of its own.
+    2. What is similar and lies farther apart, or was not proposed, is found by the prefix filter, among rows that are not
+       of one component yet. So that a large group is not compared pair by pair, rows of a shingle are first compared with
+       one of them, in a few rounds, and then all with all that are still apart.
+
+    All proposals are verified on whole sets, and only verified pairs make components.
     """
     bounded_batches(docs.sparkSession)
-
-    def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column("__text")], pa.binary())
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, "__mark", "__node")), found], names=[id_col, "__mark", "__node", "__set"])
-
-    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = []
-        for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
-            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            # two texts without a word are alike
-            ok.append(both >= similarity * (len(p) + len(q) - both))
-        return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    texts = docs.select(id_col, "__mark", F.monotonically_increasing_id().alias("__node"), F.col(text_col).cast("binary").alias("__text"))
-    sets = written(map_batches(texts, shingled, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, __mark long, __node long, __set binary"), "shingle-sets")
-    firsts = written(prefixes(sets, shingle_counts(sets), similarity), "prefixes")
+    own = sketches(docs, id_col, text_col, "__mark", shingle_counts(docs, text_col, words), similarity, words)
+    own = written(own.withColumn("__node", F.monotonically_increasing_id()), "sketches")
+    verified, total = Verifier(docs, own, id_col, text_col, similarity, words), own.count()
+
+    reps = written(own.groupBy("fp").agg(F.min("__node").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
+    of = lambda c: reps.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low"))
+    across = links(reps, radius).join(of("a"), "a").join(of("b"), "b").select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b"))
+    within = join_groups(own.select("__node", "fp"), reps.filter("n > 1"), "fp", "n", total, "inner").filter("__node <> low").select(F.col("low").alias("a"), F.col("__node").alias("b"))
+    seen = [written(across.unionByName(within), "proposals")]
+    similar = [verified(seen[0])]
+    roots = written(components(similar[0]), "roots")
+
+    firsts = own.select(F.col("__node").alias("node"), "size", F.posexplode("prefix").alias("pos", "token"))
     shared = written(firsts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"), "shared-shingles")
-    some = with_hit(firsts, F.col("token"), key_bitmap(shared, F.col("token"), 24), 24).filter("__hit").drop("__hit")
-    live = written(join_groups(some, shared, "token", "k", firsts.count(), "inner").drop("k"), "shared-prefixes")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("__at")).distinct()
-        known = with_hit(sets.select("__node", "__set"), F.xxhash64("__node"), key_bitmap(nodes, F.xxhash64("__at"))).filter("__hit")
-        side = lambda c: known.select(F.col("__node").alias(c), F.col("__set").alias(f"{c}_set"))
-        return written(map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), alike, "a long, b long"), "similar-pairs")
+    bits = filter_bits(shared.count())
+    some = with_hit(firsts, F.xxhash64("token"), key_bitmap(shared, F.xxhash64("token"), bits), bits).filter("__hit").drop("__hit")
+    live = written(join_groups(some, shared, "token", "k", own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], "inner").drop("k"), "shared-prefixes")
 
-    seen, similar, roots = [], [], None
     for turn in range(STAR_ROUNDS + 1):
-        if roots is None:
-            live = live.withColumn("root", F.col("node")).withColumn("together", F.lit(1).cast("long"))
-        else:
-            sizes = roots.join(roots.groupBy("root").agg(F.count("*").alias("together")), "root")
-            live = live.drop("root", "together", "k").join(sizes, "node", "left").withColumns({"root": F.coalesce("root", "node"), "together": F.coalesce("together", F.lit(1).cast("long"))})
+        sizes = roots.groupBy("root").agg(F.count("*").alias("together"))
+        sizes = join_groups(roots, written(sizes, "root-sizes"), "root", "together", total, "inner")
+        live = live.drop("root", "together", "k").join(sizes, "node", "left").withColumns({"root": F.coalesce("root", "node"), "together": F.coalesce("together", F.lit(1).cast("long"))})
         # tokens whose rows are of one component have nothing left to tell
         held = live.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("roots"))
         held = written(held.filter("roots > 1"), "open-shingles")
@@ -547,13 +634,8 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: flo
         roots = written(components(reduce(DataFrame.unionByName, similar)), "roots")
         if last:
             break
-    own = sets.select(id_col, "__mark", "__node")
-    if roots is None:
-        return own.select(id_col, "__mark", F.col(id_col).alias("component_id"))
-    linked = own.join(roots, own["__node"] == roots["node"]).select(id_col, "__mark", "root")
-    lows = linked.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    rest = own.join(roots, own["__node"] == roots["node"], "left_anti").select(id_col, "__mark", F.col(id_col).alias("component_id"))
-    return linked.join(lows, "root").select(id_col, "__mark", "component_id").unionByName(rest)
+    rows = own.select(id_col, "__mark", "__node").join(roots.select(F.col("node").alias("__node"), "root"), "__node", "left")
+    return _lowest(rows.select(id_col, "__mark", "root"), id_col, total).select(id_col, "__mark", "component_id")
 
 
 def _row_key(i: Column, mark: Column) -> Column:
@@ -564,8 +646,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each component: that with the smallest id; of repeated rows (same id and text), one.
 
     Components are those of fingerprints within the radius; with a similarity, those of pairs whose shingles of `words`
-    words are that similar (Jaccard), all of them; the radius then does not count. Rows without an id stay if no row of their
-    component has one.
+    words are that similar (Jaccard), all of them; the radius is then that of word fingerprints which propose pairs, and
+    changes the work, not the result. Rows without an id stay if no row of their component has one.
     """
     docs, (id_col, text_col), back = shielded(docs, id_col, text_col)
     mark = F.xxhash64(text_col)
@@ -573,13 +655,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         own = written(fingerprints(docs.withColumn("__mark", mark), id_col, text_col, words, ("__mark",)), "fingerprints")
         found = classes(own, id_col, radius)
     else:
-        found = similar_classes(docs.select(id_col, text_col).withColumn("__mark", mark), id_col, text_col, similarity, words)
+        found = similar_classes(docs.select(id_col, text_col).withColumn("__mark", mark), id_col, text_col, similarity, words, radius)
     keys = found.groupBy(F.col(id_col).alias("__id"), F.col("__mark").alias("__of")).agg(F.count("*").alias("__n"), F.first("component_id").alias("__root"))
     keys = written(keys.withColumn("__stays", F.col("__id").eqNullSafe(F.col("__root"))), "near-duplicate-keys")
-    # rows that surely stay are told by a bitmap of fixed size; only the rest are shuffled
+    # rows that surely stay are told by a bitmap of bounded size; only the rest are shuffled
     unsure = keys.filter("not __stays or __n > 1")
-    bitmap = key_bitmap(unsure, _row_key(F.col("__id"), F.col("__of")))
-    rows = with_hit(docs.withColumn("__mark", mark), _row_key(F.col(id_col), F.col("__mark")), bitmap)
+    bits = filter_bits(unsure.count())
+    bitmap = key_bitmap(unsure, _row_key(F.col("__id"), F.col("__of")), bits)
+    rows = with_hit(docs.withColumn("__mark", mark), _row_key(F.col(id_col), F.col("__mark")), bitmap, bits)
     stays = keys.filter("__stays").select("__id", "__of")
     rest = rows.filter("__hit").join(stays, (F.col("__mark") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, "__mark"])
     return back(rows.filter("not __hit").unionByName(rest))

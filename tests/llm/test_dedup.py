@@ -37,7 +37,7 @@ def test_exact_drop(odd):
 
 
 def test_small_bitmap_changes_nothing(odd):
-    one = exact_dedup.exact_groups(odd, filter_bits=6).select("doc_id", "keep_id", "group_size", "kept")
+    one = exact_dedup.exact_groups(odd, bits=6).select("doc_id", "keep_id", "group_size", "kept")
     two = exact_dedup.exact_groups(odd).select("doc_id", "keep_id", "group_size", "kept")
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
