@@ -1,14 +1,19 @@
-"""Release and dosage form of a text, and how two texts agree in them."""
+"""Release and dosage form of a text, and how two texts agree in them.
+
+Reading a text is one Arrow function over its distinct values, not a chain of expressions, which the optimiser would copy
+into every later use. All comparisons of two texts are expressions on what was read.
+"""
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import DOSAGE_FORMS, FORM_WORDS, RELEASES, STOP_WORDS
-from .text import unbracketed, unpunctuated
+from .text import BRACKETED, unbracketed, unpunctuated
 
 #: Abbreviations by which a release is told when no name is found, in order of precedence.
 PRECEDENCE = ("gastro_resistant", "delayed_release", "extended_release", "immediate_release")
@@ -18,39 +23,52 @@ def _clean(name: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[()\[\]{},;:/\\]+", " ", name.strip().lower()))
 
 
-def _abbreviated(text: Column, release: str) -> Column:
-    return text.rlike(r"(?iU)\b(?:" + "|".join(RELEASES[release][0]) + r")\b")
+_ABBREVIATED = {r: re.compile(r"\b(?:" + "|".join(short) + r")\b", re.IGNORECASE) for r, (short, _, _, _) in RELEASES.items()}
+_RELEASE_NAMES = [(_clean(alias), r) for r, (_, names, _, _) in RELEASES.items() for alias in names]
+#: Names of forms, long ones first, with their words if they have several.
+_FORM_NAMES = sorted({_clean(alias): form for form, (_, _, names, _) in DOSAGE_FORMS.items() for alias in names}.items(), key=lambda x: -len(x[0]))
+_FORM_PARTS = [(alias, frozenset(alias.split(" ")) if " " in alias else None, form) for alias, form in _FORM_NAMES]
+
+
+def release_of(text: str) -> str | None:
+    """The canonical release: enteric abbreviations, then names in order, then abbreviations by precedence."""
+    if _ABBREVIATED["gastro_resistant"].search(text):
+        return "gastro_resistant"
+    clean = _clean(text)
+    named = next((r for alias, r in _RELEASE_NAMES if alias in clean), None)
+    return named or next((r for r in PRECEDENCE if _ABBREVIATED[r].search(text)), None)
+
+
+def form_of(text: str) -> str | None:
+    """The canonical dosage form: the longest name that the text contains, or whose words it has."""
+    clean = _clean(text)
+    words = set(clean.split(" "))
+    return next((form for alias, parts, form in _FORM_PARTS if alias in clean or (parts and parts <= words)), None)
+
+
+def read(text: str | None, ignore_bracketed: bool = False) -> tuple[str | None, str | None]:
+    """Release and dosage form."""
+    raw = re.sub(BRACKETED, " ", text or "") if ignore_bracketed else text or ""
+    return release_of(raw), form_of(raw)
+
+
+def told(text: Column, ignore_bracketed: bool = False) -> Column:
+    """struct<release: string, form: string> of a text; either is null if the text tells none."""
+
+    @F.arrow_udf("struct<release: string, form: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        rows = [read(t, ignore_bracketed) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["release", "form"])
+
+    return both(text)
 
 
 def release(text: Column, ignore_bracketed: bool = False) -> Column:
-    """The canonical release, or null: enteric abbreviations, then names in order, then abbreviations by precedence."""
-    raw = F.coalesce(text, F.lit(""))
-    raw = unbracketed(raw) if ignore_bracketed else raw
-    clean = unpunctuated(raw)
-    out = F.when(_abbreviated(raw, "gastro_resistant"), F.lit("gastro_resistant"))
-    for name, (_, names, _, _) in RELEASES.items():
-        for alias in names:
-            out = out.when(F.contains(clean, F.lit(_clean(alias))), F.lit(name))
-    for name in PRECEDENCE:
-        out = out.when(_abbreviated(raw, name), F.lit(name))
-    return out
+    return told(text, ignore_bracketed)["release"]
 
 
 def dosage_form(text: Column, ignore_bracketed: bool = False) -> Column:
-    """The canonical dosage form, or null: the longest name that the text contains, or whose words it has."""
-    raw = F.coalesce(text, F.lit(""))
-    raw = unbracketed(raw) if ignore_bracketed else raw
-    clean = unpunctuated(raw)
-    words = F.split(clean, " ")
-    named = {_clean(alias): form for form, (_, _, names, _) in DOSAGE_FORMS.items() for alias in names}
-    out = None
-    for alias, form in sorted(named.items(), key=lambda x: -len(x[0])):
-        parts = alias.split(" ")
-        hit = F.contains(clean, F.lit(alias))
-        if len(parts) > 1:
-            hit = hit | (F.size(F.array_except(F.array(*map(F.lit, parts)), words)) == 0)
-        out = F.when(hit, F.lit(form)) if out is None else out.when(hit, F.lit(form))
-    return out
+    return told(text, ignore_bracketed)["form"]
 
 
 def _looked_up(key: Column, table: dict[str, str | None]) -> Column:
@@ -78,7 +96,8 @@ def us_style(text: Column, ignore_bracketed: bool = False) -> Column:
     """A struct of the text's form and release with their labels in the United States."""
     raw = F.coalesce(text, F.lit(""))
     raw = unbracketed(raw) if ignore_bracketed else raw
-    r, f, clean = release(raw), dosage_form(raw), unpunctuated(raw)
+    both, clean = told(raw), unpunctuated(raw)
+    r, f = both["release"], both["form"]
     enteric = F.coalesce(r == "gastro_resistant", F.lit(False)) | F.contains(clean, F.lit("enteric")) | F.contains(clean, F.lit("gastro resistant"))
     return F.struct(
         raw.alias("input"), f.alias("canonical_dosage_form"), r.alias("canonical_release"), release_abbreviation(r).alias("us_release_abbr"),
@@ -116,9 +135,11 @@ def simple_words(text: str) -> list[str]:
     return [FORM_WORDS.get(w, w) for w in re.split(r"[^a-z0-9]+", text) if w and w not in STOP_WORDS and not w.isdigit()]
 
 
-def label_words(text: Column, ignore_bracketed: bool = False) -> Column:
-    """The words by which a text's release and form stand in its word list: abbreviation, then the words of the label."""
-    r, f = release(text, ignore_bracketed), dosage_form(text, ignore_bracketed)
-    words = lambda names: {k: " ".join(simple_words(v[3].lower())) for k, v in names.items()}
-    joined = F.concat_ws(" ", F.lower(release_abbreviation(r)), _looked_up(r, words(RELEASES)), _looked_up(f, words(DOSAGE_FORMS)))
-    return F.filter(F.split(joined, " "), lambda w: w != "")
+_RELEASE_WORDS = {r: [short.lower(), *simple_words(label.lower())] for r, (_, _, short, label) in RELEASES.items()}
+_FORM_LABEL_WORDS = {f: simple_words(label.lower()) for f, (_, _, _, label) in DOSAGE_FORMS.items()}
+
+
+def label_words(text: str, ignore_bracketed: bool = False) -> list[str]:
+    """The words by which a text's release and form stand in its word list: abbreviation, then the words of the labels."""
+    r, f = read(text, ignore_bracketed)
+    return [*_RELEASE_WORDS.get(r, ()), *_FORM_LABEL_WORDS.get(f, ())]

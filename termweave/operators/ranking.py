@@ -30,22 +30,11 @@ def base_column(df: DataFrame) -> str | None:
 
 
 def side(df: DataFrame, text: str, out: str, ignore_bracketed: bool) -> DataFrame:
-    """df with what pairs need of a text column, as struct `out`: worked out once per row of this side."""
+    """df with what pairs need of a text column, as struct `out`: read once for each row of this side."""
     df = df.withColumn(f"{out}_f", strength.features(F.col(text), ignore_bracketed))
-    # lexicon words of the rest follow its own words
-    words = F.concat(F.col(f"{out}_f.words"), forms.label_words(F.col(f"{out}_f.remainder"), ignore_bracketed))
-    df = df.withColumn(f"{out}_w", words)
-    w = F.col(f"{out}_w")
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    df = df.withColumn(
-        out,
-        F.struct(
-            F.col(text).alias("text"), F.col(f"{out}_f").alias("strength"), F.array_distinct(w).alias("words"), F.array_distinct(pairs).alias("pairs"),
-            forms.release(F.col(text), ignore_bracketed).alias("release"), forms.dosage_form(F.col(text), ignore_bracketed).alias("form"),
-            brands(F.col(text)).alias("brands"), brand_patterns(F.col(text)).alias("patterns"),
-        ),
-    )
-    return df.drop(f"{out}_f", f"{out}_w")
+    own = [F.col(f"{out}_f.{c}") for c in ("strength", "words", "pairs", "release", "form")]
+    df = df.withColumn(out, F.struct(F.col(text).alias("text"), *own, brands(F.col(text)).alias("brands"), brand_patterns(F.col(text)).alias("patterns")))
+    return df.drop(f"{out}_f")
 
 
 def _overlap(a: Column, b: Column) -> Column:

@@ -186,8 +186,7 @@ _BARE = r"regexp_replace(concept_name, '\[[^\[\]]+\]', ' ', 'g')"
 
 @query(f"WITH c AS (SELECT concept_id, {_BARE} AS t FROM ({CONCEPTS}) x), d AS (SELECT *, {_CLEAN} AS clean FROM c) SELECT concept_id, {_release_sql()} AS release, {_form_sql()} AS form FROM d")
 def release_and_form(spark, sf_dir):
-    t = F.col("concept_name")
-    return concepts_of(spark, sf_dir).select("concept_id", forms.release(t, True).alias("release"), forms.dosage_form(t, True).alias("form"))
+    return concepts_of(spark, sf_dir).select("concept_id", forms.told(F.col("concept_name"), True).alias("t")).select("concept_id", "t.release", "t.form")
 
 
 @query(rf"""
@@ -200,23 +199,102 @@ def brand_scores(spark, sf_dir):
     return concepts_of(spark, sf_dir).select("concept_id", text.brand_score(q, text.brands(t), text.brand_patterns(t)).alias("brand_score"))
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    d = concepts_of(spark, sf_dir).select("concept_id", text.normalized(F.col("concept_name")).alias("a"))
-    b = d.select((F.col("concept_id") - 1).alias("concept_id"), F.col("a").alias("b"))
-    return d.join(b, "concept_id")
+#: Terms whose strengths, words, release and form are known from the columns that they are made of, by `k`.
+TERM = {
+    "concept_id": "p_partkey",
+    "name": "p_name",
+    "brand": "lower(p_brand)",
+    "n": "CAST(p_size AS DOUBLE)",
+    "k": "(p_partkey % 7 + p_size) % 12",
+    "term": "concat(p_name, ' ', CASE (p_partkey % 7 + p_size) % 12 "
+    "WHEN 0 THEN concat(p_size * 10, ' mg oral tablet') WHEN 1 THEN concat(p_size, ' mg/5 ml oral solution') WHEN 2 THEN concat(p_size, '% cream') "
+    "WHEN 3 THEN concat(p_size, '-', p_size + 5, ' mg ER capsule') WHEN 4 THEN concat(p_size, ' mg + ', 2 * p_size, ' mg enteric coated tablet') "
+    "WHEN 5 THEN concat(p_size, ' mcg per actuation nasal spray ', p_brand) WHEN 6 THEN concat(p_size, ' iu [', p_brand, ']') WHEN 7 THEN concat(p_size, '/', p_size * 20, ' plain gel') "
+    "WHEN 8 THEN concat(p_size, ' mg/g ointment') WHEN 9 THEN concat(p_size, ' tablets') WHEN 10 THEN concat(p_size, ' g per 2 l delayed release eye drops') ELSE 'lotion' END)",
+}
+#: By k: kind, value, unit, base and its unit of each strength; then the words after the name, the release and the form.
+_TERM_STRENGTHS = (
+    (0, "single", "n * 10", "mg", None, None), (1, "ratio", "n", "mg", 5, "ml"), (1, "percent", "n / 5000 * 100", None, None, None),
+    (2, "percent", "n", None, None, None), (2, "ratio", "n * 1000", "mg", 100, "ml"), (3, "single", "n", "mg", None, None), (3, "single", "n + 5", "mg", None, None),
+    (4, "single", "n", "mg", None, None), (4, "single", "2 * n", "mg", None, None), (5, "ratio", "n / 1000", "mg", 1, "actuation"), (6, "single", "n", "iu", None, None),
+    (7, "single", "n", None, None, None), (7, "single", "n * 20", None, None, None), (8, "ratio", "n", "mg", 1000, "mg"), (8, "percent", "n / 1000 * 100", None, None, None),
+    (9, "single", "n", "tablet", None, None), (10, "ratio", "n * 1000", "mg", 2000, "ml"), (10, "percent", "n * 1000 / 2000000 * 100", None, None, None),
+)
+_TERM_WORDS = (
+    (0, "oral tablet tablet", None, "oral_tablet"), (1, "oral solution oral solution", None, "oral_solution"), (2, "cream", None, None),
+    (3, "er capsule er extended release capsule", "ER", "oral_capsule"), (4, "enteric coated tablet dr delayed release enteric coated tablet", "DR enteric", "oral_tablet"),
+    (5, "nasal spray brand nasal spray", None, "nasal_spray"), (6, "", None, None), (7, "plain gel", None, None), (8, "ointment", None, None), (9, "", None, "oral_tablet"),
+    (10, "delayed release eye solution dr delayed release ophthalmic solution", "DR", "ophthalmic_solution"), (11, "lotion", None, None),
+)
 
 
-@query(None)
+def _literal(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+_STRENGTHS_SQL = " UNION ALL ".join(f"SELECT concept_id, '{kind}' AS kind, CAST({value} AS DOUBLE) AS value, CAST({_literal(unit)} AS VARCHAR) AS unit, CAST({_literal(per)} AS DOUBLE) AS per, CAST({_literal(per_unit)} AS VARCHAR) AS per_unit FROM t WHERE k = {k}" for k, kind, value, unit, per, per_unit in _TERM_STRENGTHS)
+_MATCHED = "CASE WHEN len(x) = 1 THEN [list_min(list_transform(y, lambda v: abs(ln(v) - ln(x[1]))))] ELSE [abs(ln(x[1]) - ln(y[1])), abs(ln(x[2]) - ln(y[2]))] END"
+
+
+@query(rf"""
+WITH t AS ({sql("part", TERM)}), s AS ({_STRENGTHS_SQL}),
+w AS (SELECT concept_id, brand, k, tail, release, form, split_part(form, '_', 1) AS route, string_split(trim(concat(name, ' ', tail)), ' ') AS words
+  FROM t JOIN (VALUES {", ".join(f"({', '.join(map(_literal, r))})" for r in _TERM_WORDS)}) v(k, tail, release, form) USING (k)),
+l AS (SELECT *, list_distinct(words) AS own, list_distinct(list_transform(range(1, len(words)), lambda i: concat(words[i], ' ', words[i + 1]))) AS two FROM w),
+has AS (SELECT t.concept_id, count(s.kind) AS n, coalesce(bool_or(kind = 'ratio' AND per_unit = 'ml'), false) AS per_volume, coalesce(bool_or(kind = 'ratio' AND unit = 'mg' AND per_unit = 'mg'), false) AS mass_ratio,
+  coalesce(bool_or(kind = 'single' AND unit = 'mg'), false) AS mass FROM t LEFT JOIN s USING (concept_id) GROUP BY 1),
+e AS (
+  SELECT concept_id, variant, CASE WHEN kind = 'ratio' AND unit = 'mg' AND per_unit IN ('mg', 'ml') THEN 'mass per' WHEN kind = 'ratio' THEN concat(unit, ' per ', per_unit) ELSE coalesce(nullif(unit, 'mg'), 'mass') END AS key,
+    CASE WHEN kind = 'ratio' THEN 1.0 WHEN unit IS NULL OR unit = 'mg' THEN 0.8 WHEN unit = 'tablet' THEN 0.3 ELSE 0.6 END::DOUBLE AS weight,
+    CASE WHEN kind = 'ratio' AND unit = 'mg' AND per_unit = 'mg' THEN value / per * 1000 WHEN kind = 'ratio' THEN value / per ELSE value END AS value
+  FROM s, (VALUES ('plain'), ('volume'), ('amount')) v(variant) WHERE kind <> 'percent'
+  UNION ALL SELECT concept_id, 'amount', 'mass', 0.8, value FROM s WHERE kind = 'ratio' AND unit = 'mg' AND per_unit = 'mg'
+), b AS (SELECT concept_id, variant, key, any_value(weight) AS weight, list_sort(list(value)) AS amounts FROM e GROUP BY ALL),
+p AS (
+  SELECT q.concept_id AS id, q.n > 0 AND d.n > 0 AS both, sided, CASE WHEN sided = 'gate' THEN 'plain' WHEN q.per_volume OR d.per_volume THEN 'volume' WHEN q.mass_ratio AND d.mass AND NOT d.mass_ratio THEN 'amount' ELSE 'plain' END AS qv,
+    CASE WHEN sided = 'gate' THEN 'plain' WHEN q.per_volume OR d.per_volume THEN 'volume' WHEN d.mass_ratio AND q.mass AND NOT q.mass_ratio THEN 'amount' ELSE 'plain' END AS dv
+  FROM has q JOIN has d ON d.concept_id = q.concept_id + 1, (VALUES ('gate'), ('sim')) x(sided)
+), j AS (
+  SELECT id, sided, key, coalesce(q.weight, d.weight) AS weight, q.amounts AS q, d.amounts AS d
+  FROM (SELECT p.id, sided, key, weight, amounts FROM p JOIN b ON b.concept_id = p.id AND variant = qv) q
+  FULL JOIN (SELECT p.id, sided, key, weight, amounts FROM p JOIN b ON b.concept_id = p.id + 1 AND variant = dv) d USING (id, sided, key)
+), m AS (
+  SELECT *, CASE WHEN q IS NULL OR d IS NULL THEN [] ELSE {_MATCHED} END AS costs
+  FROM (SELECT *, CASE WHEN len(q) <= len(d) THEN q ELSE d END AS x, CASE WHEN len(q) <= len(d) THEN d ELSE q END AS y FROM j) z
+), n AS (SELECT *, len(list_filter(costs, lambda c: c < 8 - 1e-9)) AS hits, list_sum(list_transform(costs, lambda c: CASE WHEN c < 8 - 1e-9 THEN c ELSE c - 8 END)) AS cost FROM m),
+g AS (
+  SELECT id, sided, sum(weight * coalesce(len(q), 0)) AS total_q, sum(CASE WHEN q IS NULL THEN weight * len(d) ELSE 0 END) AS lone, sum(CASE WHEN hits > 0 THEN weight * greatest(cost, 0) ELSE 0 END) AS cost,
+    sum(weight * hits) AS hits, sum(CASE WHEN hits > 0 THEN weight * greatest(len(d) - hits, 0) ELSE 0 END) AS extra
+  FROM n GROUP BY ALL
+), h AS (SELECT p.id, p.sided, p.both, coalesce(hits, 0) AS hits, exp(-cost / nullif(hits, 0)) AS s, exp(-0.7 * (extra + CASE WHEN total_q > 0 THEN lone ELSE 0 END)) AS extra, hits / greatest(total_q, 1e-9) AS coverage FROM p LEFT JOIN g USING (id, sided)),
+f AS (
+  SELECT q.concept_id, CASE WHEN NOT sim.both THEN 0.0 WHEN sim.hits <= 0 THEN -1.0 WHEN sim.coverage < 0.3 THEN 0.0 WHEN sim.s < 0.2 THEN -1.0 ELSE sim.s * sim.extra * sim.coverage END AS strength_sim,
+    CASE WHEN gate.both AND gate.hits > 0 AND gate.s >= 0.6 THEN gate.s * gate.extra ELSE 0.0 END AS dose,
+    0.7 * len(list_intersect(q.own, d.own)) / len(list_distinct(q.own || d.own)) + 0.3 * coalesce(len(list_intersect(q.two, d.two)) / nullif(len(list_distinct(q.two || d.two)), 0), 0) AS jaccard_text,
+    CASE WHEN d.k <> 6 THEN 0.0 WHEN q.k IN (5, 6) AND q.brand = d.brand THEN 1.0 ELSE -1.0 END AS brand_score,
+    CASE WHEN q.release IS NULL AND d.release IS NULL THEN 0.0 WHEN q.release IS NULL THEN -0.2 WHEN d.release IS NULL THEN -0.4 WHEN q.release[1:2] = d.release[1:2] THEN 0.4 ELSE -0.4 END AS release_score,
+    CASE WHEN q.release <> d.release OR q.form <> d.form THEN -1.0 ELSE 0.0 END AS form_release_score,
+    CASE WHEN q.form IS NULL AND d.form IS NOT NULL THEN -0.5 WHEN q.form IS NULL OR d.form IS NULL THEN 0.0 WHEN q.form = d.form THEN 1.0 WHEN q.route = d.route THEN 0.5 ELSE -1.0 END AS form_route_score
+  FROM l q JOIN l d ON d.concept_id = q.concept_id + 1 JOIN h sim ON sim.id = q.concept_id AND sim.sided = 'sim' JOIN h gate ON gate.id = q.concept_id AND gate.sided = 'gate'
+)
+SELECT concept_id, round(strength_sim, 9) AS strength_sim, round(jaccard_text, 9) AS jaccard_text, CAST(brand_score AS DOUBLE) AS brand_score, CAST(release_score AS DOUBLE) AS release_score, CAST(form_release_score AS DOUBLE) AS form_release_score, CAST(form_route_score AS DOUBLE) AS form_route_score,
+  round(CASE WHEN dose <= 0 THEN 0 ELSE pow(greatest(dose, 1e-12), 0.6) * pow(greatest(jaccard_text, 1e-12), 0.4) * exp(0.5 * brand_score) * exp(0.1 * form_release_score) * exp(0.1 * release_score) END, 9) AS post_score
+FROM f
+""")
 def pair_features(spark, sf_dir):
-    """Each concept as a query for the next one: all features and the gated score. Strengths are beyond SQL."""
-    df = ranking.side(ranking.side(_pairs(spark, sf_dir), "a", "q", False), "b", "c", True)
-    df = ranking.gated_score(ranking.pair_features(df))
-    return df.select("concept_id", "strength_sim", "jaccard_text", "brand_score", "release_score", "form_release_score", "form_route_score", "post_score")
+    """Each term as a query for the next one: all features and the gated score. The SQL knows strengths and words from the terms' columns."""
+    d = derived(spark, sf_dir, "part", TERM).select("concept_id", text.normalized(F.col("term")).alias("t"))
+    q = ranking.side(d, "t", "q", False).select("concept_id", "q")
+    c = ranking.side(d, "t", "c", True).select((F.col("concept_id") - 1).alias("concept_id"), "c")
+    df = ranking.gated_score(ranking.pair_features(q.join(c, "concept_id")))
+    near = lambda c: F.round(c, 9).alias(c)
+    return df.select("concept_id", near("strength_sim"), near("jaccard_text"), "brand_score", "release_score", "form_release_score", "form_route_score", near("post_score"))
 
 
-@query(None)
+@query(f"WITH t AS ({sql('part', TERM)}), s AS ({_STRENGTHS_SQL}) SELECT concept_id, kind, round(value, 9) AS value, unit, per, per_unit FROM s")
 def strength_components(spark, sf_dir):
-    return concepts_of(spark, sf_dir).select("concept_id", F.explode(strength.components(F.col("concept_name"))).alias("s")).select("concept_id", "s.*")
+    found = derived(spark, sf_dir, "part", TERM).select("concept_id", F.explode(strength.components(F.col("term"))).alias("s")).select("concept_id", "s.*")
+    return found.withColumn("value", F.round("value", 9))
 
 
 # ---- search --------------------------------------------------------------------------------------------------------
@@ -225,7 +303,7 @@ def strength_components(spark, sf_dir):
 def _near_sql(where: str) -> str:
     return f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS concept_id, round(list_cosine_similarity(q.e, c.e), 12) AS sim FROM v q JOIN v c ON q.vec_id % 50 = 0 AND {where}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS concept_id, round(list_cosine_similarity(q.e, c.e), 12) AS sim FROM v q JOIN v c ON q.vec_id % 20 = 0 AND {where}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, concept_id) AS INTEGER) AS retrieval_rank FROM s)
 SELECT query_id, concept_id, round(1 - sim, 6) AS distance, retrieval_rank FROM r WHERE retrieval_rank <= 10
 """
@@ -233,7 +311,7 @@ SELECT query_id, concept_id, round(1 - sim, 6) AS distance, retrieval_rank FROM
 
 def _near(spark, sf_dir, where):
     v = read(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     found = search.nearest(q, v.withColumnRenamed("vec_id", "concept_id"), 10, where=where)
     return found.withColumn("distance", F.round("distance", 6))
 
@@ -351,9 +429,9 @@ def scope_nodes(spark, sf_dir):
     return _scopes(spark, sf_dir)
 
 
-@query(f"WITH {_SCOPES} SELECT query_id, concept_id FROM allowed WHERE query_id IN (SELECT query_id FROM allowed GROUP BY 1 HAVING count(*) <= 40)")
+@query(f"WITH {_SCOPES} SELECT query_id, concept_id FROM allowed WHERE query_id IN (SELECT query_id FROM allowed GROUP BY 1 HAVING count(*) <= 1000)")
 def scope_allowlist(spark, sf_dir):
-    return scope.allowlist(_scopes(spark, sf_dir), derived(spark, sf_dir, "part", ANCESTOR), concepts_of(spark, sf_dir), most=40)
+    return scope.allowlist(_scopes(spark, sf_dir), derived(spark, sf_dir, "part", ANCESTOR), concepts_of(spark, sf_dir), most=1000)
 
 
 @query(f"""
