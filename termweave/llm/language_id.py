@@ -6,12 +6,13 @@ their mean. What a language lacks scores a penalty below its rarest entry. A tex
 score; its score is that language's share of the softmax over the means.
 
 The model is fitted on a bounded sample of labelled rows (`docs_per_lang` documents a language, chosen by a hash) and keeps
-the most frequent entries of each language and kind, `max_entries` in all, so that its size does not grow with the corpus.
-Prediction reads every text whole and sees nothing but the text.
+the most frequent entries of each language and kind, `max_entries` in all and fewer with very many languages, so that its
+size does not grow with the corpus. Every language that is labelled is learned. Prediction reads every text whole and
+sees nothing but the text.
 
 Null texts and texts without a letter are `und`, score 0; so is every text if no row is labelled. Ties of languages go to
 the first in code-point order. Repeated rows and long texts need no special case; an empty table gives an empty one;
-extra columns pass.
+extra columns pass, but for those that have the names of the results, which `predict` replaces.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, free_name, id_hash, tidy
 
 DOCS_PER_LANG = 1500
-MAX_LANGS = 200
-#: Entries in all; each language and kind gets an equal share of them.
-MAX_ENTRIES = 240_000
+#: Entries in all, of which each language and kind gets an equal share, and numbers in all (entries times languages).
+MAX_ENTRIES, MAX_CELLS = 240_000, 30_000_000
 MAX_N = 5
 #: Chunks in a generation of the cache, and bytes of text that are split at once.
 CACHE_CHUNKS = 120_000
@@ -161,11 +161,15 @@ def scored(score: Scorer, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, docs_per_lang: int = DOCS_PER_LANG, max_entries: int = MAX_ENTRIES) -> Model:
     """A model of the labelled rows of docs. key: a hash (long) that picks the sample, by default one of the text."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(text_col) if key is None else key, F.lit(1 << 20)).alias("pick"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     if not sizes:
         return Model([], [], {})
+    each = max(1, min(max_entries, MAX_CELLS // len(sizes)) // ((MAX_N + 1) * len(sizes)))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1 << 20, int((1 << 20) * docs_per_lang / r["n"]) + 1)))])
     sample = rows.filter(F.col("pick") < F.element_at(share, F.col("lang")))
+    if key is None:
+        # a text that is copied often is in or out with all its copies: once is enough
+        sample = sample.withColumn("of", F.xxhash64("text")).dropDuplicates(["lang", "of"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +187,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
                         n = own
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "k", "entry", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, k int, entry string, n long").groupBy("lang", "k", "entry").agg(F.sum("n").alias("n"))
+    counts = sample.select("lang", "text").mapInArrow(tidy(count), "lang string, k int, entry string, n long").groupBy("lang", "k", "entry").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy("lang", "k")
-    counts = counts.withColumn("total", F.sum("n").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.desc("n"), "entry"))).filter(F.col("r") <= max_entries // ((MAX_N + 1) * len(sizes)))
+    counts = counts.withColumn("total", F.sum("n").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.desc("n"), "entry"))).filter(F.col("r") <= each)
     got = counts.select("lang", "k", "entry", "n", "total").toArrow()
     lang, k, entry, n, total = (got.column(c).to_pylist() for c in got.column_names)
     return Model([r["lang"] for r in sizes], list(zip(lang, k, entry, n, strict=True)), dict(zip(zip(lang, k, strict=True), total, strict=True)))
