@@ -1,9 +1,14 @@
 """Chat formatting: schema fingerprints choose declarative mappings to canonical turns, and a template marks the turns.
 
 A layout is the set of nested field paths that a record fills (`messages[].role`). Its fingerprint is a hash of the sorted
-paths; the mapping with the same fingerprint says where roles and texts are. Paths that no mapping names do not count, so
-extra columns, whatever their names, change nothing. Fingerprints are computed for each row, so that one table may mix
-layouts; a row whose fingerprint no mapping has gives no turns (`layouts` counts them). All of this is column expressions.
+paths that mappings name; the mapping with the same fingerprint says where turns, roles and texts are. One row a turn is
+such a layout too. Fingerprints are computed for each row, so that one table may mix layouts.
+
+A row with another fingerprint (a null among its texts, columns of two layouts) goes to the first mapping of which it
+fills all paths, else to the one of which it fills most, the first among equals; what is null is an empty text. A table with the columns of
+turn rows has a turn in each row that no other mapping takes. A row that no mapping takes, or whose array is empty, is
+not dropped: it comes out without layout, turn, role and text (`layouts` counts them), and the template leaves it out. Extra
+columns, whatever their names, change nothing. All of this is column expressions.
 
 The template is `<|im_start|>role NEWLINE text <|im_end|> NEWLINE` for each turn. Texts and roles are escaped reversibly
 (backslash doubled, `<|` as `<\\|`, a line break in a role as `\\n`), so that no control string can come from a text. The
@@ -28,38 +33,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where a layout has its turns: in an array (its path, role field, text field), or in fields, each with its role."""
+    """Where a layout has its turns: in an array (its path, role field, text field), in fields, each with its role, or one a row (columns of turn, role, text)."""
 
     name: str
     array: tuple[str, str, str] | None = None
+    row: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
 
     @property
     def paths(self) -> tuple[str, ...]:
+        if self.row:
+            return self.row
         if self.array:
             a, role, text = self.array
             return (f"{a}[].{role}", f"{a}[].{text}")
         return tuple(path for _, path in self.fields)
 
 
+def _asked(*names: str) -> tuple[Mapping, ...]:
+    """Fields with a question and its answer, with a system text and without."""
+    ask, answer = names
+    own = (("user", ask), ("assistant", answer))
+    return Mapping(f"system, {ask}, {answer}", fields=(("system", "system"), *own)), Mapping(f"{ask}, {answer}", fields=own)
+
+
+#: In order of precedence.
 MAPPINGS = (
     Mapping("messages", array=("messages", "role", "content")),
     Mapping("shared", array=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
-    Mapping("instruction", fields=(("user", "instruction"), ("assistant", "output"))),
+    Mapping("turn rows", row=("turn", "role", "text")),
     Mapping("instruction with input", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Mapping("prompt, completion", fields=(("user", "prompt"), ("assistant", "completion"))),
-    Mapping("prompt, response", fields=(("user", "prompt"), ("assistant", "response"))),
-    Mapping("system, prompt, response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Mapping("question, answer", fields=(("user", "question"), ("assistant", "answer"))),
+    *_asked("instruction", "output"),
+    *_asked("prompt", "completion"),
+    *_asked("prompt", "response"),
+    *_asked("question", "answer"),
 )
-#: A table that has one row a turn already.
-TURN_ROWS = ("role", "text", "turn")
 
 
 def fingerprint(paths) -> str:
@@ -83,20 +99,42 @@ def _filled(path: str) -> Column:
     return F.col(path).isNotNull()
 
 
-def row_fingerprint(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+def _usable(df: DataFrame, mappings: tuple[Mapping, ...]) -> tuple[Mapping, ...]:
+    """The mappings whose paths the schema has."""
     there = set(schema_paths(df.schema))
-    known = sorted({p for m in mappings for p in m.paths} & there)
+    return tuple(m for m in mappings if set(m.paths) <= there)
+
+
+def row_fingerprint(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    known = sorted({p for m in _usable(df, mappings) for p in m.paths})
     filled = F.array_join(F.filter(F.array(*[F.when(_filled(p), F.lit(p)) for p in known]), lambda p: p.isNotNull()), "\n") if known else F.lit("")
     return F.substring(F.sha2(filled, 256), 1, 16)
 
 
+def layout(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The name of a row's mapping: by its fingerprint, else by how much of a mapping it fills; null if there is none."""
+    usable = _usable(df, mappings)
+    if not usable:
+        return F.lit(None).cast("string")
+    exact = F.try_element_at(F.create_map(*[x for m in usable for x in (F.lit(fingerprint(m.paths)), F.lit(m.name))]), row_fingerprint(df, mappings))
+    count = lambda m: sum((_filled(p).cast("int") for p in m.paths), F.lit(0))
+    whole = F.coalesce(F.lit(None).cast("string"), *[F.when(count(m) == len(m.paths), F.lit(m.name)) for m in usable])
+    # of an array without a filled path, or of a row of a table of turns, there is nothing to count
+    most = F.array_max(F.array(*[F.struct(count(m).alias("n"), F.lit(-i).alias("i"), F.lit(m.name).alias("name")) for i, m in enumerate(usable)]))
+    rows = next((F.lit(m.name) for m in usable if m.row), F.lit(None).cast("string"))
+    return F.coalesce(exact, whole, F.when(most["n"] > 0, most["name"]), rows)
+
+
 def _turns(m: Mapping) -> Column:
-    kind = "array<struct<role: string, text: string>>"
+    kind = "array<struct<turn: long, role: string, text: string>>"
+    if m.row:
+        turn, role, text = m.row
+        return F.array(F.struct(F.col(turn).try_cast("long").alias("turn"), _renamed(F.col(role), m.roles).alias("role"), F.col(text).cast("string").alias("text"))).cast(kind)
     if m.array:
         array, role, text = m.array
         named = lambda r: _renamed(r, m.roles)
-        return F.transform(F.col(array), lambda x: F.struct(named(x[role]).alias("role"), x[text].cast("string").alias("text"))).cast(kind)
-    return F.array(*[F.struct(F.lit(role).alias("role"), F.col(path).cast("string").alias("text")) for role, path in m.fields]).cast(kind)
+        return F.transform(F.col(array), lambda x, i: F.struct(i.cast("long").alias("turn"), named(x[role]).alias("role"), x[text].cast("string").alias("text"))).cast(kind)
+    return F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.col(path).cast("string").alias("text")) for i, (role, path) in enumerate(m.fields)]).cast(kind)
 
 
 def _renamed(role: Column, names: tuple[tuple[str, str], ...]) -> Column:
@@ -107,26 +145,23 @@ def _renamed(role: Column, names: tuple[tuple[str, str], ...]) -> Column:
 
 
 def layouts(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(fingerprint, layout, n): the layouts of a table; layout is null where no mapping has the fingerprint."""
-    names = {fingerprint(m.paths): m.name for m in mappings}
-    told = df.select(row_fingerprint(df, mappings).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"))
-    of = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-    return told.select("fingerprint", F.try_element_at(of, F.col("fingerprint")).alias("layout"), "n")
+    """(fingerprint, layout, n): the layouts of a table; layout is null where no mapping takes the rows."""
+    return df.select(row_fingerprint(df, mappings).alias("fingerprint"), layout(df, mappings).alias("layout")).groupBy("fingerprint", "layout").agg(F.count("*").alias("n"))
 
 
 def canonical_turns(df: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id_col, turn long, role, text) of the records of df, whatever their layouts."""
-    there = set(schema_paths(df.schema))
-    if set(TURN_ROWS) <= there and fingerprint(there & set(TURN_ROWS)) == fingerprint(TURN_ROWS):
-        return df.select(id_col, F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    turns = F.lit(None).cast("array<struct<role: string, text: string>>")
-    own = F.col("__fp")
-    for m in mappings:
-        if set(m.paths) <= there:
-            turns = F.when(own == fingerprint(m.paths), _turns(m)).otherwise(turns)
-    rows = df.withColumn("__fp", row_fingerprint(df, mappings)).select(id_col, turns.alias("__turns"))
-    rows = rows.select(id_col, F.posexplode("__turns").alias("turn", "__t"))
-    return rows.select(id_col, F.col("turn").cast("long").alias("turn"), F.coalesce("__t.role", F.lit("")).alias("role"), F.coalesce("__t.text", F.lit("")).alias("text"))
+    """(id_col, turn long, role, text, layout) of the records of df, whatever their layouts.
+
+    A record without a turn gives one row whose role and text are null; its layout is null if no mapping takes it.
+    """
+    named = sorted({p.split("[]")[0].split(".")[0] for m in _usable(df, mappings) for p in m.paths})
+    rows = df.select(F.col(id_col).alias("__id"), layout(df, mappings).alias("__layout"), *named)
+    turns = F.lit(None).cast("array<struct<turn: long, role: string, text: string>>")
+    for m in _usable(df, mappings):
+        turns = F.when(F.col("__layout") == m.name, _turns(m)).otherwise(turns)
+    rows = rows.select("__id", "__layout", F.explode_outer(turns).alias("__t"))
+    text = lambda c: F.when(F.col("__t").isNotNull(), F.coalesce(F.col(f"__t.{c}"), F.lit("")))
+    return rows.select(F.col("__id").alias(id_col), F.col("__t.turn").alias("turn"), text("role").alias("role"), text("text").alias("text"), F.col("__layout").alias("layout"))
 
 
 # ---- template ------------------------------------------------------------------------------------------------------
@@ -137,11 +172,11 @@ def escaped(text: Column) -> Column:
 
 
 def formatted(turns: DataFrame, id_col: str, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(id_col, turn, role, text, segment, loss_start long, loss_length long); the last two null outside the loss mask."""
+    """(id_col, turn, role, text, segment, loss_start long, loss_length long); the last two null outside the loss mask. Records without a turn have no segment and are left out."""
     head = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
     body = escaped(F.col("text"))
     lost = F.col("role").isin(*trained)
-    return turns.select(
+    return turns.filter("role is not null").select(
         id_col, "turn", "role", "text",
         F.concat(head, body, F.lit(f"{END}\n")).alias("segment"),
         F.when(lost, F.length(head)).cast("long").alias("loss_start"),
@@ -208,7 +243,7 @@ def read_back(out: DataFrame, id_col: str) -> DataFrame:
 
     arrow = to_arrow_schema(schema)
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(len(cols))], schema=arrow)
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 # ---- query -------------------------------------------------------------------------------------------------------
