@@ -3,13 +3,14 @@
 `write_pages` decides which records are responses and which are revisits, and writes each partition as one gzip stream,
 as careless crawlers do: such a file can only be read from its start. `normalise` inflates each stream once, rewrites each
 record as a gzip member of its own, and writes `<archive>.idx` beside it (offset, length, type, id and target of each
-record, tab-separated). `read_records` then reads single records by offset and verifies payload digests.
+record, tab-separated). `read_index` reads those sidecars back, and `read_records` then single records by offset, whose
+payload digests it verifies.
 
 Of records with equal payloads (SHA-1 and length) of at least `min_bytes`, that with the largest page id is the response and
 the others are revisits, which hold its id and digest but no payload; smaller payloads are all responses. Which payloads
-repeat is counted on hashes alone; a fixed-size bitmap lets rows whose payload occurs once pass without a shuffle.
+repeat is counted on hashes alone; a bitmap of bounded size lets rows whose payload occurs once pass without a shuffle.
 
-Files lie in the shared folder and go through the file systems of Arrow, by the folder's scheme. Each attempt of a task
+Files lie in the shared folder and go through the file systems of Arrow, by the folder's scheme (`s3a` and `s3n` are `s3`). Each attempt of a task
 writes to names of its own, and only names that a finished stage has returned are read. Records are copied in blocks, so
 a payload of any length passes.
 
@@ -26,6 +27,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 from io import BytesIO
 from urllib.parse import quote
 
@@ -34,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, scratch_path, split_hot, with_hit, written
+from .common import filter_bits, key_bitmap, scratch_path, split_hot, tidy, with_hit, written
 
 MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -43,8 +45,15 @@ LEVEL = 1
 _PAGE = re.compile(r"<urn:x-page:(.*)>")
 
 
+#: Schemes of Hadoop, and Arrow's name of the same store.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "file": "file"}
+
+
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    scheme, found, rest = uri.partition(":")
+    if found and not rest.startswith("//"):  # file:/path
+        rest = f"//{rest}"
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}" if found else uri)
 
 
 def base32(hex_digest: str) -> str:
@@ -155,7 +164,8 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     same = rows.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     same = written(same, "warc-payloads")
     key = F.xxhash64("digest", "size")
-    rows = with_hit(rows, key, key_bitmap(same, key))
+    bits = filter_bits(same.count())
+    rows = with_hit(rows, key, key_bitmap(same, key, bits), bits)
     # a hot payload's rows lose it before anything is shuffled; there are few such payloads
     hot, cold = split_hot(same, "n", pages.count())
     rows = rows.join(hot.withColumnRenamed("first", "hot_first").drop("n"), ["digest", "size"], "left")
@@ -191,11 +201,11 @@ def write_pages(pages: DataFrame, folder: str, **how) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["archive", "records"])
 
-    return decided(pages, **how).mapInArrow(run, "archive string, records long")
+    return decided(pages, **how).mapInArrow(tidy(run), "archive string, records long")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Index rows (archive, offset, length, type, record_id, target) of the archives rewritten with a member a record."""
+    """(archive string, records long): the archives rewritten with a member a record, each with its sidecar index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,18 +213,34 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
             for raw in batch.column("archive").to_pylist():
                 name = f"{raw.removeprefix('raw-').removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}.warc.gz"
                 with system.open_input_stream(f"{path}/{raw}", compression=None) as source, system.open_output_stream(f"{path}/{name}", compression=None) as out, system.open_output_stream(f"{path}/{name}.idx", compression=None) as index:
-                    rows = []
-                    for row in normalise_stream(source, out, index):
-                        rows.append((name, *row))
-                        if len(rows) >= 10_000:
-                            yield made(rows)
-                            rows = []
-                    if rows:
-                        yield made(rows)
+                    n = sum(1 for _ in normalise_stream(source, out, index))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["archive", "records"])
+
+    return archives.mapInArrow(tidy(run), "archive string, records long")
 
+
+def read_index(archives: DataFrame, folder: str) -> DataFrame:
+    """(archive, offset, length, type, record_id, target) of the sidecars of archives."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
     names = ("archive", "offset", "length", "type", "record_id", "target")
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-    return archives.mapInArrow(run, "archive string, offset long, length long, type string, record_id string, target string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            system, path = open_folder(folder)
+            for name in batch.column("archive").to_pylist():
+                with system.open_input_stream(f"{path}/{name}.idx", compression=None) as source:
+                    left = b""
+                    while data := source.read(BLOCK):
+                        *lines, left = (left + data).split(b"\n")
+                        if lines:
+                            yield made(name, lines)
+
+    def made(name: str, lines: list[bytes]) -> pa.RecordBatch:
+        cells = list(zip(*(line.decode().split("\t", 4) for line in lines), strict=True))
+        values = [[name] * len(lines), list(map(int, cells[0])), list(map(int, cells[1])), *map(list, cells[2:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(values, kinds, strict=True)], names=names)
+
+    return archives.select("archive").mapInArrow(tidy(run), "archive string, offset long, length long, type string, record_id string, target string")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -239,32 +265,34 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(folder)
-        opened, source = None, None
-        for batch in batches:
-            rows, held = [], 0
-            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
-                if name != opened:
-                    opened, source = name, system.open_input_file(f"{path}/{name}")
-                source.seek(offset)
-                rows.append(one(source.read(length)))
-                held += len(rows[-1][-1] or b"")
-                if held > 16_000_000:
+        with ExitStack() as held_open:
+            opened, source = None, None
+            for batch in batches:
+                rows, held = [], 0
+                for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
+                    if name != opened:
+                        held_open.close()
+                        opened, source = name, held_open.enter_context(system.open_input_file(f"{path}/{name}"))
+                    source.seek(offset)
+                    rows.append(one(source.read(length)))
+                    held += len(rows[-1][-1] or b"")
+                    if held > 16_000_000:
+                        yield made(rows)
+                        rows, held = [], 0
+                if rows:
                     yield made(rows)
-                    rows, held = [], 0
-            if rows:
-                yield made(rows)
 
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-    return index.select("archive", "offset", "length").mapInArrow(run, "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    return index.select("archive", "offset", "length").mapInArrow(tidy(run), "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
 
 def archive(pages: DataFrame, folder: str, tasks: int | None = None, **how) -> DataFrame:
-    """Writes pages as WARC to folder and normalises the archives; returns the index. The whole-file originals go."""
+    """Writes pages as WARC to folder and normalises the archives; returns the index, read from the sidecars. The whole-file originals go."""
     raw = written(write_pages(pages, folder, **how), "warc-files")
     tasks = tasks or max(1, raw.sparkSession.sparkContext.defaultParallelism * 4)
-    index = written(normalise(raw.repartition(tasks), folder), "warc-index")
+    done = written(normalise(raw.repartition(tasks), folder), "warc-archives")
     _drop(raw.select("archive"), folder)
-    return index
+    return read_index(done.repartition(tasks), folder)
 
 
 def _drop(names: DataFrame, folder: str) -> None:
