@@ -5,7 +5,7 @@ repetition, then a learned layer); gated attention weighs the passages; the weig
 documents, and the attention learns which passages carry them: a page of prose with one bad passage is told by it.
 
 Training takes a bounded sample: at most `max_docs` labelled documents, half of them of each label, chosen by a hash, and
-`max_passages` passages; weights restore the labels' true shares. The sample's ids are few enough to broadcast, so the texts
+at most `doc_passages` passages of each, spread evenly over its whole length; weights restore the labels' true shares. The sample's ids are few enough to broadcast, so the texts
 are scanned, not shuffled. Scoring reads every text whole, a passage at a time, and sees nothing but the text.
 
 Null and empty texts are one passage without words. Labels other than 0 and 1, and labels of ids that no document has, are
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_hash
+from .common import bounded_batches, id_hash, tidy
 
 PASSAGE_WORDS = 50
 MAX_DOCS = 4000
-MAX_PASSAGES = 150_000
+DOC_PASSAGES = 40
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, SEED = 40, 64, 0.01, 7
 THRESHOLD = 0.3
@@ -151,7 +151,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoch
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Column | None = None, max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Column | None = None, max_docs: int = MAX_DOCS, doc_passages: int = DOC_PASSAGES) -> Model:
     """keep: the rows of labels to learn from (all, if None)."""
     told = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     told = told if keep is None else told.filter(keep)
@@ -169,16 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for i in range(batch.num_rows):
                 x = passages(batch.column("text")[i].as_py() or b"")
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1), batch.column("label").slice(i, 1), pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["id", "label", "n", "x"])
+                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), doc_passages)).round().astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1), batch.column("label").slice(i, 1), pa.array([x.tobytes()], pa.binary())], names=["id", "label", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = src.mapInArrow(run, f"id {kind}, label int, n long, x binary")
-    # whole documents up to the bound on passages, by hash
-    from pyspark.sql import Window
-
-    found = found.withColumn("__h", F.xxhash64("id"))
-    found = found.withColumn("__sum", F.sum("n").over(Window.orderBy("__h", "id", "x"))).filter(F.col("__sum") <= max_passages)
-    rows = found.select("label", "x").toArrow()
+    # in one order, so that reruns agree; a document that has several rows counts once
+    rows = src.mapInArrow(tidy(run), f"id {kind}, label int, x binary").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").select("label", "x").toArrow()
     bags = [np.frombuffer(x.as_py(), np.float32).reshape(-1, WIDTH) for x in rows.column("x")]
     y = np.array(rows.column("label").to_pylist(), np.float64)
     have = {k: max(1, int((y == k).sum())) for k in n}
