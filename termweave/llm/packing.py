@@ -1,15 +1,16 @@
 """Best-fit packing of tokenised documents into sequences, improved by swap-based local search.
 
 Tokenising: documents become ids of a public tokenizer file (its path is a parameter) and an end id; a document with more
-than `capacity` ids is cut into pieces of that length, the last may be shorter. The tokenizer's pre-tokeniser never
+than `capacity` ids is cut into pieces of that length, the last may be shorter. The default tokenizer's pre-tokeniser never
 joins text across ASCII white space, so ids are made once for each distinct chunk between white space and kept in a
-bounded cache.
+bounded cache; a tokenizer for which that does not hold is asked for whole texts.
 
 Packing works on lengths alone. Pieces are dealt into blocks of about `block_rows` rows by a hash; full pieces are
 sequences by themselves, the rest of a block is packed best-fit decreasing. Then, over the block's underfull sequences,
-local search exchanges one piece for one, two for one, or moves one, whenever this raises the sum of squared fills: fuller
-bins fill up, others drain until they are empty and disappear. A block leaves at most about one sequence that is not full
-because of the cut, so blocks cost one sequence in some ten thousand.
+local search exchanges one piece for one, two for one, or moves one or two, which raises the sum of squared fills: fuller
+bins fill up, others drain until they are empty and disappear. It considers all pieces and all fuller partners, and goes
+on until nothing changes or the sizes could not fit into fewer bins. A block leaves at most about one sequence that is not
+full because of the cut, so blocks cost one sequence in some ten thousand.
 
 Null and empty texts are documents of the end id alone. Repeated rows are packed as often as they occur; ties fall to the
 lower row of a block, whose order is by length, id and piece. An empty table gives an empty one; extra columns pass.
@@ -36,7 +37,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a generation of each cache: chunks, words, tails.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 150_000
 BLOCK_ROWS = 50_000
 #: Bytes of ids that a task of pack() holds to pack them together.
 BLOCK_BYTES = 16_000_000
@@ -53,6 +54,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 _WORD_TAIL = re.compile("([A-Za-z\u00c0-\u024f]+)([!-&(-/:;=>?@\\[-`{}~]*)")
 
 
+#: Text by which a tokenizer shows whether chunks can be encoded apart: letters, marks, digits, cases and kinds of blanks.
+_PROBE = " The quick-brown  fox's 12,345.67 jump(s): \u00c9t\u00e9, na\u00efve!\tWHO? can't \"quote\" a_b x=y...\n\nstra\u00dfe \u4e2d\u6587 ok 3rd\r\n(End) "
+
+
 class _Known(dict):
     """A bounded cache in two generations: a full one becomes the old one, from which what is used returns."""
 
@@ -76,11 +81,11 @@ class Encoder:
     one word; any other chunk through the whole tokenizer.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_CHUNKS):
+    def __init__(self, path: str | None = None, cache: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
         self.model = self.tokenizer.model
         # the byte-level alphabet, read off the pre-tokeniser: what it makes of each byte that a Latin letter can hold
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -88,8 +93,12 @@ class Encoder:
         for c in (chr(i) for i in range(0x250)):
             self.bytes.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
         self.chunks, self.words, self.tails = _Known(cache, self._chunk), _Known(cache, self._word), _Known(cache, self._whole)
+        self.by_chunks = self._joined(_PROBE.encode()) == self._whole(_PROBE)
 
     def encode(self, text: bytes) -> bytes:
+        return self._joined(text) if self.by_chunks else self._whole(text.decode("utf-8", "replace"))
+
+    def _joined(self, text: bytes) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
     def _chunk(self, chunk: bytes) -> bytes:
@@ -111,11 +120,11 @@ class Encoder:
         return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str | None, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and path."""
+def encoder(path: str | None) -> Encoder:
+    """One for each worker process and path; the default's path is looked up where the worker runs."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -123,7 +132,6 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """(id_col, piece int, start long, length long, ids binary: little-endian unsigned 32 bits)."""
-    path = path or tokenizer_path()
     kind = docs.schema[id_col].dataType.simpleString()
     out = _texts(docs, id_col, text_col).mapInArrow(tidy(lambda batches: _cut(batches, path, capacity, end_id)), f"id {kind}, piece int, start long, length long, ids binary")
     return out.withColumnRenamed("id", id_col)
@@ -134,7 +142,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """(id, piece, start, length, ids) of batches of (id, text)."""
     enc, end, width = encoder(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
     names = ["id", "piece", "start", "length", "ids"]
@@ -187,70 +195,88 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int = 8, window: int = 64) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Moves and swaps between underfull bins that raise the sum of squared fills, until a round changes nothing.
 
-    A round takes each underfull bin from the emptiest up as the donor and looks for the change that leaves a fuller
-    partner fullest, among the `window` fullest partners with room: move one piece, exchange one for one, or give two for
-    one. A partner only gains, so the sum of squares grows with each change; a bin that has given all is dropped. The
-    search ends as soon as the sizes could not fit into fewer bins.
+    A round takes each underfull bin from the emptiest up as the donor and makes, again and again, the change that moves
+    the most from it into a bin that is at least as full. A partner only gains, so the sum of squares grows with each change; a bin
+    that has given all is dropped. The search ends as soon as the sizes could not fit into fewer bins.
     """
-    fill = [int(sizes[b].sum()) for b in bins]
-    least, n = -(-sum(fill) // capacity), len(bins)
-    for _ in range(rounds):
-        if n <= least:
-            break
-        open_ = sorted((i for i in range(len(bins)) if bins[i] and fill[i] < capacity), key=lambda i: (fill[i], i))
+    every = [int(sizes[b].sum()) for b in bins]
+    least, alive = -(-sum(every) // capacity), len(bins)
+    if alive <= least:
+        return bins
+    # full bins neither give nor take
+    full = [b for b, n in zip(bins, every, strict=True) if n >= capacity]
+    bins = [b for b, n in zip(bins, every, strict=True) if n < capacity]
+    fill = np.array([n for n in every if n < capacity], np.int64)
+    rows = np.array([i for b in bins for i in b], np.int64)
+    owner = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    sizes = sizes[rows]
+    held = [set(range(a, a + len(b))) for a, b in zip(np.cumsum([0, *map(len, bins)]).tolist(), bins, strict=False)]
+    changed = True
+    while changed and alive > least:
         changed = False
-        for at, d in enumerate(open_):
-            if not bins[d]:
-                continue
-            partners = [p for p in reversed(open_[at + 1 :][-window:] if len(open_) - at > window else open_[at + 1 :]) if bins[p]]
-            for p in partners:
-                if not bins[d]:
-                    break
-                room = capacity - fill[p]
-                if room <= 0 or fill[p] < fill[d]:
-                    continue
-                best = _gain(bins[d], bins[p], sizes, room)
-                if best:
-                    give, take, by = best
-                    bins[d] = [x for x in bins[d] if x not in give] + take
-                    bins[p] = [x for x in bins[p] if x not in take] + give
-                    fill[d] -= by
-                    fill[p] += by
-                    changed = True
-            n -= not bins[d]
-            if n <= least:
+        for d in np.lexsort((np.arange(len(bins)), fill)).tolist():
+            while held[d] and fill[d] < capacity and (found := _best_change(d, held[d], owner, fill, sizes, capacity)):
+                give, take, partner = found
+                for pieces_, a, b in ((give, d, partner), (take, partner, d)):
+                    held[a].difference_update(pieces_)
+                    held[b].update(pieces_)
+                    owner[pieces_] = b
+                by = int(sizes[give].sum() - sizes[take].sum())
+                fill[d] -= by
+                fill[partner] += by
+                changed = True
+                if not held[d]:
+                    alive -= 1
+            if alive <= least:
                 break
-        if not changed:
+    return full + [sorted(rows[list(h)].tolist()) for h in held if h]
+
+
+def _best_change(donor: int, own: set[int], owner: np.ndarray, fill: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[list[int], list[int], int] | None:
+    """(given, taken, partner): one or two pieces of the donor for one or none of a partner, which moves the most.
+
+    A table by size holds the most room of any partner with a piece of that size, so that a change is looked for among
+    all pieces at the cost of the capacity. Partners are as full as the donor at least, and have room.
+    """
+    room = capacity - fill
+    fits = (room > 0) & (room <= room[donor])
+    fits[donor] = False
+    if not fits.any():
+        return None
+    by_bin = np.where(fits, room, 0)
+    most = np.zeros(capacity + 1, np.int64)
+    np.maximum.at(most, sizes, by_bin[owner])
+    most[0] = by_bin.max()
+    mine = np.array(sorted(own), np.int64)
+    d = sizes[mine]
+    single = {int(n): [int(i)] for n, i in zip(d, mine, strict=True)}
+    a, b = np.triu_indices(len(mine), 1)
+    sums, at = np.unique(d[a] + d[b], return_index=True)
+    ways = {int(n): [int(mine[a[k]]), int(mine[b[k]])] for n, k in zip(sums, at, strict=True)} | single
+    amounts = np.array(sorted(ways, reverse=True), np.int64)
+    taken = np.arange(capacity + 1)
+    best = (0, 0, 0)
+    for lo in range(0, len(amounts), 256):
+        some = amounts[lo : lo + 256]
+        if some[0] <= best[0]:
             break
-    return [b for b in bins if b]
-
-
-def _gain(donor: list[int], partner: list[int], sizes: np.ndarray, room: int) -> tuple[list[int], list[int], int] | None:
-    """The change that moves the most, up to room, from donor to partner: (given, taken, amount)."""
-    d, p = sizes[donor], sizes[partner]
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    one = np.where(d <= room, d, 0)
-    if len(d) and one.max() > 0:
-        k = int(one.argmax())
-        best = (int(one[k]), [donor[k]], [])
-    if best[0] < room:
-        diff = d[:, None] - p[None, :]
-        diff = np.where((diff > 0) & (diff <= room), diff, 0)
-        if diff.size and diff.max() > best[0]:
-            i, j = np.unravel_index(int(diff.argmax()), diff.shape)
-            best = (int(diff[i, j]), [donor[i]], [partner[j]])
-    if best[0] < room and 2 <= len(d) <= 200:
-        a, b = np.triu_indices(len(d), 1)
-        pair = d[a] + d[b]
-        two = pair[:, None] - np.concatenate(([0], p))[None, :]
-        two = np.where((two > 0) & (two <= room), two, 0)
-        if two.size and two.max() > best[0]:
-            i, j = np.unravel_index(int(two.argmax()), two.shape)
-            best = (int(two[i, j]), [donor[a[i]], donor[b[i]]], [partner[j - 1]] if j else [])
-    return (best[1], best[2], best[0]) if best[0] else None
+        by = some[:, None] - taken[None, :]
+        by = np.where((by > 0) & (by <= most[None, :]), by, 0)
+        i, y = np.unravel_index(int(by.argmax()), by.shape)
+        if by[i, y] > best[0]:
+            best = (int(by[i, y]), int(some[i]), int(y))
+    by, amount, y = best
+    if not by:
+        return None
+    if not y:
+        partner = int(np.where(by_bin >= by, by_bin, capacity + 1).argmin())
+        return ways[amount], [], partner
+    at = np.flatnonzero((sizes == y) & (by_bin[owner] >= by))
+    piece = int(at[by_bin[owner[at]].argmin()])
+    return ways[amount], [piece], int(owner[piece])
 
 
 def pack_lengths(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +299,7 @@ def assign(rows: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_RO
     blocks = max(1, -(-rows.count() // block_rows))
     cols = rows.columns
     full = rows.filter(F.col("length") >= capacity)
-    part = rows.filter(F.col("length") < capacity).withColumn("__block", F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int"))
+    part = rows.filter(F.col("length") < capacity).withColumn("__block", F.pmod(F.xxhash64(*cols, F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c in cols if c != "ids"], ignore_index=True)
@@ -291,7 +317,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     Tokenises and packs in one pass without a shuffle: each task packs what it has tokenised in blocks of some
     block_bytes of ids, so that at most one sequence a block stays short for want of pieces.
     """
-    path = path or tokenizer_path()
     names = ["id", "piece", "start", "length", "ids", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
