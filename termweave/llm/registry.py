@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_secret_scan": secrets.ORACLE,
     "op3_exact_topk": kdtree.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
+    "op5_source_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
