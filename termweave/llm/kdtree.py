@@ -11,11 +11,12 @@ by the shard that they lie in and search that shard first; the kth score that th
 other shards. A query goes on to a shard only if the shard's bounding box, of which there are at most `MAX_SHARDS`, can
 still hold something as good.
 
-Every row is a candidate; scores and ties (to the smaller id) are exact. Queries meet candidates block by block, the
-result of a pair of blocks is k rows a query at most, and no task holds more than a few blocks at once.
+Every row is a candidate; scores and ties (to the smaller id) are exact. Queries meet candidates block by block: a block
+travels once for every `ASKS` blocks of queries that ask it, which then stream past its tree. The result of a pair of
+blocks is k rows a query at most, and no task holds more than two blocks at once.
 
 Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without an id. Shorter vectors count as
-followed by zeros. Candidates are the rows with another id than the query's. Repeated rows are candidates each, and as queries give
+followed by zeros. Integers and scores end at those of 64 bits. Candidates are the rows with another id than the query's. Repeated rows are candidates each, and as queries give
 a result each. An empty table gives an empty one; extra columns are not read.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, tidy, written
 
 SCALE = 256
 K = 5
@@ -40,6 +41,8 @@ QUERY_ROWS = 512
 MAX_SHARDS = 1024
 SAMPLE_ROWS = 8192
 LEAF_ROWS = 128
+#: Query blocks that are searched in one copy of a block.
+ASKS = 64
 
 
 # ---- tree ----------------------------------------------------------------------------------------------------------
@@ -161,12 +164,17 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _long(scores: np.ndarray) -> np.ndarray:
+    return scores.astype(np.int64) if scores.dtype != object else np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in scores], np.int64)
+
+
 def _exact(x: np.ndarray, largest: int) -> np.ndarray:
     return x.astype(np.float64) if largest * largest * max(1, x.shape[1]) < 2**53 else x.astype(object)
 
 
 def top_k(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, max_shards: int = MAX_SHARDS) -> DataFrame:
     """(query_id, rank int, id, score long): for the rows where query (over the column `id`) holds, the k best others."""
+    bounded_batches(vectors.sparkSession)
     rows = written(integers(vectors, id_col, vector_col, scale), "vectors")
     n, width, largest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))), F.lit(0))).first()
     depth = max(0, min(int(math.log2(max_shards)), math.ceil(math.log2(max(1, n / block_rows)))))
@@ -198,24 +206,34 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: in
         held, tree, ids = None, None, None
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in ("block", "rows", "q_ids", "q", "kth", "shard", "part", "ids", "x")}
+                row = {c: b.column(c)[i].as_py() for c in asked}
+                if row["block"] is None:
+                    held, tree, ids = (row["shard"], row["part"]), Tree(_exact(array(row["q"]), largest)), np.frombuffer(row["q_ids"], np.int64)
+                    continue
                 if held != (row["shard"], row["part"]):
-                    held, tree, ids = (row["shard"], row["part"]), Tree(_exact(array(row["x"]), largest)), np.frombuffer(row["ids"], np.int64)
+                    raise ValueError("queries without their block")
                 nth = np.frombuffer(row["rows"], np.int64)
                 q, q_ids = _exact(array(row["q"]), largest), np.frombuffer(row["q_ids"], np.int64)
                 found = list(search(tree, ids, q, q_ids, np.frombuffer(row["kth"], np.float64), k))
                 if found:
                     times = [len(s) for _, _, s in found]
                     at = np.repeat([f[0] for f in found], times)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["block"])), pa.array(nth[at]), pa.array(q_ids[at]), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]).astype(np.int64))], names=["block", "nth", "query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["block"])), pa.array(nth[at]), pa.array(q_ids[at]), pa.array(np.concatenate([f[1] for f in found])), pa.array(_long(np.concatenate([f[2] for f in found])))], names=["block", "nth", "query_id", "id", "score"])
 
     found_schema = "block long, nth long, query_id long, id long, score long"
+    asked = ("block", "rows", "q_ids", "q", "kth", "shard", "part")
 
     def searched(asks: DataFrame) -> DataFrame:
-        """asks (block, shard, rows, q_ids, q, kth) against all blocks of their shards."""
-        # sorted by block, so that a tree is built once for all query blocks of a task
-        pairs = asks.join(blocks.select("shard", "part", "ids", "x"), "shard").repartition("shard", "part").sortWithinPartitions("shard", "part")
-        return pairs.mapInArrow(probe, found_schema)
+        """asks (block, shard, rows, q_ids, q, kth), written, against all blocks of their shards."""
+        ways = F.broadcast(asks.groupBy("shard").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("ways")))  # max_shards rows
+        way = F.pmod(F.xxhash64("block"), F.col("ways")).cast("int").alias("way")
+        dealt_asks = asks.join(ways, "shard").join(blocks.select("shard", "part"), "shard").select("block", "rows", "q_ids", "q", "kth", "shard", "part", way)
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("block", "long"), ("rows", "binary"), ("kth", "binary"))]
+        copies = blocks.join(ways, "shard").select(*none, F.col("ids").alias("q_ids"), F.col("x").alias("q"), "shard", "part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+        rows = dealt_asks.unionByName(copies).repartition("shard", "part", "way")
+        # a block stands before the queries that ask it, and goes when the next one comes
+        rows = rows.sortWithinPartitions("shard", "part", "way", F.col("block").asc_nulls_first()).select(*asked)
+        return rows.mapInArrow(tidy(probe), found_schema)
 
     best = Window.partitionBy("block", "nth").orderBy(F.desc("score"), "id")
     top = lambda df: df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -227,7 +245,7 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: in
                 yield pa.RecordBatch.from_arrays([b.column("block").slice(i, 1), b.column("shard").slice(i, 1), pa.array([np.arange(n_own).tobytes()], pa.binary()), b.column("q_ids").slice(i, 1), b.column("q").slice(i, 1), pa.array([np.full(n_own, low).tobytes()], pa.binary())], names=["block", "shard", "rows", "q_ids", "q", "kth"])
 
     ask_schema = "block long, shard long, rows binary, q_ids binary, q binary, kth binary"
-    own = written(top(searched(queries.mapInArrow(first, ask_schema))), "own-shard")
+    own = written(top(searched(written(queries.mapInArrow(first, ask_schema), "first-queries"))), "own-shard")
     if depth == 0:
         return _result(own, k)
 
