@@ -57,6 +57,8 @@ COUNT_BITS, COUNT_CHUNK = 20, 1 << 14
 #: Rounds that compare the rows of a shingle with one of them, before all that are still apart are compared, and rows of
 #: one side of a block in that.
 STAR_ROUNDS, PAIR_ROWS = 6, 256
+#: Pairs that are still apart, for each row of a shingle that is open, up to which they are compared at once.
+FEW_PAIRS = 16
 #: Shingles whose hashes are held at once.
 HASH_BLOCK = 1 << 16
 #: Rows of one side of a block; a bucket with more is cut.
@@ -624,7 +626,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: flo
         if not rows:
             break
         live = written(join_groups(live, held.select("token", "k"), "token", "k", rows, "inner"), "open-prefixes")
-        last = turn == STAR_ROUNDS or apart <= 2 * rows
+        last = turn == STAR_ROUNDS or apart <= FEW_PAIRS * rows
         pairs = _all_pairs(live, similarity) if last else _star_pairs(live, similarity, turn, rows)
         for s in seen:
             pairs = pairs.join(s, ["a", "b"], "left_anti")

@@ -93,6 +93,15 @@ def test_near_duplicates_of_odd_rows(odd):
     assert sorted((str(r["doc_id"]), f"{r['fp'] & (2**64 - 1):016x}", str(r["component_id"])) for r in got) == expect
 
 
+def test_simhash_query(spark, sf):
+    """Fingerprints and components of whole documents, against all pairs."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    fps = [slow_fingerprint(r["text"]) for r in rows]
+    slow = slow_components([r["doc_id"] for r in rows], fps)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op7_simhash_dedup(spark, sf).collect()}
+    assert got == {r["doc_id"]: (f"{f:016x}", c) for r, f, c in zip(rows, fps, slow, strict=True)}
+
+
 @pytest.mark.parametrize("bucket_rows", [3, 4096])
 @pytest.mark.parametrize("m", [2, 3, 4, 5])
 def test_links_of_dense_and_spread_fingerprints(spark, m, bucket_rows):
@@ -205,6 +214,34 @@ def test_similar_drop_of_reordered_words(spark):
     assert len(stays) == 5 and similar_kept(spark, texts) == stays
 
 
+def test_similar_drop_of_a_dense_group(spark):
+    """One text, and eight with its words in another order that are alike among themselves: two stay."""
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(200)]
+    other = list(r.permutation(words))
+    texts = {0: " ".join(words)} | {k: " ".join([*other[: 20 * k], other[20 * k], *other[20 * k :]]) for k in range(1, 9)}
+    assert similar_kept(spark, texts) == slow_similar(texts) == {0, 1}
+
+
+def test_similar_drop_of_a_hot_group(spark):
+    """A thousand copies in two clusters of the same words, met in blocks of a few pairs."""
+    r = np.random.default_rng(9)
+    orders = [[f"w{i}" for i in r.permutation(120)] for _ in range(2)]
+    texts = {}
+    for k in range(1000):
+        own = list(orders[k % 2])
+        own[k % 97] = f"e{k}"
+        texts[k] = " ".join(own)
+    stays = slow_similar({k: t for k, t in texts.items() if k < 60})
+    assert stays == {0, 1} and similar_kept(spark, texts) == stays
+
+
+def test_verifier_meets_frequent_rows_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SIDE_PAIRS", 7)
+    texts = {k: "a b c d e f g h " * 9 + f"x{k % 3}" for k in range(60)}
+    assert similar_kept(spark, texts) == slow_similar(texts)
+
+
 def test_similar_drop_of_block_edits(spark):
     """Sections that were added, before or after, or cut."""
     r = np.random.default_rng(7)
@@ -255,6 +292,15 @@ def test_components(spark, edges):
     assert got == {x: find(x) for x in root}
 
 
+def test_hub(spark, monkeypatch):
+    """One node with 10^5 edges, joined apart from the others."""
+    monkeypatch.setattr(components, "FEW_EDGES", 1000)
+    hub = spark.range(1, 100_001).select(F.lit(50_000).cast("long").alias("a"), F.col("id").alias("b"))
+    more = spark.range(200_000, 200_100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components.components(hub.unionByName(more)).groupBy("root").agg(F.count("*").alias("n")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 100_000), (200_000, 101)]
+
+
 def test_long_chain(spark):
     df = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components.components(df).collect()} == {0}

@@ -49,6 +49,20 @@ def test_warc_round_trip(spark):
     assert not [n for n in names if n.startswith("raw-")] and any(n.endswith(".idx") for n in names)
 
 
+def test_warc_index_comes_from_the_sidecars(spark):
+    folder = scratch_path(spark, "warc")
+    index = warc.archive(pages_of(spark, [(i, f"http://{i}/ü\t", f"page {i}", "", "") for i in range(20)]), folder, tasks=3)
+    system, path = warc.open_folder(folder)
+    from pyarrow import fs
+
+    lines = []
+    for f in system.get_file_info(fs.FileSelector(path)):
+        if f.base_name.endswith(".idx"):
+            lines += [(f.base_name.removesuffix(".idx"), *line.split("\t")) for line in system.open_input_stream(f.path).read().decode().splitlines()]
+    assert sorted(tuple(map(str, r)) for r in index.collect()) == sorted(lines) and len(lines) == 20
+    assert warc.open_folder("file:/tmp")[1] == warc.open_folder("file:///tmp")[1] == "/tmp"
+
+
 def test_warc_small_payloads_and_empty(spark):
     rows = [(1, "a", "dup", "", ""), (2, "b", "dup", "", "")]
     folder = scratch_path(spark, "warc")
@@ -98,6 +112,15 @@ def test_top_k(spark, blocks):
     assert sorted(tuple(x) for x in got.collect()) == slow_top(rows)
 
 
+def test_top_k_of_large_numbers_and_clashing_names(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 1.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("id", "v", "shard", "part", "block", "rank", "score"):
+        df = df.withColumn(name, F.lit(name))
+    got = kdtree.top_k(df, "vec_id", "embedding", F.col("id") % 50 == 0).collect()
+    assert [(r["rank"], r["id"], r["score"]) for r in got] == [(1, 1, 2**63 - 1), (2, 3, 65536), (3, 2, -(2**63))]
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     top = lambda d: kdtree.top_k(d, "vec_id", "embedding", F.col("id") % 50 == 0)
@@ -149,8 +172,28 @@ def test_layouts_become_turns(spark):
     for r in chat.canonical_turns(df, "id").orderBy("id", "turn").collect():
         got.setdefault(r["id"], []).append((r["role"], r["text"]))
     plain = [("user", "a"), ("assistant", "b")]
-    assert got == {1: plain, 2: plain, 3: plain, 4: [("user", "a"), ("user", "c"), ("assistant", "b")], 5: plain, 6: [("system", "s"), *plain], 7: plain}
-    assert {r["layout"] for r in chat.layouts(df).collect()} == {m.name for m in chat.MAPPINGS} - {"prompt, response"} | {None}
+    # what no mapping takes is there, without a turn
+    assert got == {1: plain, 2: plain, 3: plain, 4: [("user", "a"), ("user", "c"), ("assistant", "b")], 5: plain, 6: [("system", "s"), *plain], 7: plain, 8: [(None, None)]}
+    assert {r["layout"] for r in chat.layouts(df).collect()} == {"messages", "shared", "instruction, output", "instruction with input", "prompt, completion", "system, prompt, response", "question, answer", None}
+
+
+def test_layouts_that_no_fingerprint_has(spark):
+    """Nulls among the texts, columns of two layouts, arrays without a text: nothing is lost."""
+
+    def turns(records):
+        df = spark.read.json(spark.sparkContext.parallelize([json.dumps({"id": i, **r}) for i, r in enumerate(records)]))
+        got = {}
+        for r in chat.canonical_turns(df, "id").orderBy("id", "turn").collect():
+            got.setdefault(r["id"], []).append((r["role"], r["text"]))
+        return [got[i] for i in range(len(records))]
+
+    said = [{"role": "user", "content": "a"}]
+    assert turns([{"system": "s", "prompt": "a", "completion": "b"}, {"prompt": "p", "completion": None}]) == [[("system", "s"), ("user", "a"), ("assistant", "b")], [("user", "p"), ("assistant", "")]]
+    assert turns([{"messages": [{"role": "user", "content": None}]}, {"messages": said}, {"messages": []}]) == [[("user", "")], [("user", "a")], [(None, None)]]
+    assert turns([{"messages": said, "prompt": "x", "completion": "y"}]) == [[("user", "a")]]
+    # turn rows: each is a turn, whatever is null, but where messages are there besides
+    assert turns([{"turn": 1, "role": "user", "text": "a", "prompt": "x"}, {"turn": None, "role": None, "text": None}]) == [[("user", "a")], [("", "")]]
+    assert turns([{"turn": 1, "role": "user", "text": "b", "messages": said}, {"turn": 2, "role": "user", "text": "c"}]) == [[("user", "a")], [("user", "c")]]
 
 
 def test_chat_of_odd_rows(spark):

@@ -46,3 +46,13 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert pipeline.run(spark, sf).count() > 0
+
+
+def test_run_of_odd_and_empty_rows(spark, odd, empty, tmp_path):
+    """All stages in a row, on nulls, repeated rows, long texts, and on nothing."""
+    for name, docs in (("odd", odd), ("empty", empty)):
+        docs.drop("score", "lang_pred", "fp", "kept", "__norm", "__key", "__mark", "id").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = pipeline.run(spark, f"file://{tmp_path}/{name}")
+        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
+        assert out.filter("length * 4 <> length(ids) OR offset + length > 4096").count() == 0
+        assert not ids & {3, 4, 5, 7} and (not ids if name == "empty" else ids)

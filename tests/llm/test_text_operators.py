@@ -22,6 +22,61 @@ def test_language_accuracy(spark):
     assert split == 0
 
 
+def test_language_query(spark, sf):
+    """Against a plain version: counts of all labelled rows that are not held out, words, then the longest known n-grams."""
+    import math
+    import zlib
+    from collections import Counter
+
+    import regex
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    split = lambda t: regex.findall(r"\p{L}+", t.lower())
+    counts = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            for w in split(r["text"]):
+                for n in range(6):
+                    s = f" {w} "
+                    counts.setdefault((r["lang"], n), Counter()).update([w] if n == 0 else [s[i : i + n] for i in range(len(s) - n + 1)])
+    langs = sorted({lang for lang, _ in counts})
+    each = min(language_id.MAX_ENTRIES, language_id.MAX_CELLS // len(langs)) // (6 * len(langs))
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    table = [{} for _ in range(6)]
+    for (lang, n), c in counts.items():
+        for entry, times in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:each]:
+            table[n].setdefault(entry, {})[lang] = math.log10(times / total[lang, n])
+    lacks = {k: math.log10(0.1 / total[k]) for k in total}
+
+    def word(w):
+        s = f" {w} "
+        for n, found in ((0, [w]), *((n, [s[i : i + n] for i in range(len(s) - n + 1)]) for n in range(5, 0, -1))):
+            if known := [e for e in found if e in table[n]]:
+                return [sum(table[n][e].get(lang, lacks[lang, n]) for e in known) / len(known) for lang in langs]
+        return [lacks[lang, 1] for lang in langs]
+
+    got = {r["doc_id"]: r for r in language_id.op1_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        ws = split(r["text"] or "")
+        mine = got[r["doc_id"]]
+        if not ws:
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        scores = [word(w) for w in ws]
+        mean = [sum(x) / len(ws) * math.log(10) for x in zip(*scores, strict=True)]
+        p = [math.exp(m - max(mean)) for m in mean]
+        assert mine["lang_pred"] == langs[p.index(max(p))] and mine["score"] == pytest.approx(max(p) / sum(p), rel=1e-3)
+
+
+def test_many_languages(spark):
+    """Each of 250 languages is learned."""
+    df = spark.range(250).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("lang"), F.concat(F.lit("wort"), F.translate(F.lpad(F.col("id").cast("string"), 3, "0"), "0123456789", "abcdefghij"), F.lit(" und")).alias("text"))
+    model = language_id.fit(df)
+    got = language_id.predict(df, model).select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert len(model.langs) == 250 and got == 1.0
+
+
 def test_language_of_odd_rows(odd, empty):
     model = language_id.fit(odd)
     got = {(r["doc_id"], r["text"]): r for r in language_id.predict(odd, model).collect()}
@@ -69,6 +124,16 @@ def test_ownership(spark):
     assert [(s["kind"], s["start"], s["end"], s["n_owners"], s["n_repos"], s["verdict"]) for s in got[9]] == [("live", 4, 28, 1, 2, "live")]
 
 
+def test_long_and_much_copied_values(spark):
+    long, common = "kQ7zR2xT9mW4" * 20, "Hk3Lm9Qw2Er5Ty7Ui8Op1As"
+    rows = [(i, f"see {common} here", "s0") for i in range(secrets.WIDELY_REPOS)] + [(99, f"x {long}", "s1")]
+    got = {r["doc_id"]: r["secrets"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(s["kind"], s["end"] - s["start"]) for s in got[99]] == [("live", len(long))]
+    assert got[0] == []  # one owner, but in many repositories
+    few = {r["doc_id"]: r["secrets"] for r in secrets.scan(spark.createDataFrame(rows[1:], "doc_id long, text string, source string")).collect()}
+    assert few[1][0]["verdict"] == "live"
+
+
 def test_secret_query(spark, sf):
     got = {r["doc_id"]: r for r in secrets.op2_secret_scan(spark, sf).collect()}
     pattern = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -95,6 +160,52 @@ def test_quality_accuracy(spark):
     assert held[1] > 30 and held[0] > 0.95 and 0 <= held[2] <= held[3] <= 1
 
 
+def slow_score(model, text):
+    """One document by plain loops, from features that are counted a character at a time."""
+    words = (text or "").encode().split()
+    groups = [words[i : i + quality.PASSAGE_WORDS] for i in range(0, len(words), quality.PASSAGE_WORDS)]
+    bag = []
+    marks = [c for c in range(33, 127) if not chr(c).isalnum()]
+    for at, g in enumerate(groups):
+        chars = b"".join(g)
+        share = lambda test: sum(map(test, chars)) / len(chars)
+        x = [share(lambda c, m=m: c == m) for m in marks]
+        x += [share(lambda c: 65 <= c <= 90), share(lambda c: 97 <= c <= 122), share(lambda c: 48 <= c <= 57), share(lambda c: c >= 128)]
+        before = [groups[at - 1][-1] if at else None, *g]
+        x += [len(g) / quality.PASSAGE_WORDS, len(chars) / len(g) / 10, len(set(g)) / len(g), sum(a == b for a, b in zip(before, g, strict=False)) / len(g), sum(w.isupper() for w in g) / len(g), sum(len(w) == 1 for w in g) / len(g)]
+        bag.append(x)
+    bag = (np.array(bag or [[0.0] * quality.WIDTH]) - model.mean) / model.sd
+    p = model.p
+    hidden = [np.tanh(x @ p["w"] + p["b"]) for x in bag]
+    gate = [float(np.tanh(h @ p["v"]) * (1 / (1 + np.exp(-(h @ p["u"])))) @ p["a"]) for h in hidden]
+    alpha = np.exp(np.array(gate) - max(gate))
+    z = sum(a * h for a, h in zip(alpha / alpha.sum(), hidden, strict=True))
+    return float(1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))))
+
+
+def test_quality_query(spark, sf):
+    """Scores of the query are those of its model by plain loops; reruns agree."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels, keep=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    got = {r["doc_id"]: r for r in quality.op9_quality_mil(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        score = slow_score(model, r["text"])
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, rel=1e-3, abs=1e-6)
+        assert abs(score - 0.3) < 1e-4 or got[r["doc_id"]]["predicted"] == int(score >= 0.3)
+
+
+def test_long_documents_are_sampled_whole(spark):
+    """A long document gives passages from all its length, and keeps no other document out."""
+    good, bad = "the quick brown fox jumps over it again " * 40, "@@ ## !! $$ %% ^^ && ** " * 40
+    rows = [(i, good * (200 if i == 0 else 1) if i % 2 else bad) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"), doc_passages=3)
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
+    assert model.constant is None and all((got[i] > 0.5) == bool(i % 2) for i in range(40))
+
+
 def test_gradient():
     r = np.random.default_rng(0)
     m = quality.Model(seed=1)
@@ -161,6 +272,22 @@ def test_mixing_is_stable_and_weighted(spark):
     assert n.get(1, 0) > 3 * n.get(0, 0)
 
 
+def test_repeated_rows_are_taken_one_by_one(spark):
+    rows = [(1, "a b c d", "x")] * 1000 + [(i, "e f", "y") for i in range(2, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(df, share=1.2)
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    goal = {"y": min(2 * 596, 1.2 * 4596 / 4)}
+    goal["x"] = 1.2 * 4596 - goal["y"]
+    assert abs(4 * n["x"] - goal["x"]) <= 4 and abs(2 * n["y"] - goal["y"]) <= 2
+
+
+def test_mixing_keeps_a_clashing_weight(spark):
+    df = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"), F.col("id").alias("__given"))
+    out = mixing.mix(df, weight=F.lit(1.0))
+    assert out.columns == df.columns and out.filter("__given <> doc_id").count() == 0
+
+
 def test_mixing_of_odd_rows(odd, empty):
     out = mixing.mix(odd)
     assert out.columns == odd.columns and out.filter("doc_id = 3").count() in (0, 1, 2)
@@ -228,6 +355,38 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], sizes, 100)) <= 3
 
 
+def test_local_search_reaches_every_partner():
+    """Changes raise the sum of squared fills, and none is left at the end."""
+    from itertools import combinations
+
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        sizes = r.integers(20, 70, 24)
+        first = [[i] for i in range(24)]
+        then = packing.local_search([list(b) for b in first], sizes, 100)
+        assert sorted(i for b in then for i in b) == list(range(24))
+        fill = [int(sizes[b].sum()) for b in then]
+        assert max(fill) <= 100 and sum(f * f for f in fill) >= sum(int(sizes[b].sum()) ** 2 for b in first)
+        if len(then) > -(-sum(fill) // 100):
+            for d, p in ((a, b) for a in range(len(then)) for b in range(len(then)) if a != b and fill[a] <= fill[b] and fill[b] < 100):
+                gives = [(i,) for i in then[d]] + list(combinations(then[d], 2))
+                for g in gives:
+                    for t in [0, *(int(sizes[y]) for y in then[p])]:
+                        by = sum(int(sizes[i]) for i in g) - t
+                        assert not 0 < by <= 100 - fill[p]
+
+
+def test_another_tokenizer_is_asked_for_whole_texts():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    path = str(Path(packing.tokenizer_path()).with_name("byte_bpe_50k.json"))
+    enc, text = packing.Encoder(path), "Hello  there, two\nlines"
+    assert not enc.by_chunks and packing.Encoder().by_chunks
+    assert np.frombuffer(enc.encode(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_odd_rows(odd, empty):
     out = packing.pack(odd)
     assert out.select(F.sum("length")).first()[0] == sum(r["length"] for r in packing.pieces(odd).select("length").collect())
