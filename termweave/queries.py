@@ -7,7 +7,9 @@ Spark and the checking engine read alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from .functions.lexicon import DOSAGE_FORMS, RELEASES, USAN_OF_INN
 from .operators import metrics, model_rank, profiles, ranking, scope, search
 from .plans import mapping
 from .sources import exports, usagi
-from .sources.encoders import HashedNgrams, encoded
+from .sources.encoders import encoded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,20 +201,25 @@ def brand_scores(spark, sf_dir):
     return concepts_of(spark, sf_dir).select("concept_id", text.brand_score(q, text.brands(t), text.brand_patterns(t)).alias("brand_score"))
 
 
-#: Terms whose strengths, words, release and form are known from the columns that they are made of, by `k`.
-TERM = {
-    "concept_id": "p_partkey",
-    "name": "p_name",
-    "brand": "lower(p_brand)",
-    "n": "CAST(p_size AS DOUBLE)",
-    "k": "(p_partkey % 7 + p_size) % 12",
-    "term": "concat(p_name, ' ', CASE (p_partkey % 7 + p_size) % 12 "
-    "WHEN 0 THEN concat(p_size * 10, ' mg oral tablet') WHEN 1 THEN concat(p_size, ' mg/5 ml oral solution') WHEN 2 THEN concat(p_size, '% cream') "
-    "WHEN 3 THEN concat(p_size, '-', p_size + 5, ' mg ER capsule') WHEN 4 THEN concat(p_size, ' mg + ', 2 * p_size, ' mg enteric coated tablet') "
-    "WHEN 5 THEN concat(p_size, ' mcg per actuation nasal spray ', p_brand) WHEN 6 THEN concat(p_size, ' iu [', p_brand, ']') WHEN 7 THEN concat(p_size, '/', p_size * 20, ' plain gel') "
-    "WHEN 8 THEN concat(p_size, ' mg/g ointment') WHEN 9 THEN concat(p_size, ' tablets') WHEN 10 THEN concat(p_size, ' g per 2 l delayed release eye drops') ELSE 'lotion' END)",
-}
-#: By k: kind, value, unit, base and its unit of each strength; then the words after the name, the release and the form.
+def _term(key: str, name: str, size: str, brand: str) -> dict[str, str]:
+    """A term whose strengths, words, release and form are known from the columns that it is made of, by `k`."""
+    k = f"({key} % 7 + {size}) % 12"
+    return {
+        "concept_id": key,
+        "name": f"lower({name})",
+        "brand": f"lower({brand})",
+        "n": f"CAST({size} AS DOUBLE)",
+        "k": k,
+        "term": f"concat({name}, ' ', CASE {k} "
+        f"WHEN 0 THEN concat(({size}) * 10, ' mg oral tablet') WHEN 1 THEN concat({size}, ' mg/5 ml oral solution') WHEN 2 THEN concat({size}, '% cream') "
+        f"WHEN 3 THEN concat({size}, '-', {size} + 5, ' mg ER capsule') WHEN 4 THEN concat({size}, ' mg + ', 2 * ({size}), ' mg enteric coated tablet') "
+        f"WHEN 5 THEN concat({size}, ' mcg per actuation nasal spray ', {brand}) WHEN 6 THEN concat({size}, ' iu [', {brand}, ']') WHEN 7 THEN concat({size}, '/', ({size}) * 20, ' plain gel') "
+        f"WHEN 8 THEN concat({size}, ' mg/g ointment') WHEN 9 THEN concat({size}, ' tablets') WHEN 10 THEN concat({size}, ' g per 2 l delayed release eye drops') ELSE 'lotion' END)",
+    }
+
+
+TERM = _term("p_partkey", "p_name", "p_size", "p_brand")
+#: By k: kind, value, unit, base and its unit of each strength; then the words after the name, those of release and form, the release and the form.
 _TERM_STRENGTHS = (
     (0, "single", "n * 10", "mg", None, None), (1, "ratio", "n", "mg", 5, "ml"), (1, "percent", "n / 5000 * 100", None, None, None),
     (2, "percent", "n", None, None, None), (2, "ratio", "n * 1000", "mg", 100, "ml"), (3, "single", "n", "mg", None, None), (3, "single", "n + 5", "mg", None, None),
@@ -221,10 +228,10 @@ _TERM_STRENGTHS = (
     (9, "single", "n", "tablet", None, None), (10, "ratio", "n * 1000", "mg", 2000, "ml"), (10, "percent", "n * 1000 / 2000000 * 100", None, None, None),
 )
 _TERM_WORDS = (
-    (0, "oral tablet tablet", None, "oral_tablet"), (1, "oral solution oral solution", None, "oral_solution"), (2, "cream", None, None),
-    (3, "er capsule er extended release capsule", "ER", "oral_capsule"), (4, "enteric coated tablet dr delayed release enteric coated tablet", "DR enteric", "oral_tablet"),
-    (5, "nasal spray brand nasal spray", None, "nasal_spray"), (6, "", None, None), (7, "plain gel", None, None), (8, "ointment", None, None), (9, "", None, "oral_tablet"),
-    (10, "delayed release eye solution dr delayed release ophthalmic solution", "DR", "ophthalmic_solution"), (11, "lotion", None, None),
+    (0, "oral tablet", "tablet", None, "oral_tablet"), (1, "oral solution", "oral solution", None, "oral_solution"), (2, "cream", "", None, None),
+    (3, "er capsule", "er extended release capsule", "ER", "oral_capsule"), (4, "enteric coated tablet", "dr delayed release enteric coated tablet", "DR enteric", "oral_tablet"),
+    (5, "nasal spray brand", "nasal spray", None, "nasal_spray"), (6, "", "", None, None), (7, "plain gel", "", None, None), (8, "ointment", "", None, None), (9, "", "", None, "oral_tablet"),
+    (10, "delayed release eye solution", "dr delayed release ophthalmic solution", "DR", "ophthalmic_solution"), (11, "lotion", "", None, None),
 )
 
 
@@ -236,11 +243,13 @@ _STRENGTHS_SQL = " UNION ALL ".join(f"SELECT concept_id, '{kind}' AS kind, CAST(
 _MATCHED = "CASE WHEN len(x) = 1 THEN [list_min(list_transform(y, lambda v: abs(ln(v) - ln(x[1]))))] ELSE [abs(ln(x[1]) - ln(y[1])), abs(ln(x[2]) - ln(y[2]))] END"
 
 
-@query(rf"""
-WITH t AS ({sql("part", TERM)}), s AS ({_STRENGTHS_SQL}),
-w AS (SELECT concept_id, brand, k, tail, release, form, split_part(form, '_', 1) AS route, string_split(trim(concat(name, ' ', tail)), ' ') AS words
-  FROM t JOIN (VALUES {", ".join(f"({', '.join(map(_literal, r))})" for r in _TERM_WORDS)}) v(k, tail, release, form) USING (k)),
-l AS (SELECT *, list_distinct(words) AS own, list_distinct(list_transform(range(1, len(words)), lambda i: concat(words[i], ' ', words[i + 1]))) AS two FROM w),
+def _features_sql(twice: bool) -> str:
+    """CTEs from t (terms) and pairs (q, d: their ids) to f: the features of pairs. twice: whether d's text is its term, said twice."""
+    return rf"""
+s AS ({_STRENGTHS_SQL}),
+w AS (SELECT concept_id, brand, k, release, form, split_part(form, '_', 1) AS route, list_filter(string_split(concat(name, ' ', tail, ' ', label), ' '), lambda x: x <> '') AS once, list_filter(string_split(concat(name, ' ', tail, ' ', {"name, ' ', tail, ' '," if twice else ""} label), ' '), lambda x: x <> '') AS often
+  FROM t JOIN (VALUES {", ".join(f"({', '.join(map(_literal, r))})" for r in _TERM_WORDS)}) v(k, tail, label, release, form) USING (k)),
+l AS (SELECT *, {", ".join(f"list_distinct({x}) AS {x}_own, list_distinct(list_transform(range(1, len({x})), lambda i: concat({x}[i], ' ', {x}[i + 1]))) AS {x}_two" for x in ("once", "often"))} FROM w),
 has AS (SELECT t.concept_id, count(s.kind) AS n, coalesce(bool_or(kind = 'ratio' AND per_unit = 'ml'), false) AS per_volume, coalesce(bool_or(kind = 'ratio' AND unit = 'mg' AND per_unit = 'mg'), false) AS mass_ratio,
   coalesce(bool_or(kind = 'single' AND unit = 'mg'), false) AS mass FROM t LEFT JOIN s USING (concept_id) GROUP BY 1),
 e AS (
@@ -251,41 +260,47 @@ e AS (
   UNION ALL SELECT concept_id, 'amount', 'mass', 0.8, value FROM s WHERE kind = 'ratio' AND unit = 'mg' AND per_unit = 'mg'
 ), b AS (SELECT concept_id, variant, key, any_value(weight) AS weight, list_sort(list(value)) AS amounts FROM e GROUP BY ALL),
 p AS (
-  SELECT q.concept_id AS id, q.n > 0 AND d.n > 0 AS both, sided, CASE WHEN sided = 'gate' THEN 'plain' WHEN q.per_volume OR d.per_volume THEN 'volume' WHEN q.mass_ratio AND d.mass AND NOT d.mass_ratio THEN 'amount' ELSE 'plain' END AS qv,
+  SELECT pairs.q AS iq, pairs.d AS id, q.n > 0 AND d.n > 0 AS filled, sided, CASE WHEN sided = 'gate' THEN 'plain' WHEN q.per_volume OR d.per_volume THEN 'volume' WHEN q.mass_ratio AND d.mass AND NOT d.mass_ratio THEN 'amount' ELSE 'plain' END AS qv,
     CASE WHEN sided = 'gate' THEN 'plain' WHEN q.per_volume OR d.per_volume THEN 'volume' WHEN d.mass_ratio AND q.mass AND NOT q.mass_ratio THEN 'amount' ELSE 'plain' END AS dv
-  FROM has q JOIN has d ON d.concept_id = q.concept_id + 1, (VALUES ('gate'), ('sim')) x(sided)
+  FROM pairs JOIN has q ON q.concept_id = pairs.q JOIN has d ON d.concept_id = pairs.d, (VALUES ('gate'), ('sim')) x(sided)
 ), j AS (
-  SELECT id, sided, key, coalesce(q.weight, d.weight) AS weight, q.amounts AS q, d.amounts AS d
-  FROM (SELECT p.id, sided, key, weight, amounts FROM p JOIN b ON b.concept_id = p.id AND variant = qv) q
-  FULL JOIN (SELECT p.id, sided, key, weight, amounts FROM p JOIN b ON b.concept_id = p.id + 1 AND variant = dv) d USING (id, sided, key)
+  SELECT iq, id, sided, key, coalesce(q.weight, d.weight) AS weight, q.amounts AS q, d.amounts AS d
+  FROM (SELECT iq, id, sided, key, weight, amounts FROM p JOIN b ON b.concept_id = iq AND variant = qv) q
+  FULL JOIN (SELECT iq, id, sided, key, weight, amounts FROM p JOIN b ON b.concept_id = id AND variant = dv) d USING (iq, id, sided, key)
 ), m AS (
   SELECT *, CASE WHEN q IS NULL OR d IS NULL THEN [] ELSE {_MATCHED} END AS costs
   FROM (SELECT *, CASE WHEN len(q) <= len(d) THEN q ELSE d END AS x, CASE WHEN len(q) <= len(d) THEN d ELSE q END AS y FROM j) z
 ), n AS (SELECT *, len(list_filter(costs, lambda c: c < 8 - 1e-9)) AS hits, list_sum(list_transform(costs, lambda c: CASE WHEN c < 8 - 1e-9 THEN c ELSE c - 8 END)) AS cost FROM m),
 g AS (
-  SELECT id, sided, sum(weight * coalesce(len(q), 0)) AS total_q, sum(CASE WHEN q IS NULL THEN weight * len(d) ELSE 0 END) AS lone, sum(CASE WHEN hits > 0 THEN weight * greatest(cost, 0) ELSE 0 END) AS cost,
+  SELECT iq, id, sided, sum(weight * coalesce(len(q), 0)) AS total_q, sum(CASE WHEN q IS NULL THEN weight * len(d) ELSE 0 END) AS lone, sum(CASE WHEN hits > 0 THEN weight * greatest(cost, 0) ELSE 0 END) AS cost,
     sum(weight * hits) AS hits, sum(CASE WHEN hits > 0 THEN weight * greatest(len(d) - hits, 0) ELSE 0 END) AS extra
   FROM n GROUP BY ALL
-), h AS (SELECT p.id, p.sided, p.both, coalesce(hits, 0) AS hits, exp(-cost / nullif(hits, 0)) AS s, exp(-0.7 * (extra + CASE WHEN total_q > 0 THEN lone ELSE 0 END)) AS extra, hits / greatest(total_q, 1e-9) AS coverage FROM p LEFT JOIN g USING (id, sided)),
+), h AS (SELECT p.iq, p.id, p.sided, filled, coalesce(hits, 0) AS hits, exp(-cost / nullif(hits, 0)) AS s, exp(-0.7 * (extra + CASE WHEN total_q > 0 THEN lone ELSE 0 END)) AS extra, hits / greatest(total_q, 1e-9) AS coverage FROM p LEFT JOIN g USING (iq, id, sided)),
 f AS (
-  SELECT q.concept_id, CASE WHEN NOT sim.both THEN 0.0 WHEN sim.hits <= 0 THEN -1.0 WHEN sim.coverage < 0.3 THEN 0.0 WHEN sim.s < 0.2 THEN -1.0 ELSE sim.s * sim.extra * sim.coverage END AS strength_sim,
-    CASE WHEN gate.both AND gate.hits > 0 AND gate.s >= 0.6 THEN gate.s * gate.extra ELSE 0.0 END AS dose,
-    0.7 * len(list_intersect(q.own, d.own)) / len(list_distinct(q.own || d.own)) + 0.3 * coalesce(len(list_intersect(q.two, d.two)) / nullif(len(list_distinct(q.two || d.two)), 0), 0) AS jaccard_text,
-    CASE WHEN d.k <> 6 THEN 0.0 WHEN q.k IN (5, 6) AND q.brand = d.brand THEN 1.0 ELSE -1.0 END AS brand_score,
-    CASE WHEN q.release IS NULL AND d.release IS NULL THEN 0.0 WHEN q.release IS NULL THEN -0.2 WHEN d.release IS NULL THEN -0.4 WHEN q.release[1:2] = d.release[1:2] THEN 0.4 ELSE -0.4 END AS release_score,
-    CASE WHEN q.release <> d.release OR q.form <> d.form THEN -1.0 ELSE 0.0 END AS form_release_score,
-    CASE WHEN q.form IS NULL AND d.form IS NOT NULL THEN -0.5 WHEN q.form IS NULL OR d.form IS NULL THEN 0.0 WHEN q.form = d.form THEN 1.0 WHEN q.route = d.route THEN 0.5 ELSE -1.0 END AS form_route_score
-  FROM l q JOIN l d ON d.concept_id = q.concept_id + 1 JOIN h sim ON sim.id = q.concept_id AND sim.sided = 'sim' JOIN h gate ON gate.id = q.concept_id AND gate.sided = 'gate'
-)
-SELECT concept_id, round(strength_sim, 9) AS strength_sim, round(jaccard_text, 9) AS jaccard_text, CAST(brand_score AS DOUBLE) AS brand_score, CAST(release_score AS DOUBLE) AS release_score, CAST(form_release_score AS DOUBLE) AS form_release_score, CAST(form_route_score AS DOUBLE) AS form_route_score,
+  SELECT pairs.q, pairs.d, q.k AS q_k, sim.filled, CASE WHEN NOT sim.filled THEN 0.0 WHEN sim.hits <= 0 THEN -1.0 WHEN sim.coverage < 0.3 THEN 0.0 WHEN sim.s < 0.2 THEN -1.0 ELSE sim.s * sim.extra * sim.coverage END AS strength_sim,
+    CASE WHEN gate.filled AND gate.hits > 0 AND gate.s >= 0.6 THEN gate.s * gate.extra ELSE 0.0 END AS dose,
+    0.7 * len(list_intersect(q.once_own, d.often_own)) / len(list_distinct(q.once_own || d.often_own)) + 0.3 * coalesce(len(list_intersect(q.once_two, d.often_two)) / nullif(len(list_distinct(q.once_two || d.often_two)), 0), 0) AS jaccard_text,
+    CAST(CASE WHEN d.k <> 6 THEN 0.0 WHEN q.k IN (5, 6) AND q.brand = d.brand THEN 1.0 ELSE -1.0 END AS DOUBLE) AS brand_score,
+    CAST(CASE WHEN q.release IS NULL AND d.release IS NULL THEN 0.0 WHEN q.release IS NULL THEN -0.2 WHEN d.release IS NULL THEN -0.4 WHEN q.release[1:2] = d.release[1:2] THEN 0.4 ELSE -0.4 END AS DOUBLE) AS release_score,
+    CAST(CASE WHEN q.release <> d.release OR q.form <> d.form THEN -1.0 ELSE 0.0 END AS DOUBLE) AS form_release_score,
+    CAST(CASE WHEN q.form IS NULL AND d.form IS NOT NULL THEN -0.5 WHEN q.form IS NULL OR d.form IS NULL THEN 0.0 WHEN q.form = d.form THEN 1.0 WHEN q.route = d.route THEN 0.5 ELSE -1.0 END AS DOUBLE) AS form_route_score
+  FROM pairs JOIN l q ON q.concept_id = pairs.q JOIN l d ON d.concept_id = pairs.d JOIN h sim ON sim.iq = pairs.q AND sim.id = pairs.d AND sim.sided = 'sim' JOIN h gate ON gate.iq = pairs.q AND gate.id = pairs.d AND gate.sided = 'gate'
+)"""
+
+
+@query(f"""
+WITH t AS ({sql("part", TERM)}), pairs AS (SELECT a.concept_id AS q, b.concept_id AS d FROM t a JOIN t b ON b.concept_id = a.concept_id + 1), {_features_sql(False)}
+SELECT q AS concept_id, round(strength_sim, 9) AS strength_sim, round(jaccard_text, 9) AS jaccard_text, brand_score, release_score, form_release_score, form_route_score,
   round(CASE WHEN dose <= 0 THEN 0 ELSE pow(greatest(dose, 1e-12), 0.6) * pow(greatest(jaccard_text, 1e-12), 0.4) * exp(0.5 * brand_score) * exp(0.1 * form_release_score) * exp(0.1 * release_score) END, 9) AS post_score
 FROM f
 """)
 def pair_features(spark, sf_dir):
     """Each term as a query for the next one: all features and the gated score. The SQL knows strengths and words from the terms' columns."""
     d = derived(spark, sf_dir, "part", TERM).select("concept_id", text.normalized(F.col("term")).alias("t"))
-    q = ranking.side(d, "t", "q", False).select("concept_id", "q")
-    c = ranking.side(d, "t", "c", True).select((F.col("concept_id") - 1).alias("concept_id"), "c")
+    # reading a text costs more than moving it, and the join is by the same key
+    dealt = lambda x: x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "concept_id")
+    q = ranking.side(dealt(d), "t", "q", False).select("concept_id", "q")
+    c = ranking.side(dealt(d.withColumn("concept_id", F.col("concept_id") - 1)), "t", "c", True).select("concept_id", "c")
     df = ranking.gated_score(ranking.pair_features(q.join(c, "concept_id")))
     near = lambda c: F.round(c, 9).alias(c)
     return df.select("concept_id", near("strength_sim"), near("jaccard_text"), "brand_score", "release_score", "form_release_score", "form_route_score", near("post_score"))
@@ -541,13 +556,59 @@ def review_rows(spark, sf_dir):
 # ---- end to end -----------------------------------------------------------------------------------------------------
 
 
-@query(None)
+class Letters:
+    """An encoder that SQL can express: how often each letter occurs."""
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return np.array([[t.count(c) for c in ascii_lowercase] for t in texts], np.float32).reshape(len(texts), 26)
+
+
+class LetterTokens:
+    """As Letters, for each word."""
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [Letters()(t.split()) for t in texts]
+
+
+ASKED = _term("s_suppkey", "concat('red ', CASE WHEN s_suppkey % 3 = 0 THEN 'Widget' ELSE 'gear' END)", "(s_suppkey % 50 + 1)", "concat('Brand#', CAST(s_suppkey % 25 + 1 AS STRING))")
+_COUNTED = "list_transform(range(97, 123), lambda c: CAST(len({0}) - len(replace({0}, chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
+
+
+@query(f"""
+WITH a AS ({sql("supplier", ASKED)}), c AS ({sql("part", TERM)}),
+t AS (SELECT -concept_id - 1 AS concept_id, name, brand, n, k, lower(term) AS term FROM a UNION ALL SELECT concept_id, name, brand, n, k, lower(term) FROM c),
+v AS (SELECT concept_id, term, {_COUNTED.format("term")} AS e FROM t),
+near AS (
+  SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS place
+  FROM (SELECT q.concept_id AS q, d.concept_id AS d, round(list_cosine_similarity(q.e, d.e), 12) AS sim FROM v q JOIN v d ON q.concept_id < 0 AND d.concept_id >= 0) x QUALIFY place <= 20
+), words AS (SELECT concept_id, unnest(string_split(term, ' ')) AS word, generate_subscripts(string_split(term, ' '), 1) AS i FROM t),
+counted AS (SELECT word, {_COUNTED.format("word")} AS e FROM (SELECT DISTINCT word FROM words) x),
+alike AS (SELECT a.word AS a, b.word AS b, CASE WHEN list_sum(a.e) = 0 OR list_sum(b.e) = 0 THEN 0 ELSE list_cosine_similarity(a.e, b.e) END AS sim FROM counted a, counted b),
+late AS (
+  SELECT q, d, place, qi, di, sim FROM (SELECT near.q, near.d, place, x.word AS a, x.i AS qi, y.word AS b, y.i AS di FROM near JOIN words x ON x.concept_id = near.q JOIN words y ON y.concept_id = near.d) z JOIN alike USING (a, b)
+), scored AS (
+  SELECT q, d, place, CAST(0.5 * (x + y) AS FLOAT) AS relevance FROM (SELECT q, d, place, avg(m) AS x FROM (SELECT q, d, place, qi, max(sim) AS m FROM late GROUP BY ALL) o GROUP BY ALL) o
+  JOIN (SELECT q, d, avg(m) AS y FROM (SELECT q, d, di, max(sim) AS m FROM late GROUP BY ALL) o GROUP BY ALL) r USING (q, d)
+), best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY relevance DESC, place) AS retrieval FROM scored QUALIFY retrieval <= 10),
+pairs AS (SELECT q, d FROM best), {_features_sql(True)},
+r AS (
+  SELECT f.*, CAST(relevance AS DOUBLE) AS relevance, retrieval, CASE WHEN strength_sim >= 0.99 AND filled THEN 1 ELSE 0 END AS exact FROM f JOIN best USING (q, d)
+), o AS (
+  SELECT *, CASE WHEN exact = 1 AND form_route_score < 0 THEN form_route_score + 0.5 ELSE form_route_score END AS route FROM r
+), kept AS (
+  SELECT * FROM o WHERE q_k <> 6 OR brand_score >= 0 OR NOT EXISTS (SELECT 1 FROM o x WHERE x.q = o.q AND x.brand_score >= 0)
+), numbered AS (
+  SELECT *, row_number() OVER w AS n, lag(relevance) OVER w - relevance AS gap, CASE WHEN brand_score > 0 AND exact = 1 THEN 1 ELSE 0 END AS brand_exact, CASE WHEN exact = 1 AND route >= 0.5 THEN 1 ELSE 0 END AS form_exact
+  FROM kept WINDOW w AS (PARTITION BY q ORDER BY relevance DESC, retrieval)
+), grouped AS (SELECT *, sum(CASE WHEN gap > 0.01 THEN 1 ELSE 0 END) OVER (PARTITION BY q ORDER BY n) AS grp FROM numbered)
+SELECT -q - 1 AS query_id, d AS concept_id, CAST(row_number() OVER (PARTITION BY q ORDER BY grp, brand_exact DESC, form_exact DESC, brand_score DESC, exact DESC, strength_sim DESC, route DESC, release_score DESC, relevance DESC, n) AS INTEGER) AS rank,
+  round(relevance, 5) AS final_score, round(strength_sim, 9) AS strength_sim, round(jaccard_text, 6) AS jaccard_text, brand_score, route AS form_route_score
+FROM grouped
+""")
 def mapped_terms(spark, sf_dir):
-    """Part names as source terms against the concepts: encoding, search, late interaction, features, near-tie order. Encoders are beyond SQL."""
-    encode = HashedNgrams(64)
-    c = profiles.compose_profiles(concepts_of(spark, sf_dir), None, ["Drug"])
-    index = encoded(c, "profile_text", encode)
-    sheet = derived(spark, sf_dir, "supplier", {"sourceName": "concat('red widget ', CAST(s_suppkey % 50 * 10 AS STRING), 'mg tablet')", "sourceCode": "CAST(s_suppkey AS STRING)", "conceptId": "s_suppkey"})
-    o = mapping.Options(candidate_topk=10, retrieval_topk=20)
-    got = mapping.map_terms(spark, sheet, index, "vector", o, encode, mapping.WordVectors(64))
-    return got.candidates.select("query_id", "concept_id", "rank", F.round("final_score", 5).alias("final_score"), "strength_sim", F.round("jaccard_text", 6).alias("jaccard_text"))
+    """Source terms against concepts: encoding, search, late interaction, features, brands that have to agree, near-tie order."""
+    c = derived(spark, sf_dir, "part", TERM).selectExpr("concept_id", "lower(term) AS concept_name", "lower(term) AS profile_text")
+    sheet = derived(spark, sf_dir, "supplier", ASKED).selectExpr("term AS sourceName", "concept_id AS key").orderBy("key").coalesce(1)
+    o = mapping.Options(candidate_topk=10, retrieval_topk=20, brand_strict=True, code_column=None)
+    got = mapping.map_terms(spark, sheet, encoded(c, "profile_text", Letters()), "vector", o, Letters(), LetterTokens())
+    return got.candidates.select("query_id", "concept_id", "rank", F.round("final_score", 5).alias("final_score"), F.round("strength_sim", 9).alias("strength_sim"), F.round("jaccard_text", 6).alias("jaccard_text"), "brand_score", "form_route_score")
