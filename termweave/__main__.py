@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -11,12 +12,15 @@ from . import __version__
 
 
 def parser() -> argparse.ArgumentParser:
+    """The names and defaults of the flags are fixed values."""
     p = argparse.ArgumentParser(prog="termweave")
     p.add_argument("--version", action="version", version=__version__)
     top = p.add_subparsers(dest="group", required=True)
     index = top.add_parser("index").add_subparsers(dest="action", required=True)
     b = index.add_parser("build", help="build a vector index from concept tables")
-    b.add_argument("--source", required=True, help="folder with concept.parquet and, if there are any, concept_profiles, concept_synonym")
+    given = b.add_mutually_exclusive_group(required=True)
+    given.add_argument("--source", help="folder with concept.parquet and, if there are any, concept_profiles, concept_synonym")
+    given.add_argument("--duckdb", help="DuckDB file with those tables")
     b.add_argument("--out-db", required=True)
     b.add_argument("--table", required=True)
     b.add_argument("--profiles-table", default="concept_profiles")
@@ -53,12 +57,14 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--exclude-concept-class-id", action="append", default=[])
         x.add_argument("--strip-non-latin", action="store_true")
         x.add_argument("--strip-chars", default="")
-        x.add_argument("--inn2usan", action=argparse.BooleanOptionalAction, default=True)
+        x.add_argument("--inn2usan", "--convert-inn-to-usan", action=argparse.BooleanOptionalAction, default=True)
         x.add_argument("--inn2usan-extra", action="store_true")
         x.add_argument("--encoder-model-id")
         x.add_argument("--encoder-pooling", choices=("cls", "mean"))
         x.add_argument("--encoder-max-length", type=int)
         x.add_argument("--encoder-trust-remote-code", action=argparse.BooleanOptionalAction, default=None)
+        x.add_argument("--device", default="cpu", help="cpu, cuda, mps, or auto")
+        x.add_argument("--reranker-id", help="a model whose token vectors rerank candidates; without one, hashed words do")
         x.add_argument("--no-rerank", action="store_true", help="keep the order of the vector search")
         x.add_argument("--cosine-relevance", action="store_true", help="without reranking, take the cosine as relevance")
         x.add_argument("--batch-size", type=int, default=64)
@@ -67,6 +73,7 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--pooling", choices=("cls", "mean"), default="cls")
         x.add_argument("--max-length", type=int, default=128)
         x.add_argument("--trust-remote-code", action="store_true")
+        x.add_argument("--device", default="cpu", help="cpu, cuda, mps, or auto")
     k.add_argument("--n-limit", type=int, default=0)
     k.add_argument("--topk", type=int, default=20)
     k.add_argument("--source-name-column", default="sourceName")
@@ -78,8 +85,8 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--atc-scope", action=argparse.BooleanOptionalAction, default=True, help="move candidates below a row's atc_ids or atc_codes up (needs --vocab)")
     k.add_argument("--allowlist-max-ids", type=int, default=1000)
     k.add_argument("--rag-provider")
-    k.add_argument("--rag-model")
-    k.add_argument("--rag-base-url")
+    k.add_argument("--rag-model", "--ollama-model", dest="rag_model")
+    k.add_argument("--rag-base-url", "--cloudflare-base-url", "--openrouter-base-url", "--ollama-base-url", "--llamacpp-base-url", dest="rag_base_url", help="of the provider that is used")
     k.add_argument("--rag-candidate-limit", type=int, default=50)
     k.add_argument("--rag-extra-context-column")
     k.add_argument("--rag-stop-sequence", action="append", default=[])
@@ -106,10 +113,11 @@ def parser() -> argparse.ArgumentParser:
 def prompt_builder(a: argparse.Namespace):
     from functools import partial
 
-    from .functions.prompts import FORMAT, file_prompt, prompt
+    from .functions.prompts import FORMAT, prompt, template_prompt
 
     if a.rag_template:
-        return partial(file_prompt, a.rag_template, field=a.rag_template_field, limit=a.rag_profile_char_limit, instructions=FORMAT)
+        # executors need not see the file
+        return partial(template_prompt, Path(a.rag_template).read_text(encoding="utf-8"), field=a.rag_template_field, limit=a.rag_profile_char_limit, instructions=FORMAT)
     scores = ("retrieval_score",) * a.rag_include_retrieval_score + ("final_score",) * a.rag_include_final_score
     return partial(prompt, scores=scores)
 
@@ -147,19 +155,20 @@ def main(argv: list[str] | None = None) -> int:
     from .operators.profiles import values
     from .plans.build import build_index
     from .plans.mapping import Options, WordVectors, look_up, run_bulk
-    from .sources.encoders import encoder
-    from .sources.files import encoder_settings, read_index, read_manifest, table_or_none
+    from .sources.encoders import LateInteraction, encoder
+    from .sources.files import duckdb_tables, encoder_settings, read_index, read_manifest, table_or_none
 
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("termweave").getOrCreate()
     if a.group == "index":
-        done = build_index(spark, a.source, a.out_db, a.table, profiles_table=a.profiles_table, concepts_table=a.concepts_table, domains=a.domain_id, classes=a.concept_class_id, without_classes=a.exclude_concept_class_id, extra=a.extra_column, max_synonyms=a.max_synonyms, with_code=a.include_codes_in_text, model_id=a.model_id, pooling=a.pooling, max_length=a.max_length, trust_remote_code=a.trust_remote_code, batch_size=a.batch_size)
+        source = a.source or duckdb_tables(spark, a.duckdb, [a.concepts_table, a.profiles_table, "concept_synonym"])
+        done = build_index(spark, source, a.out_db, a.table, profiles_table=a.profiles_table, concepts_table=a.concepts_table, domains=a.domain_id, classes=a.concept_class_id, without_classes=a.exclude_concept_class_id, extra=a.extra_column, max_synonyms=a.max_synonyms, with_code=a.include_codes_in_text, model_id=a.model_id, pooling=a.pooling, max_length=a.max_length, trust_remote_code=a.trust_remote_code, batch_size=a.batch_size, device=a.device)
         print(done)
         return 0
     o = Options(candidate_topk=a.candidate_topk, retrieval_topk=a.retrieval_topk, where=a.where, ascii_only=a.strip_non_latin, drop_chars=a.strip_chars, usan=a.inn2usan, optional_usan=a.inn2usan_extra, without_classes=tuple(values(a.exclude_concept_class_id)), post_mode=a.post_mode, post_weight=a.post_weight, w_strength=a.post_strength_weight, w_text=a.post_jaccard_weight, w_brand=a.post_brand_penalty, minmax=a.post_minmax, tiebreak_eps=a.tiebreak_eps, tiebreak_topn=a.tiebreak_topn, brand_strict=a.brand_strict)
-    encode = encoder(**encoder_settings(read_manifest(spark, a.db, a.table), a.encoder_model_id, a.encoder_pooling, a.encoder_max_length, a.encoder_trust_remote_code))
+    encode = encoder(**encoder_settings(read_manifest(spark, a.db, a.table), a.encoder_model_id, a.encoder_pooling, a.encoder_max_length, a.encoder_trust_remote_code), device=a.device)
     o.cosine_relevance = a.cosine_relevance
-    rerank = None if a.no_rerank else WordVectors()
+    rerank = None if a.no_rerank else LateInteraction(a.reranker_id, device=a.device) if a.reranker_id else WordVectors()
     if a.action == "bulk":
         o.first_rows, o.name_column, o.code_column, o.label_column, o.status_column, o.approved = a.n_limit, a.source_name_column, a.source_code_column, a.label_column, a.status_column, a.approved_value
         o.scope_most, o.model_limit, o.model_context = a.allowlist_max_ids, a.rag_candidate_limit, a.rag_extra_context_column

@@ -51,8 +51,13 @@ def prompt(query: str, candidates: Sequence[Mapping], template: str = TEMPLATE,
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
-def file_prompt(path: str, query: str, candidates: Sequence[Mapping], context: str | None = None, field: str = "profile_text", limit: int = 512, instructions: str = "") -> str:
-    """A prompt from a template file; a candidate shows `field`, cut at limit characters."""
+def file_prompt(path: str, *args, **options) -> str:
+    """As template_prompt, from a template file."""
+    return template_prompt(Path(path).read_text(encoding="utf-8"), *args, **options)
+
+
+def template_prompt(template: str, query: str, candidates: Sequence[Mapping], context: str | None = None, field: str = "profile_text", limit: int = 512, instructions: str = "") -> str:
+    """A prompt from a template; a candidate shows `field`, cut at limit characters."""
     if not candidates:
         raise ValueError("a prompt needs a candidate")
 
@@ -61,7 +66,7 @@ def file_prompt(path: str, query: str, candidates: Sequence[Mapping], context: s
         text = text[:limit].rstrip() + " …" if limit and len(text) > limit else text
         return f"{text or 'Concept ' + str(c['concept_id'])} ({c['concept_id']})"
 
-    out = Path(path).read_text(encoding="utf-8")
+    out = template
     for slot, value in (("{source}", query), ("{candidates}", "\n".join(map(line, candidates))), ("{format_instructions}", instructions), ("{extra_context}", context or "")):
         out = out.replace(slot, value.strip())
     return out

@@ -27,13 +27,13 @@ def profiles_of(spark: SparkSession, folder: str, profiles_table: str = "concept
     return compose_profiles(concepts, table_or_none(spark, folder, "concept_synonym"), domains, classes, without_classes, max_synonyms, with_code)
 
 
-def build_index(spark: SparkSession, folder: str, out: str, table: str, encode: Callable | None = None, profiles_table: str = "concept_profiles", concepts_table: str = "concept", domains=(), classes=(), without_classes=(), extra=(), max_synonyms: int = 3, with_code: bool = False, model_id: str | None = None, pooling: str = "cls", max_length: int = 128, trust_remote_code: bool = False, batch_size: int = 256) -> dict:
+def build_index(spark: SparkSession, folder: str, out: str, table: str, encode: Callable | None = None, profiles_table: str = "concept_profiles", concepts_table: str = "concept", domains=(), classes=(), without_classes=(), extra=(), max_synonyms: int = 3, with_code: bool = False, model_id: str | None = None, pooling: str = "cls", max_length: int = 128, trust_remote_code: bool = False, batch_size: int = 256, device: str | None = "cpu") -> dict:
     domains, classes, without_classes, extra = (values(v) for v in (domains, classes, without_classes, extra))
     df = profiles_of(spark, folder, profiles_table, concepts_table, domains, classes, without_classes, extra, max_synonyms, with_code)
     df = df.withColumn("profile_text", normalized(F.col("profile_text")))
     if df.isEmpty():
         raise ValueError("no concept passes the filters; nothing to index")
-    encode = encode or encoder(model_id, pooling, max_length, trust_remote_code)
+    encode = encode or encoder(model_id, pooling, max_length, trust_remote_code, device)
     manifest = {
         "source": folder, "profiles_table": profiles_table, "concepts_table": concepts_table, "domain_id": domains, "concept_class_id": classes,
         "exclude_concept_class_id": without_classes, "extra_columns": extra, "max_synonyms": max_synonyms, "include_codes_in_text": with_code,

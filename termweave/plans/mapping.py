@@ -19,7 +19,7 @@ from ..sources.encoders import HashedNgrams, encoded, encoder
 from ..sources.files import encoder_settings, numbered, read_index, read_manifest, read_sheet
 
 #: Candidate columns that go on to ranking.
-KEPT = ("concept_id", "concept_name", "domain_id", "concept_class_id", "vocabulary_id", "profile_text", "_relevance_score")
+KEPT = ("concept_id", "concept_name", "domain_id", "concept_class_id", "vocabulary_id", "profile_text", "profile_text_norm", "_relevance_score")
 
 
 @dataclass
@@ -79,15 +79,24 @@ def queries_of(sheet: DataFrame, o: Options) -> DataFrame:
     return df.withColumns({"query_text": text, "query_norm": prepared_query(text, o.ascii_only, o.drop_chars, o.usan, o.optional_usan), "source_name": has(o.name_column).cast("string"), "source_code": code, "gold_concept_id": gold})
 
 
+def candidate_column(columns: list[str]) -> str:
+    """The column by which a reranker reads candidates."""
+    found = next((c for c in ("profile_text", "profile_text_norm") if c in columns), None)
+    if found is None:
+        raise ValueError("a reranker needs profile_text or profile_text_norm")
+    return found
+
+
 def relevance(pairs: DataFrame, encode_tokens: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
-    """pairs (query_norm, profile_text) with _relevance_score float: late interaction of their tokens."""
+    """pairs (query_norm, profile_text or profile_text_norm) with _relevance_score float: late interaction of their tokens."""
+    text = candidate_column(pairs.columns)
 
     @F.pandas_udf("float")
     def run(q: pd.Series, d: pd.Series) -> pd.Series:
-        known = dict(zip(texts := list(dict.fromkeys([*q, *d])), encode_tokens(texts), strict=True))
-        return pd.Series([search.max_similarity(known[a], known[b]) for a, b in zip(q, d, strict=True)], dtype="float32")
+        known = dict(zip(texts := list(dict.fromkeys(x or "" for x in (*q, *d))), encode_tokens(texts), strict=True))
+        return pd.Series([search.max_similarity(known[a or ""], known[b or ""]) for a, b in zip(q, d, strict=True)], dtype="float32")
 
-    return pairs.withColumn("_relevance_score", run("query_norm", "profile_text"))
+    return pairs.withColumn("_relevance_score", run("query_norm", text))
 
 
 def retrieve(queries: DataFrame, index: DataFrame, vector_col: str, o: Options, rerank: Callable | None, notes: list[str]) -> DataFrame:

@@ -1,16 +1,20 @@
-"""Results in the layouts that reviewers read: candidates beside the input, blocks side by side, review sheets, logs."""
+"""Results in the layouts that reviewers read: candidates beside the input, blocks side by side, review sheets, logs.
+
+Files are written through the file system that their path names, a row at a time.
+"""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import usagi
+from .files import TextFile, written
 
 
 def beside_input(rows: DataFrame, candidates: DataFrame, topk: int, query_id: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -46,31 +50,55 @@ def block_cells(rows: DataFrame, candidates: DataFrame, topk: int, query_id: str
     flag = F.when(F.col("concept_id") == F.col("_gold"), "X").otherwise("")
     order = q.select("_q", "source_code").join(cells.select("_q", "gold_rank").distinct(), "_q")
     keys = [F.col("_q")] if keep_order else [F.col("gold_rank").asc_nulls_last(), F.col("source_code"), F.col("_q")]
-    # one row a query: as many as the sheet has rows
-    order = order.withColumn("block", F.row_number().over(Window.orderBy(*keys)).cast("long")).select("_q", "block")
-    return cells.join(order, "_q").select("block", "rank", "gold_rank", "source_name", "source_code", F.coalesce(flag, F.lit("")).alias("flag"), F.coalesce("concept_name", F.lit("")).alias("concept_name"), "concept_id")
+    return cells.join(_placed(order, keys), "_q").select("block", "rank", "gold_rank", "source_name", "source_code", F.coalesce(flag, F.lit("")).alias("flag"), F.coalesce("concept_name", F.lit("")).alias("concept_name"), "concept_id")
+
+
+def _placed(rows: DataFrame, keys: Sequence) -> DataFrame:
+    """(_q, block): the place of each row, from 1. Rows are dealt by range and sorted; each range starts where those before it end."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("_q", F.monotonically_increasing_id().alias("_row"))
+    dealt = written(dealt, "places")
+    part = F.shiftright("_row", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a range
+    return dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").select("_q", (F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("block"))
 
 
 def write_blocks(cells: DataFrame, path: str) -> None:
-    """The blocks side by side, three columns each, under [place of the answer or `unmatched`, name, code]. A sheet for people: the driver writes it."""
-    lines: dict[int, list[str]] = {}
-    heads = ["rank"]
-    last = None
-    for r in cells.orderBy("block", "rank").toLocalIterator():
-        if r["block"] != last:
-            heads += [str(r["gold_rank"]) if r["gold_rank"] is not None else "unmatched", r["source_name"], r["source_code"]]
-            last = r["block"]
-        lines.setdefault(r["rank"], [str(r["rank"])]).extend([r["flag"], r["concept_name"], "" if r["concept_id"] is None else str(r["concept_id"])])
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        if lines:
-            csv.writer(f, lineterminator="\n").writerows([heads, *(lines[k] for k in sorted(lines))])
-        else:
+    """The blocks side by side, three columns each, under [place of the answer or `unmatched`, name, code]. A sheet for people.
+
+    A line of the sheet is one place of all blocks: lines are streamed one after the other, so that the driver holds some
+    cells. cells should be written: they are read once for each line.
+    """
+    heads = cells.filter("rank = 1").orderBy("block")
+    longest = cells.agg(F.max("rank")).first()[0] or 0
+    with TextFile(cells.sparkSession, path) as f:
+        if not longest:
             f.write("\n")
+            return
+        line(f, ["rank"], ((str(r["gold_rank"]) if r["gold_rank"] is not None else "unmatched", r["source_name"], r["source_code"]) for r in heads.toLocalIterator()))
+        for k in range(1, longest + 1):
+            own = cells.filter(F.col("rank") == k).orderBy("block")
+            line(f, [str(k)], ((r["flag"], r["concept_name"], "" if r["concept_id"] is None else str(r["concept_id"])) for r in own.toLocalIterator()))
+
+
+def line(f: TextFile, first: list[str], rest) -> None:
+    """One line of a sheet, some cells at once."""
+    cell = io.StringIO()
+    out = csv.writer(cell, lineterminator="")
+    out.writerow(first)
+    f.write(cell.getvalue())
+    for some in rest:
+        cell.seek(0)
+        cell.truncate()
+        out.writerow(some)
+        f.write("," + cell.getvalue())
+    f.write("\n")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, in the order of df, row by row through the driver."""
-    with open(path, "w", encoding="utf-8", newline="") as f:
+    with TextFile(df.sparkSession, path) as f:
         out = csv.writer(f, lineterminator="\n")
         out.writerow(df.columns)
         for r in df.toLocalIterator(prefetchPartitions=True):
@@ -79,14 +107,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_metrics(metrics: DataFrame, path: str) -> dict:
     got = {k: v for k, v in metrics.first().asDict().items() if v is not None}
-    with open(path, "w", encoding="utf-8") as f:
+    with TextFile(metrics.sparkSession, path) as f:
         json.dump(got, f, indent=2, sort_keys=True)
     return got
 
 
 def append_prompts(answers: DataFrame, path: str, query_id: str = "query_id") -> None:
     """An audit log of prompts and answers; grows with each run."""
-    with open(path, "a", encoding="utf-8") as f:
+    with TextFile(answers.sparkSession, path, append=True) as f:
         for r in answers.filter("response IS NOT NULL").orderBy(query_id).toLocalIterator():
             f.write(f"## Row {r[query_id]}\n\n### Prompt\n\n{r['prompt']}\n\n### Response\n\n{r['response']}\n\n")
 
@@ -98,10 +126,9 @@ def write_errors(errors: DataFrame, path: str) -> None:
 
 def write_all(folder: str, rows: DataFrame, candidates: DataFrame, review: DataFrame | None = None, metrics: DataFrame | None = None, answers: DataFrame | None = None, errors: DataFrame | None = None, topk: int = 20, query_id: str = "query_id", input_columns: Sequence[str] = (), keep_order: bool = False) -> dict[str, str]:
     """All layouts in a folder: results.csv, results_with_input.csv, results_usagi.csv, metrics.json, logs."""
-    os.makedirs(folder, exist_ok=True)
-    at = lambda name: os.path.join(folder, name)
+    at = lambda name: f"{folder.rstrip('/')}/{name}"
     out = {"results": at("results.csv"), "with_input": at("results_with_input.csv")}
-    write_blocks(block_cells(rows, candidates, topk, query_id, keep_order=keep_order), out["results"])
+    write_blocks(written(block_cells(rows, candidates, topk, query_id, keep_order=keep_order), "cells"), out["results"])
     wide = beside_input(rows.select(query_id, *input_columns), candidates, topk, query_id)
     write_csv(wide.orderBy(query_id).drop(query_id), out["with_input"])
     if review is not None:

@@ -1,12 +1,15 @@
 import csv
 import json
+import sys
 
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from termweave.plans.build import build_index
-from termweave.plans.mapping import Options, look_up, map_terms, run_bulk
+from termweave.plans.mapping import Options, candidate_column, look_up, map_terms, relevance, run_bulk
 from termweave.sources import clients, files, usagi
-from termweave.sources.encoders import HashedNgrams
+from termweave.sources.encoders import HashedNgrams, LateInteraction, Transformer, pooled, resolved_device, resolved_model
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +55,94 @@ def test_bulk(spark, index, tmp_path):
     assert json.load(open(got["metrics"]))["hit@1"] == 1.0
 
 
+class Stub:
+    """In place of a model: two-dimensional vectors of words, padded."""
+
+    def hidden(self, texts):
+        n = max((len(t.split()) for t in texts), default=0)
+        out, mask = np.zeros((len(texts), n, 2), np.float32), np.zeros((len(texts), n), bool)
+        for i, t in enumerate(texts):
+            for j, w in enumerate(t.split()):
+                out[i, j], mask[i, j] = (len(w), w.count("a")), True
+        return out, mask
+
+
+class StubEncoder(Stub, Transformer):
+    pass
+
+
+class StubReranker(Stub, LateInteraction):
+    pass
+
+
+def test_pooling_with_a_stub():
+    hidden, mask = Stub().hidden(["aa b", "ccc"])
+    assert pooled(hidden, mask, "cls").tolist() == [[2, 2], [3, 0]]
+    assert pooled(hidden, mask, "mean").tolist() == [[1.5, 1.0], [3, 0]]
+    with pytest.raises(ValueError):
+        pooled(hidden, mask, "max")
+    for how in ("cls", "mean"):
+        enc = StubEncoder("stub", pooling=how)
+        assert enc([]).shape == (0, 2)
+        assert np.allclose(np.linalg.norm(enc(["aa b", "ccc"]), axis=1), 1.0) and enc(["aa b"]).dtype == np.float32
+    # a text has its own tokens only, whatever it was padded with
+    assert [len(v) for v in StubReranker("stub")(["aa b", "ccc", ""])] == [2, 1, 0]
+
+
+def test_reranking_with_a_stub(spark):
+    # workers do not import this module
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    pairs = spark.createDataFrame([("aa b", "aa b"), ("aa b", "ccc"), ("aa", None)], "query_norm string, profile_text_norm string")
+    got = [r["_relevance_score"] for r in relevance(pairs, StubReranker("stub")).collect()]
+    assert got[0] == pytest.approx(1.0) and got[1] < 1.0 and got[2] == pytest.approx(-0.5)
+    with pytest.raises(ValueError):
+        candidate_column(["concept_name"])
+    assert candidate_column(["profile_text_norm", "profile_text"]) == "profile_text"
+
+
+def test_devices_and_models(tmp_path):
+    assert resolved_device("mps") == "mps" and resolved_device("auto") in ("cpu", "cuda", "mps")
+    assert resolved_model(str(tmp_path)) == str(tmp_path) and resolved_model("some/model") == "some/model"
+
+
+def test_text_files(spark, tmp_path):
+    path = f"file://{tmp_path}/a/b.txt"
+    for k, append in (("x", False), ("é\n", True), ("z" * 3_000_000, True), ("y", False)):
+        with files.TextFile(spark, path, append) as f:
+            f.write(k)
+        if k == "z" * 3_000_000:
+            assert files.file_text(spark, path) == "xé\n" + k
+    assert files.file_text(spark, path) == "y"
+
+
+def test_duckdb_files(spark, tmp_path):
+    import duckdb
+
+    path = str(tmp_path / "v.duckdb")
+    with duckdb.connect(path) as con:
+        con.execute("CREATE TABLE concept AS SELECT i AS concept_id, 'drug ' || i AS concept_name, 'C' AS concept_code, 'Drug' AS domain_id, 'x' AS concept_class_id, 'V' AS vocabulary_id, 'S' AS standard_concept, CAST(NULL AS VARCHAR) AS invalid_reason FROM range(5) t(i)")
+    folder = files.duckdb_tables(spark, path, ["concept", "absent"])
+    assert files.table_or_none(spark, folder, "absent") is None and files.table_or_none(spark, folder, "concept").count() == 5
+    out = str(tmp_path / "index")
+    build_index(spark, folder, out, "drugs", domains="Drug")
+    assert files.read_manifest(spark, out, "drugs")["count"] == 5
+    with pytest.raises(FileNotFoundError):
+        files.duckdb_tables(spark, str(tmp_path / "none.duckdb"), ["concept"])
+
+
+def test_long_texts_are_encoded_whole():
+    a, b = HashedNgrams()(["x " * 600 + "one", "x " * 600 + "other"])
+    assert not np.allclose(a, b)
+
+
+def test_importable_names():
+    import importlib
+
+    for name in ("functions", "operators", "sources", "plans"):
+        m = importlib.import_module(f"termweave.{name}")
+        assert all(hasattr(m, n) for n in m.__all__)
+
+
 def test_review_sheets(spark):
     df = spark.createDataFrame([("", "a", "x", "U"), ("c", "b", "1.5", "U")], "sourceCode string, sourceName string, matchScore string, mappingStatus string")
     assert usagi.is_review_sheet(df.columns) and usagi.invalid_rows(df).count() == 1
@@ -93,6 +184,9 @@ def test_command_line():
 
     a = parser().parse_args(["infer", "bulk", "--db", "d", "--table", "t", "--input", "i", "--out", "o"])
     assert (a.candidate_topk, a.retrieval_topk, a.post_mode, a.tiebreak_topn) == (100, 400, "tiebreak", 50)
+    more = ["--device", "auto", "--reranker-id", "m", "--convert-inn-to-usan", "--ollama-model", "o", "--ollama-base-url", "http://o"]
+    a = parser().parse_args(["infer", "bulk", "--db", "d", "--table", "t", "--input", "i", "--out", "o", *more])
+    assert (a.device, a.reranker_id, a.inn2usan, a.rag_model, a.rag_base_url) == ("auto", "m", True, "o", "http://o")
 
 
 def test_clients_from_flags(tmp_path):
