@@ -49,7 +49,9 @@ def _packed(df: DataFrame, id_col: str, vector_col: str, rows: int, block: str)
 
     def out(ids: np.ndarray, v: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(ids), rows):
-            yield pa.RecordBatch.from_arrays([pa.array([n + i // rows]), pa.array([v.shape[1]]), pa.array([ids[i : i + rows].tobytes()]), pa.array([v[i : i + rows].tobytes()])], names=[block, "dim", "ids", "v"])
+            # by id, so that ties are settled once for all that meet the block
+            by = i + np.argsort(ids[i : i + rows], kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array([n + i // rows]), pa.array([v.shape[1]]), pa.array([ids[by].tobytes()]), pa.array([v[by].tobytes()])], names=[block, "dim", "ids", "v"])
 
     return kept.mapInArrow(pack, f"{block} long, dim long, ids binary, v binary")
 
@@ -72,18 +74,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     pairs = x.join(q, (F.col("dim") == F.col("q_dim")) & (F.col("salt") == F.col("q_salt")))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, x = None, None, None
         for b in batches:
             for i in range(b.num_rows):
-                r = {c: b.column(c)[i].as_py() for c in ("dim", "ids", "v", "q_ids", "q")}
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                order = np.argsort(ids, kind="stable")
-                near = _units(r["q"], r["dim"]) @ _units(r["v"], r["dim"])[order].T
+                r = {c: b.column(c)[i].as_py() for c in ("x_block", "dim", "q_ids", "q")}
+                if held != r["x_block"]:
+                    held, ids, x = r["x_block"], np.frombuffer(b.column("ids")[i].as_py(), np.int64), _units(b.column("v")[i].as_py(), r["dim"])
                 # rounding so that equal vectors tie whatever the block's shape
-                near = np.round(near, 12)
+                near = np.round(_units(r["q"], r["dim"]) @ x.T, 12)
                 top = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, top.shape[1])), pa.array(ids[order][top.ravel()]), pa.array(1.0 - np.take_along_axis(near, top, axis=1).ravel())], names=["query_id", "id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(r["q_ids"], np.int64), top.shape[1])), pa.array(ids[top.ravel()]), pa.array(1.0 - np.take_along_axis(near, top, axis=1).ravel())], names=["query_id", "id", "distance"])
 
-    found = pairs.select("dim", "ids", "v", "q_ids", "q").mapInArrow(probe, "query_id long, id long, distance double")
+    found = pairs.select("x_block", "dim", "ids", "v", "q_ids", "q").mapInArrow(probe, "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     ranked = found.withColumn("retrieval_rank", F.row_number().over(w)).filter(F.col("retrieval_rank") <= k)
     return ranked.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "distance", "retrieval_rank")
