@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import filter_bits, join_groups, key_bitmap, shielded, with_hit, written
+from .common import filter_bits, join_groups, key_bitmap, shielded, table, with_hit, written
 
 PREFIX_CHARS = 256
 
@@ -98,7 +98,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(normalised("text"), 256))
     return exact_groups(docs, carry=("text_sha256",))
 

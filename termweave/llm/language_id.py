@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, id_hash, tidy
+from .common import bounded_batches, free_name, id_hash, table, tidy
 
 DOCS_PER_LANG = 1500
 #: Entries in all, of which each language and kind gets an equal share, and numbers in all (entries times languages).
@@ -225,7 +225,7 @@ def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.pmod(id_hash("doc_id"), F.lit(4)) == 2
     model = fit(docs.filter(~held), key=F.xxhash64("doc_id"))
     return predict(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "lang_pred", "score")

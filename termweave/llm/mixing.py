@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, shielded, written
+from .common import WORD, free_name, shielded, table, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -161,7 +161,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = written(keyed(docs).select("doc_id", "source", "__size", "__key", "__tie", "__bucket"), "mix-keys")
     goals = written(plan(rows), "mix-plan")
     out = decided(rows, goals)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy, written
+from .common import bounded_batches, table, tidy, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -353,6 +353,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return assign(written(cut, "piece-lengths"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_hash, tidy
+from .common import bounded_batches, id_hash, table, tidy
 
 PASSAGE_WORDS = 50
 MAX_DOCS = 4000
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
 
 def op9_quality_mil(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     held = F.pmod(id_hash("doc_id"), F.lit(5)) == 0
     model = fit(docs, labels, keep=~held)

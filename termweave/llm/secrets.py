@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_groups, written
+from .common import bounded_batches, join_groups, table, written
 
 KINDS = ("assign", "access", "hex", "live")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     s = F.col("secrets")
     word = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     base = F.filter(s, lambda x: x["kind"] != "live")

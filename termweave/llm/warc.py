@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_bits, key_bitmap, scratch_path, split_hot, tidy, with_hit, written
+from .common import filter_bits, key_bitmap, scratch_path, split_hot, table, tidy, with_hit, written
 
 MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -311,7 +311,7 @@ def _drop(names: DataFrame, folder: str) -> None:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = scratch_path(spark, "warc")
     index = archive(pages, folder)
     return read_records(index, folder).select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))

@@ -304,3 +304,14 @@ def test_hub(spark, monkeypatch):
 def test_long_chain(spark):
     df = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components.components(df).collect()} == {0}
+
+
+def test_spread(spark, tmp_path):
+    """One row group is dealt over all cores; many files stay as they are."""
+    from termweave.llm.common import spread
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(1000).repartition(40).write.parquet(f"{tmp_path}/many")
+    busy = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    one, many = (spread(spark.read.parquet(f"{tmp_path}/{n}")) for n in ("one", "many"))
+    assert busy(one) == 8 and one.count() == 1000 and "Exchange" not in many._jdf.queryExecution().toString()
