@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termweave.llm import exact_dedup, language_id, mixing, packing, simhash
-from termweave.llm.common import written
+from termweave.llm.common import spread, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language stays open, go."""
-    return language_id.drop_unidentified(docs)
+    return language_id.drop_unidentified(spread(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
