@@ -5,8 +5,8 @@ paths that mappings name; the mapping with the same fingerprint says where turns
 such a layout too. Fingerprints are computed for each row, so that one table may mix layouts.
 
 A row with another fingerprint (a null among its texts, columns of two layouts) goes to the first mapping of which it
-fills all paths, else to the one of which it fills most, the first among equals; what is null is an empty text. A table with the columns of
-turn rows has a turn in each row that no other mapping takes. A row that no mapping takes, or whose array is empty, is
+fills all paths, else to the one of which it fills most, the smallest and then the first of these; what is null is an empty
+text. A table with the columns of turn rows has a turn in each row that no other mapping takes. A row that no mapping takes, or whose array is empty, is
 not dropped: it comes out without layout, turn, role and text (`layouts` counts them), and the template leaves it out. Extra
 columns, whatever their names, change nothing. All of this is column expressions.
 
@@ -120,7 +120,7 @@ def layout(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     count = lambda m: sum((_filled(p).cast("int") for p in m.paths), F.lit(0))
     whole = F.coalesce(F.lit(None).cast("string"), *[F.when(count(m) == len(m.paths), F.lit(m.name)) for m in usable])
     # of an array without a filled path, or of a row of a table of turns, there is nothing to count
-    most = F.array_max(F.array(*[F.struct(count(m).alias("n"), F.lit(-i).alias("i"), F.lit(m.name).alias("name")) for i, m in enumerate(usable)]))
+    most = F.array_max(F.array(*[F.struct(count(m).alias("n"), F.lit(-len(m.paths)).alias("size"), F.lit(-i).alias("i"), F.lit(m.name).alias("name")) for i, m in enumerate(usable)]))
     rows = next((F.lit(m.name) for m in usable if m.row), F.lit(None).cast("string"))
     return F.coalesce(exact, whole, F.when(most["n"] > 0, most["name"]), rows)
 

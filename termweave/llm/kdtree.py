@@ -176,7 +176,8 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: in
     """(query_id, rank int, id, score long): for the rows where query (over the column `id`) holds, the k best others."""
     bounded_batches(vectors.sparkSession)
     rows = written(integers(vectors, id_col, vector_col, scale), "vectors")
-    n, width, largest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))), F.lit(0))).first()
+    n, width, high, low = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.max(F.array_max("v")), F.lit(0)), F.coalesce(F.min(F.array_min("v")), F.lit(0))).first()
+    largest = max(high, -low)
     depth = max(0, min(int(math.log2(max_shards)), math.ceil(math.log2(max(1, n / block_rows)))))
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE_ROWS).toArrow() if depth else None
@@ -200,7 +201,7 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: in
     queries = pack(dealt.filter(query).withColumn("part", part(1, query_rows)), "query-blocks").withColumn("block", F.monotonically_increasing_id()).select("block", "shard", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
     queries = written(queries, "query-blocks")
     array = lambda b: np.frombuffer(b, np.int64).reshape(-1, width)
-    low = float("-inf")
+    least = float("-inf")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tree, ids = None, None, None
@@ -242,7 +243,7 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: in
         for b in batches:
             for i in range(b.num_rows):
                 n_own = len(b.column("q_ids")[i].as_py()) // 8
-                yield pa.RecordBatch.from_arrays([b.column("block").slice(i, 1), b.column("shard").slice(i, 1), pa.array([np.arange(n_own).tobytes()], pa.binary()), b.column("q_ids").slice(i, 1), b.column("q").slice(i, 1), pa.array([np.full(n_own, low).tobytes()], pa.binary())], names=["block", "shard", "rows", "q_ids", "q", "kth"])
+                yield pa.RecordBatch.from_arrays([b.column("block").slice(i, 1), b.column("shard").slice(i, 1), pa.array([np.arange(n_own).tobytes()], pa.binary()), b.column("q_ids").slice(i, 1), b.column("q").slice(i, 1), pa.array([np.full(n_own, least).tobytes()], pa.binary())], names=["block", "shard", "rows", "q_ids", "q", "kth"])
 
     ask_schema = "block long, shard long, rows binary, q_ids binary, q binary, kth binary"
     own = written(top(searched(written(queries.mapInArrow(first, ask_schema), "first-queries"))), "own-shard")
@@ -262,7 +263,7 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, query: Column, k: in
         for b in batches:
             for i in range(b.num_rows):
                 q, q_ids, home = array(b.column("q")[i].as_py()), np.frombuffer(b.column("q_ids")[i].as_py(), np.int64), b.column("shard")[i].as_py()
-                kth = np.full(len(q), low)
+                kth = np.full(len(q), least)
                 for t in b.column("kths")[i].as_py() or []:
                     kth[t["nth"]] = t["kth"]
                 may = bounds(_exact(q, largest), box_lo, box_hi) >= kth[:, None]

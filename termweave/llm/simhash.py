@@ -557,7 +557,8 @@ class Verifier:
             nodes = nodes.join(self.sets, "__node", "left_anti")
         new = self._made(nodes)
         self.sets = new if self.sets is None else self.sets.unionByName(new)
-        found = self._beside(self._beside(pairs, "a"), "b")
+        few = pairs.count() <= SIDE_PAIRS
+        found = self._beside(self._beside(pairs, "a", few), "b", few)
         similarity = self.similarity
 
         def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -571,10 +572,12 @@ class Verifier:
 
         return written(map_batches(found.select("a", "b", "a_set", "b_set"), alike, "a long, b long"), "similar-pairs")
 
-    def _beside(self, pairs: DataFrame, side: str) -> DataFrame:
-        """pairs with the set of one side. A row's set goes once to each block of its pairs."""
-        often = pairs.groupBy(side).agg(F.count("*").alias("__n")).filter(F.col("__n") > SIDE_PAIRS).withColumn("__k", F.ceil(F.col("__n") / SIDE_PAIRS).cast("int"))
+    def _beside(self, pairs: DataFrame, side: str, few: bool) -> DataFrame:
+        """pairs with the set of one side. A row's set goes once to each block of its pairs; few: there is but one block."""
         sets = self.sets.select(F.col("__node").alias(side), F.col("__set").alias(f"{side}_set"))
+        if few:
+            return pairs.join(sets, side)
+        often = pairs.groupBy(side).agg(F.count("*").alias("__n")).filter(F.col("__n") > SIDE_PAIRS).withColumn("__k", F.ceil(F.col("__n") / SIDE_PAIRS).cast("int"))
         often = written(often, "frequent-rows")
         total = often.agg(F.sum("__n")).first()[0]
         if not total:
