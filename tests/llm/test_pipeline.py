@@ -27,10 +27,10 @@ def test_stages(spark, sf):
         k = norm(r["text"])
         best[k] = min(best.get(k, r), r, key=lambda x: (-len(x["text"]), x["doc_id"]))
     assert sorted(r["doc_id"] for r in rows[2]) == sorted(r["doc_id"] for r in best.values())
-    # near: nothing goes that has no copy as similar, and nearly all copies go
+    # near: of each component of similar texts the smallest id stays
     stays = slow_similar({r["doc_id"]: r["text"] for r in rows[2]})
     kept = {r["doc_id"] for r in rows[3]}
-    assert stays <= kept and len(kept - stays) <= 0.1 * (len(rows[2]) - len(stays)) + 1
+    assert kept == stays
     # mix: each source near its target, nothing more than twice
     count = {}
     for r in rows[4]:
