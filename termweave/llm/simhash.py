@@ -51,7 +51,7 @@ SIMILARITY, SIMILAR_WORDS = 0.8, 5
 #: Within so many bits of their word fingerprints texts are proposed as similar.
 SIMILAR_RADIUS = 7
 #: Pairs that one text is verified in at once, in one task.
-SIDE_PAIRS = 4096
+SIDE_PAIRS = 256
 #: log2 of the counters by which shingles are put in order: 4 MB, whatever the input's size.
 COUNT_BITS, COUNT_CHUNK = 20, 1 << 14
 #: Rounds that compare the rows of a shingle with one of them, before all that are still apart are compared, and rows of
