@@ -250,12 +250,15 @@ def _best_change(donor: int, own: set[int], owner: np.ndarray, fill: np.ndarray,
     most = np.zeros(capacity + 1, np.int64)
     np.maximum.at(most, sizes, by_bin[owner])
     most[0] = by_bin.max()
+    # sizes that differ are few in a bin, however many pieces it has
     mine = np.array(sorted(own), np.int64)
-    d = sizes[mine]
-    single = {int(n): [int(i)] for n, i in zip(d, mine, strict=True)}
-    a, b = np.triu_indices(len(mine), 1)
+    mine = mine[np.argsort(sizes[mine], kind="stable")]
+    d, first, times = np.unique(sizes[mine], return_index=True, return_counts=True)
+    a, b = np.triu_indices(len(d))
+    a, b = a[(a < b) | (times[a] > 1)], b[(a < b) | (times[a] > 1)]
     sums, at = np.unique(d[a] + d[b], return_index=True)
-    ways = {int(n): [int(mine[a[k]]), int(mine[b[k]])] for n, k in zip(sums, at, strict=True)} | single
+    ways = {int(n): [int(mine[first[a[k]]]), int(mine[first[b[k]] + (a[k] == b[k])])] for n, k in zip(sums, at, strict=True)}
+    ways |= {int(n): [int(mine[i])] for n, i in zip(d, first, strict=True)}
     amounts = np.array(sorted(ways, reverse=True), np.int64)
     taken = np.arange(capacity + 1)
     best = (0, 0, 0)
