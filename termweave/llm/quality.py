@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     # in one order, so that reruns agree; a document that has several rows counts once
-    rows = src.mapInArrow(tidy(run), f"id {kind}, label int, x binary").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").select("label", "x").toArrow()
+    found = src.mapInArrow(tidy(run), f"id {kind}, label int, x binary").groupBy("id").agg(F.min(F.struct("x", "label")).alias("row"))
+    rows = found.orderBy(F.xxhash64("id"), "id").select("row.label", "row.x").toArrow()
     bags = [np.frombuffer(x.as_py(), np.float32).reshape(-1, WIDTH) for x in rows.column("x")]
     y = np.array(rows.column("label").to_pylist(), np.float64)
     have = {k: max(1, int((y == k).sum())) for k in n}
