@@ -97,7 +97,7 @@ def as_long(h: Column) -> Column:
 
 
 #: Rows and bytes that go to Python at once, where rows are whole texts; Spark's own default would hold ten times as many.
-TEXT_ROWS, TEXT_BYTES = 1000, 16 << 20
+TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = TEXT_ROWS, size: int = TEXT_BYTES) -> None:

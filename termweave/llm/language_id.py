@@ -34,7 +34,7 @@ DOCS_PER_LANG = 1500
 MAX_ENTRIES, MAX_CELLS = 240_000, 30_000_000
 MAX_N = 5
 #: Chunks in a generation of the cache, and bytes of text that are split at once.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 80_000
 RUN_BYTES = 2_000_000
 _LETTERS = regex.compile(r"\p{L}+")
 #: One word and ASCII marks after it, the common chunk.

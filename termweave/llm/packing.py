@@ -37,10 +37,10 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a generation of each cache: chunks, words, tails.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 100_000
 BLOCK_ROWS = 50_000
 #: Bytes of ids that a task of pack() holds to pack them together.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -159,7 +159,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, end
                 part = ids[at : at + width] if len(ids) > width else ids
                 rows.append((k, p, at // 4, len(part) // 4, part))
                 held += len(part)
-            if held > 8_000_000:
+            if held > 4_000_000:
                 yield made(batch.column("id"), rows)
                 rows, held = [], 0
         if rows:

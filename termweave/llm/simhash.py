@@ -49,7 +49,7 @@ SHINGLE_WORDS = 4
 #: Texts as similar as this (Jaccard of shingles of so many words) are near copies for the pipeline.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
 #: Within so many bits of their word fingerprints texts are proposed as similar.
-SIMILAR_RADIUS = 7
+SIMILAR_RADIUS = 5
 #: Pairs that one text is verified in at once, in one task.
 SIDE_PAIRS = 256
 #: log2 of the counters by which shingles are put in order: 4 MB, whatever the input's size.
@@ -107,7 +107,7 @@ def word_fingerprint(text: bytes | None) -> int:
     """SimHash of the distinct words.
 
     An edit of one word changes five shingles of five words, but one of these features, so that texts whose shingles are
-    0.8 alike mostly lie within 7 bits, where their shingle fingerprints would be some 10 apart.
+    0.8 alike mostly lie within 5 bits, where their shingle fingerprints would be some 10 apart.
     """
     some = list(set((text or b"").lower().split()))
     return simhash(np.array([xxhash.xxh64_intdigest(w, SEED) for w in some[at : at + HASH_BLOCK]], np.uint64) for at in range(0, len(some), HASH_BLOCK))
