@@ -104,7 +104,8 @@ def plan(rows: DataFrame, source_col: str = "source", **how) -> DataFrame:
     rest = rows.join(out.filter("__gap > 0").select("__source", "__edge", "__last", "__part", "__gap"), rows[source_col].eqNullSafe(F.col("__source"))).filter(~_inside())
     off = F.abs(F.col("__size") - F.col("__gap"))
     fill = rest.filter(off < F.col("__gap")).groupBy("__source").agg(F.min(F.struct(off.alias("off"), "__key", "__tie")).alias("__fill")).withColumnRenamed("__source", "__s3")
-    out = out.join(fill, out["__source"].eqNullSafe(fill["__s3"]), "left").select("__source", "source_size", "target", "__epochs", "__edge", "__last", "__part", "__fill")
+    # written, so that its size is known to the next join
+    out = written(out.join(fill, out["__source"].eqNullSafe(fill["__s3"]), "left").select("__source", "source_size", "target", "__epochs", "__edge", "__last", "__part", "__fill"), "mix-fills")
     # rows that the edge or the fill has in common: only some of them are taken
     same = rows.join(out.filter("__part is not null or __fill is not null").select("__source", "__part", "__fill"), rows[source_col].eqNullSafe(F.col("__source")))
     same = same.filter(_is("__part") | _is("__fill")).groupBy("__source").agg(F.count_if(_is("__fill")).alias("__fills")).withColumnRenamed("__source", "__s4")
