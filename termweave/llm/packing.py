@@ -37,7 +37,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a generation of each cache: chunks, words, tails.
-CACHE_CHUNKS = 100_000
+CACHE_CHUNKS = 60_000
 BLOCK_ROWS = 50_000
 #: Bytes of ids that a task of pack() holds to pack them together.
 BLOCK_BYTES = 8_000_000
@@ -95,6 +95,12 @@ class Encoder:
         self.chunks, self.words, self.tails = _Known(cache, self._chunk), _Known(cache, self._word), _Known(cache, self._whole)
         self.by_chunks = self._joined(_PROBE.encode()) == self._whole(_PROBE)
 
+    def forget(self) -> None:
+        """Empties the caches: a worker outlives its tasks, and the next stage needs the memory."""
+        for known in (self.chunks, self.words, self.tails):
+            known.clear()
+            known.old = {}
+
     def encode(self, text: bytes) -> bytes:
         return self._joined(text) if self.by_chunks else self._whole(text.decode("utf-8", "replace"))
 
@@ -164,6 +170,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, end
                 rows, held = [], 0
         if rows:
             yield made(batch.column("id"), rows)
+    enc.forget()
 
 
 # ---- bins --------------------------------------------------------------------------------------------------------
