@@ -51,6 +51,11 @@ def allowlist(scopes: DataFrame, ancestors: DataFrame, concepts: DataFrame, quer
     asked = scopes.select("ancestor").distinct()
     edges = ancestors.select(F.col("ancestor_concept_id").cast("long").alias("ancestor"), F.col("descendant_concept_id").cast("long").alias("concept_id"))
     edges = edges.join(asked, "ancestor", "left_semi").join(valid, "concept_id", "left_semi")
+    if most > 0:
+        # a scope that alone has more leaves its rows without a list: they go before anything is listed
+        wide = edges.distinct().groupBy("ancestor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("ancestor")
+        beyond = scopes.join(wide, "ancestor", "left_semi").select(query_id).distinct()
+        scopes, edges = scopes.join(beyond, query_id, "left_anti"), edges.join(wide, "ancestor", "left_anti")
     found = scopes.join(edges, "ancestor").select(query_id, "concept_id").distinct()
     if most <= 0:
         return found

@@ -108,3 +108,35 @@ def test_nearest_with_empty_sides(spark):
     assert [r["concept_id"] for r in search.nearest(q, v, 5).orderBy("retrieval_rank").collect()] == [1, 2]
     assert search.nearest(q.limit(0), v, 5).count() == 0
     assert search.nearest(q, v.limit(0), 5).count() == 0
+
+
+def test_allowlist_does_not_list_scopes_that_are_too_wide(spark):
+    """A scope of 3,000 concepts named by 400 rows would be 1,200,000 rows, all of which the cap drops."""
+    ids = spark.range(1, 3001).selectExpr("id AS concept_id", "'Drug' AS domain_id", "'S' AS standard_concept", "CAST(NULL AS STRING) AS invalid_reason")
+    # the same edge may stand there twice, and scope 8 has just as many as may be
+    edges = ids.selectExpr("7L AS ancestor_concept_id", "concept_id AS descendant_concept_id").unionByName(spark.range(2000).selectExpr("8L AS ancestor_concept_id", "id % 1000 + 1 AS descendant_concept_id"))
+    scopes = spark.range(401).selectExpr("id AS query_id", "explode(CASE WHEN id = 400 THEN array(8L) ELSE array(7L, 8L) END) AS ancestor")
+    found = scope.allowlist(scopes, edges, ids)
+    assert {tuple(r) for r in found.collect()} == {(400, i) for i in range(1, 1001)}
+    # what the joins of scopes and edges made
+    assert _most_rows(found) < 10_000
+
+
+def _most_rows(df) -> int:
+    """The most rows that a join or generator of df's plan made, once it has run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    seen, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if "Join" in name or "Generate" in name:
+            m = node.metrics().get("numOutputRows")
+            seen = max(seen, m.get().value() if m.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return seen
