@@ -63,9 +63,20 @@ def allowlist(scopes: DataFrame, ancestors: DataFrame, concepts: DataFrame, quer
     return found.join(fits, query_id, "left_semi")
 
 
-def scoped_first(candidates: DataFrame, allowed: DataFrame, query_id: str = "query_id", rank: str = "rank") -> DataFrame:
-    """candidates with atc_match; those allowed come first, each part in its order. Rows without an allowlist are unmoved."""
-    flags = allowed.select(F.col(query_id).alias("_q"), F.col("concept_id").alias("_id"), F.lit(True).alias("_in"))
-    df = candidates.join(flags, (candidates[query_id] == F.col("_q")) & (as_id(candidates["concept_id"]) == F.col("_id")), "left")
-    df = df.withColumn("atc_match", F.coalesce("_in", F.lit(False))).drop("_q", "_id", "_in")
+def scoped_first(candidates: DataFrame, allowed: DataFrame, query_id: str = "query_id", rank: str = "rank", edges: DataFrame | None = None) -> DataFrame:
+    """candidates with atc_match; those allowed come first, each part in its order. Rows without an allowlist are unmoved.
+
+    allowed is (query_id, concept_id). With edges (ancestor, concept_id) it is (query_id, ancestor), and allowed is what
+    those reach: a candidate's ancestors meet its query's, and the concepts of a query are never listed.
+    """
+    if edges is None:
+        flags = allowed.select(F.col(query_id).alias("_q"), F.col("concept_id").alias("_id"), F.lit(True).alias("_in"))
+        df = candidates.join(flags, (candidates[query_id] == F.col("_q")) & (as_id(candidates["concept_id"]) == F.col("_id")), "left")
+        df = df.withColumn("atc_match", F.coalesce("_in", F.lit(False))).drop("_q", "_id", "_in")
+    else:
+        above = edges.groupBy(F.col("concept_id").alias("_id")).agg(F.collect_set("ancestor").alias("_above"))
+        asked = allowed.groupBy(F.col(query_id).alias("_q")).agg(F.collect_set("ancestor").alias("_asked"))
+        df = candidates.join(above, as_id(candidates["concept_id"]) == F.col("_id"), "left")
+        df = df.join(asked, df[query_id] == F.col("_q"), "left")
+        df = df.withColumn("atc_match", F.coalesce(F.arrays_overlap("_above", "_asked"), F.lit(False))).drop("_q", "_id", "_above", "_asked")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("atc_match"), rank)))

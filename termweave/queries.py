@@ -455,9 +455,9 @@ SELECT query_id, concept_id, retrieval_rank, concept_id IN (SELECT concept_id FR
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY concept_id IN (SELECT concept_id FROM a WHERE a.query_id = c.query_id) DESC, rank) AS INTEGER) AS rank FROM c
 """)
 def scoped_first(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 50).alias("size"))
-    allowed = o.join(read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("size"), F.col("p_partkey").alias("concept_id")), "size").select("query_id", "concept_id").distinct()
-    df = scope.scoped_first(candidates_of(spark, sf_dir).withColumn("rank", F.col("retrieval_rank")), allowed)
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 50).alias("ancestor"))
+    edges = read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("ancestor"), F.col("p_partkey").alias("concept_id"))
+    df = scope.scoped_first(candidates_of(spark, sf_dir).withColumn("rank", F.col("retrieval_rank")), o, edges=edges)
     return df.select("query_id", "concept_id", "retrieval_rank", "atc_match", "rank")
 
 

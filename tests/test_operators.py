@@ -122,6 +122,36 @@ def test_allowlist_does_not_list_scopes_that_are_too_wide(spark):
     assert _most_rows(found) < 10_000
 
 
+def test_scoped_first_does_not_list_what_a_query_may_have(spark):
+    """300 queries of two scopes, of 3,000 and of 1,000 concepts: 900,000 pairs would be listed for 1,201 candidates."""
+    edges = spark.range(1, 3001).selectExpr("7L AS ancestor", "id AS concept_id").unionByName(spark.range(1, 1001).selectExpr("8L AS ancestor", "id AS concept_id"))
+    scopes = spark.range(300).selectExpr("id AS query_id", "explode(array(7L, 8L, 8L)) AS ancestor")
+    c = spark.range(301).selectExpr("id AS query_id", "explode(array(named_struct('concept_id', 9000L, 'rank', 1), named_struct('concept_id', 5L, 'rank', 2), named_struct('concept_id', NULL, 'rank', 3), named_struct('concept_id', 2000L, 'rank', 4))) AS c").select("query_id", "c.*")
+    df = scope.scoped_first(c, scopes, edges=edges)
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["concept_id"], r["atc_match"]))
+    assert all(got[q] == [(5, True), (2000, True), (9000, False), (None, False)] for q in range(300))
+    assert got[300] == [(9000, False), (5, False), (None, False), (2000, False)]
+    listed = scopes.join(edges, "ancestor").select("query_id", "concept_id").distinct()
+    assert {tuple(r) for r in scope.scoped_first(c, listed).collect()} == {tuple(r) for r in df.collect()}
+    assert _most_rows(df) < 10_000
+
+
+def test_scoped_first_query_stays_small(spark, sf, tmp_path):
+    """With twenty times the parts, the query listed twenty times the pairs, though there are no more candidates."""
+    from termweave.queries import QUERIES
+
+    for name in ("orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    more = part.crossJoin(spark.range(20).withColumnRenamed("id", "i")).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.col("i")).drop("i")
+    more.write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["scoped_first"](spark, str(tmp_path))
+    n = len(df.collect())
+    assert _most_rows(df) <= n
+
+
 def _most_rows(df) -> int:
     """The most rows that a join or generator of df's plan made, once it has run."""
     plan = df._jdf.queryExecution().executedPlan()
