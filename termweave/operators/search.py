@@ -61,6 +61,28 @@ def _units(raw: bytes, dim: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _top(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest of each row, to 12 digits, ties to the smaller column; what is no number is least.
+
+    The kth greatest of the maxima of runs of columns is no greater than the kth greatest of all: whatever lies below it
+    is never sorted.
+    """
+    n = near.shape[1]
+    if np.isnan(near).any():
+        near = np.where(np.isnan(near), -2.0, near)
+    if n > 8 * k:
+        most = np.maximum.reduceat(near, np.arange(0, n, n // (4 * k)), axis=1)
+        floor = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k]
+        # what rounds to the same as the floor is no less
+        row, col = np.nonzero(near >= (floor - 1e-11)[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(near.shape))
+    by = np.lexsort((col, -np.round(near[row, col], 12), row))
+    row, col = row[by], col[by]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], col[first]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "vector", id_col: str = "concept_id", vector_col: str | None = None, where: str | Column | None = None) -> DataFrame:
     """(query_id, id_col, distance, retrieval_rank): the k nearest vectors of each query, after `where`."""
     vectors = vectors if where is None else vectors.filter(where)
@@ -81,9 +103,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
                 if held != r["x_block"]:
                     held, ids, x = r["x_block"], np.frombuffer(b.column("ids")[i].as_py(), np.int64), _units(b.column("v")[i].as_py(), r["dim"])
                 # rounding so that equal vectors tie whatever the block's shape
-                near = np.round(_units(r["q"], r["dim"]) @ x.T, 12)
-                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(r["q_ids"], np.int64), top.shape[1])), pa.array(ids[top.ravel()]), pa.array(1.0 - np.take_along_axis(near, top, axis=1).ravel())], names=["query_id", "id", "distance"])
+                near = _units(r["q"], r["dim"]) @ x.T
+                row, col = _top(near, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["q_ids"], np.int64)[row]), pa.array(ids[col]), pa.array(1.0 - np.round(near[row, col], 12))], names=["query_id", "id", "distance"])
 
     found = pairs.select("x_block", "dim", "ids", "v", "q_ids", "q").mapInArrow(probe, "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")

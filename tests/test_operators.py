@@ -170,3 +170,12 @@ def _most_rows(df) -> int:
             seen = max(seen, m.get().value() if m.isDefined() else 0)
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return seen
+
+
+@pytest.mark.parametrize("n", [3, 40, 500])
+def test_top_is_that_of_a_full_sort(n):
+    r = np.random.default_rng(n)
+    for near in (r.standard_normal((20, n)), r.integers(0, 3, (20, n)) / 3.0, np.zeros((20, n)), np.where(r.random((20, n)) < 0.99, np.nan, 0.5)):
+        row, col = search._top(near, 5)
+        full = np.argsort(-np.round(near, 12), axis=1, kind="stable")[:, :5]
+        assert np.array_equal(col, full.ravel()) and np.array_equal(row, np.repeat(np.arange(20), full.shape[1]))
