@@ -111,7 +111,8 @@ def retrieve(queries: DataFrame, index: DataFrame, vector_col: str, o: Options,
     asked = queries.filter(F.col("query_norm") != "") if rerank else queries
     near = search.nearest(asked, index, max(o.candidate_topk, o.retrieval_topk) if rerank else o.candidate_topk, vector_col=vector_col, where=where)
     about = [c for c in KEPT if c in index.columns]
-    df = near.join(index.select(*about), "concept_id")
+    # an index that is small as a file need not be small as rows: it is never broadcast
+    df = near.join(index.select(*about).hint("merge"), "concept_id")
     if rerank is None:
         return (df.withColumn("_relevance_score", (1.0 - F.col("distance")).cast("float")) if o.cosine_relevance else df).drop("distance")
     df = relevance(df.join(queries.select("query_id", "query_norm"), "query_id"), rerank)
@@ -134,12 +135,17 @@ class WordVectors:
 def map_terms(spark: SparkSession, sheet: DataFrame, index: DataFrame, vector_col: str, o: Options, encode: Callable, rerank: Callable | None = None, concepts: DataFrame | None = None, ancestors: DataFrame | None = None, generate: Callable[[str], str] | None = None) -> Result:
     notes: list[str] = []
     queries = encoded(queries_of(sheet, o), "query_norm", encode)
-    df = retrieve(queries, index, vector_col, o, rerank, notes)
+    # rows that ask the same text have the same candidates in the same order: found once, for the first of them
+    asked = queries.groupBy("query_norm").agg(F.min("query_id").alias("query_id"))
+    own = queries.select("query_id", "query_norm").join(asked.select(F.col("query_id").alias("_asked"), F.col("query_norm").alias("_norm")), F.col("query_norm").eqNullSafe(F.col("_norm"))).select("query_id", "_asked")
+    asked = encoded(asked, "query_norm", encode)
+    df = retrieve(asked, index, vector_col, o, rerank, notes)
     df = scope.drop_classes(df, o.without_classes, concepts)
     if ranking.applies(o.post_mode, o.post_weight):
-        df = ranking.enriched(df, queries, mode=o.post_mode, weight=o.post_weight, w_strength=o.w_strength, w_text=o.w_text, w_brand=o.w_brand, minmax_within_query=o.minmax, eps=o.tiebreak_eps, topn=o.tiebreak_topn, brand_strict=o.brand_strict)
+        df = ranking.enriched(df, asked, mode=o.post_mode, weight=o.post_weight, w_strength=o.w_strength, w_text=o.w_text, w_brand=o.w_brand, minmax_within_query=o.minmax, eps=o.tiebreak_eps, topn=o.tiebreak_topn, brand_strict=o.brand_strict)
     else:
         df = ranking.plain(df)
+    df = own.join(df.withColumnRenamed("query_id", "_asked"), "_asked").select(*df.columns)
     if "final_score" not in df.columns:  # features without a relevance to blend with
         df = df.withColumn("final_score", F.lit(None).cast("double"))
     if ancestors is not None and concepts is not None and {"atc_ids", "atc_codes"} & set(sheet.columns):

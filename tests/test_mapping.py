@@ -212,3 +212,27 @@ def test_command_line_look_up(spark, index, capsys):
     assert main([*ask, "--expect-name", "ibuprofen 200 mg oral tablet"]) == 0
     assert "strength_sim" in capsys.readouterr().out
     assert main([*ask, "--expect-name", "another"]) == 1
+
+
+def test_rows_of_the_same_text_are_mapped_once(spark, monkeypatch):
+    """60 rows of two texts and of none: three searches, and every row has its candidates."""
+    from termweave.plans import mapping
+    from termweave.queries import Letters, LetterTokens
+    from termweave.sources.encoders import encoded
+
+    asked, real = [], mapping.retrieve
+    monkeypatch.setattr(mapping, "retrieve", lambda queries, *a: asked.append(queries.count()) or real(queries, *a))
+    names = ["aspirin 5 mg", "aspirin 10 mg [brand]", "codeine 5 mg", "ibuprofen"]
+    index = encoded(spark.createDataFrame([(i, n, n) for i, n in enumerate(names)], "concept_id long, concept_name string, profile_text string"), "profile_text", Letters())
+    sheet = spark.createDataFrame([(n,) for _ in range(20) for n in ("aspirin  5 mg", "Codeine 5 mg", None)], "sourceName string").repartition(5)
+    o = mapping.Options(candidate_topk=2, retrieval_topk=3, code_column=None)
+    got = mapping.map_terms(spark, sheet, index, "vector", o, Letters(), LetterTokens())
+    assert asked == [3] and got.errors.count() == 20
+    by = {}
+    for r in got.candidates.join(got.queries.select("query_id", "query_norm"), "query_id").collect():
+        by.setdefault((r["query_norm"], r["query_id"]), set()).add((r["rank"], r["concept_id"], r["final_score"]))
+    assert len(by) == 40 and len({(n, frozenset(c)) for (n, _), c in by.items()}) == 2
+    assert {c for (n, _), own in by.items() for k, c, _ in own if k == 1 and n.startswith("aspirin")} == {0}
+    # without a reranker empty texts are searched as well, as before
+    plain = mapping.map_terms(spark, sheet, index, "vector", o, Letters())
+    assert plain.candidates.groupBy("query_id").count().filter("count = 2").count() == 60
