@@ -301,7 +301,8 @@ def pair_features(spark, sf_dir):
     dealt = lambda x: x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "concept_id")
     q = ranking.side(dealt(d), "t", "q", False).select("concept_id", "q")
     c = ranking.side(dealt(d.withColumn("concept_id", F.col("concept_id") - 1)), "t", "c", True).select("concept_id", "c")
-    df = ranking.gated_score(ranking.pair_features(q.join(c, "concept_id")))
+    # a table that is small as a file is not small as rows that were read: neither side is ever broadcast
+    df = ranking.gated_score(ranking.pair_features(q.join(c.hint("merge"), "concept_id")))
     near = lambda c: F.round(c, 9).alias(c)
     return df.select("concept_id", near("strength_sim"), near("jaccard_text"), "brand_score", "release_score", "form_release_score", "form_route_score", near("post_score"))
 

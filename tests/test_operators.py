@@ -179,3 +179,11 @@ def test_top_is_that_of_a_full_sort(n):
         row, col = search._top(near, 5)
         full = np.argsort(-np.round(near, 12), axis=1, kind="stable")[:, :5]
         assert np.array_equal(col, full.ravel()) and np.array_equal(row, np.repeat(np.arange(20), full.shape[1]))
+
+
+def test_pairs_of_read_texts_are_not_broadcast(spark, sf):
+    """sf0.1 60 times over is 5 MB of parts as a file, but gigabytes of rows as structs: no side may go to the driver."""
+    from termweave.queries import QUERIES
+
+    plan = QUERIES["pair_features"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
