@@ -20,7 +20,8 @@ Search, over distinct fingerprints only:
 Similar texts (`similarity`): the same search over SimHashes of the distinct words proposes pairs, which are verified by
 the Jaccard similarity of their sets of shingles. What fingerprints do not bring together is completed exactly: of two
 sets that are similar, each has one of the other's first shingles in a common order (prefix filter), so pairs that share
-one and are not of one component yet are verified as well.
+one and are not of one component yet are verified as well. A sketch of each set bounds from below in how many shingles
+two sets differ; pairs that differ in too many by it are not similar, and never become rows.
 
 Null and blank texts have fingerprint zero, which links like any other. Texts of any length are read whole, hashes in
 blocks. Repeated rows give repeated results. An empty table gives an empty one. A null id takes part in links; a
@@ -56,7 +57,9 @@ SIDE_PAIRS = 256
 COUNT_BITS, COUNT_CHUNK = 20, 1 << 14
 #: Rounds that compare the rows of a shingle with one of them, before all that are still apart are compared, and rows of
 #: one side of a block in that.
-STAR_ROUNDS, PAIR_ROWS = 6, 256
+STAR_ROUNDS, PAIR_ROWS = 6, 2048
+#: Longs of a set's parity sketch.
+PARITY_LONGS = 16
 #: Pairs that are still apart, for each row of a shingle that is open, up to which they are compared at once.
 FEW_PAIRS = 16
 #: Shingles whose hashes are held at once.
@@ -478,24 +481,35 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndar
     return hashes[np.lexsort((hashes, counts[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))[: n - ceil(similarity * n - 1e-9) + 1]]
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """1,024 bits, each flipped by every shingle of a set that falls on it.
+
+    Shingles that two sets share flip the same bits, so that the sketches of two sets differ in at most as many bits as the
+    sets differ in shingles.
+    """
+    odd = np.bincount((hashes & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, carry: str, counts: np.ndarray, similarity: float, words: int) -> DataFrame:
-    """(id_col, carry, fp long, size int, prefix array<long>), one row per row: word fingerprint, shingles, the first of them."""
+    """(id_col, carry, fp long, size int, prefix array<long>, parity array<long>), one row per row: word fingerprint, shingles, the first of them, parity sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MB
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, sizes, firsts = [], [], []
+        fps, sizes, firsts, odd = [], [], [], []
         for t in batch.column("__text"):
             t = t.as_py()
             own = shingle_set(t, words)
             fps.append(word_fingerprint(t))
             sizes.append(len(own))
             firsts.append(prefix(own, sent.value, similarity).view(np.int64))
+            odd.append(parity(own))
         ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
         held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
-        return pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(carry), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), held], names=[id_col, carry, "fp", "size", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(carry), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), held, pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * PARITY_LONGS), pa.array(np.concatenate(odd)))], names=[id_col, carry, "fp", "size", "prefix", "parity"])
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, carry))
-    return map_batches(docs.select(id_col, carry, F.col(text_col).cast("binary").alias("__text")), run, f"{kept}fp long, size int, prefix array<long>")
+    return map_batches(docs.select(id_col, carry, F.col(text_col).cast("binary").alias("__text")), run, f"{kept}fp long, size int, prefix array<long>, parity array<long>")
 
 
 def _may_be(similarity: float, a: str, b: str) -> Column:
@@ -505,6 +519,12 @@ def _may_be(similarity: float, a: str, b: str) -> Column:
     return F.least(left(a), left(b)) + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
 
 
+def _may_differ_so(similarity: float, a: str, b: str) -> Column:
+    """Whether sets with such parity sketches can be that similar: of J(x, y) >= t, x and y differ in (1 - t) / (1 + t) (|x| + |y|) at most."""
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(PARITY_LONGS)))
+    return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
@@ -516,13 +536,14 @@ def _star_pairs(live: DataFrame, similarity: float, turn: int, rows: int) -> Dat
     return _ordered(pairs.filter("a.root <> b.root").filter(_may_be(similarity, "a", "b")))
 
 
-def _all_pairs(live: DataFrame, similarity: float) -> DataFrame:
-    """All rows of a token that are not of one component yet, in blocks."""
+def _all_pairs(live: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """All rows of a token that are not of one component yet, in blocks; parities (node, parity) keep pairs out that differ too much."""
+    live = live.join(parities, "node")
     blocks = F.ceil(F.col("k") / PAIR_ROWS).cast("int")
-    row = F.struct("node", "size", "pos", "root")
+    row = F.struct("node", "size", "pos", "root", "parity")
     a = live.select("token", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), row.alias("a"))
     b = live.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), row.alias("b"))
-    return _ordered(a.join(b, ["token", "block"]).filter("a.node < b.node and a.root <> b.root").filter(_may_be(similarity, "a", "b")))
+    return _ordered(a.join(b, ["token", "block"]).filter("a.node < b.node and a.root <> b.root").filter(_may_be(similarity, "a", "b")).filter(_may_differ_so(similarity, "a", "b")))
 
 
 class Verifier:
@@ -618,6 +639,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: flo
     some = with_hit(firsts, F.xxhash64("token"), key_bitmap(shared, F.xxhash64("token"), bits), bits).filter("__hit").drop("__hit")
     live = written(join_groups(some, shared, "token", "k", own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], "inner").drop("k"), "shared-prefixes")
 
+    idle = False
     for turn in range(STAR_ROUNDS + 1):
         sizes = roots.groupBy("root").agg(F.count("*").alias("together"))
         sizes = join_groups(roots, written(sizes, "root-sizes"), "root", "together", total, "inner")
@@ -629,14 +651,17 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: flo
         if not rows:
             break
         live = written(join_groups(live, held.select("token", "k"), "token", "k", rows, "inner"), "open-prefixes")
-        last = turn == STAR_ROUNDS or apart <= FEW_PAIRS * rows
-        pairs = _all_pairs(live, similarity) if last else _star_pairs(live, similarity, turn, rows)
+        # a round that linked nothing will hardly be followed by one that does
+        last = idle or turn == STAR_ROUNDS or apart <= FEW_PAIRS * rows
+        pairs = _all_pairs(live, own.select(F.col("__node").alias("node"), "parity"), similarity) if last else _star_pairs(live, similarity, turn, rows)
         for s in seen:
             pairs = pairs.join(s, ["a", "b"], "left_anti")
         pairs = written(pairs, "proposals")
         seen.append(pairs)
         similar.append(verified(pairs))
-        roots = written(components(reduce(DataFrame.unionByName, similar)), "roots")
+        idle = similar[-1].isEmpty()
+        if not idle:
+            roots = written(components(reduce(DataFrame.unionByName, similar)), "roots")
         if last:
             break
     rows = own.select(id_col, "__mark", "__node").join(roots.select(F.col("node").alias("__node"), "root"), "__node", "left")

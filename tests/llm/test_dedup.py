@@ -314,3 +314,27 @@ def test_spread(spark, tmp_path):
     busy = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
     one, many = (spread(spark.read.parquet(f"{tmp_path}/{n}")) for n in ("one", "many"))
     assert busy(one) == 8 and one.count() == 1000 and "Exchange" not in many._jdf.queryExecution().toString()
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(0)
+    for n, own in ((0, 3), (5, 0), (300, 40), (5000, 900)):
+        x, y, both = (np.unique(r.integers(0, 2**64, k, dtype=np.uint64)) for k in (own, own, n))
+        a, b = (simhash.parity(np.concatenate([both, v])) for v in (x, y))
+        assert simhash._popcount(a ^ b).sum() <= len(np.setxor1d(x, y))
+    assert not simhash.parity(np.zeros(0, np.uint64)).any()
+
+
+def test_a_group_of_half_similar_texts_does_not_become_pairs(spark, monkeypatch):
+    """120 texts that are 0.7 alike share first shingles: 7,140 pairs, of which the one that is similar is to be found."""
+    listed, real = [], simhash._all_pairs
+    monkeypatch.setattr(simhash, "_all_pairs", lambda *a: listed.append((df := real(*a)).count()) or df)
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(simhash, "links", lambda reps, radius: reps.sparkSession.createDataFrame([], "a long, b long"))
+    common = " ".join(f"common{i}" for i in range(134))
+    texts = [f"{common} " + " ".join(f"own{d}x{i}" for i in range(26)) for d in range(120)]
+    texts.append(texts[7].replace("own7x20", "another"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("__mark", F.xxhash64("text"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs, "doc_id", "text").collect()}
+    assert got == {i: 7 if i == 120 else i for i in range(121)}
+    assert len(listed) == 1 and listed[0] < 200
