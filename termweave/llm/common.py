@@ -72,6 +72,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes the scratch tables that `tables` read and nothing else does any more, and lets Spark remove the shuffles and broadcasts of plans that are gone."""
+    for folder in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, a table as it is read, over all cores: if fewer splits than cores hold rows (one large row group), it is dealt anew.
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, filter_bits, join_groups, key_bitmap, map_batches, shielded, table, tidy, with_hit, written
+from .common import bounded_batches, filter_bits, join_groups, key_bitmap, map_batches, released, shielded, table, tidy, with_hit, written
 from .components import components
 
 SEED = 42
@@ -403,14 +403,20 @@ def _verify(radius: int):
 
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, plan: Plan | None = None) -> DataFrame:
-    """fps (fp, distinct) to links (a, b) whose components are those of all pairs within the radius."""
+    """fps (fp, distinct) to links (a, b) whose components are those of all pairs within the radius. They read scratch tables of their own only."""
     plan = plan or best_plan(fps, radius)
     # values have 32 bits at most
     rows = written(probes(fps, plan).withColumn("key", F.shiftleft(F.col("part").cast("long"), 32) + F.col("value")), "probes")
-    size = rows.groupBy("key").agg(F.count_if("probe").alias("nq"), F.count_if(~F.col("probe")).alias("nx"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    # most keys hold one fingerprint alone, and nothing to compare
-    size = size.filter("nq > 0 and nx > 0 and lo <> hi").select("key", (F.col("nq") + F.col("nx")).alias("n"), F.ceil(F.col("nq") / bucket_rows).cast("int").alias("kq"), F.ceil(F.col("nx") / bucket_rows).cast("int").alias("kx"))
-    rows = join_groups(rows, written(size, "probed-keys"), "key", "n", rows.count(), "inner")
+    size = rows.groupBy("key").agg(F.count_if("probe").alias("nq"), F.count_if(~F.col("probe")).alias("nx")).withColumn("n", F.col("nq") + F.col("nx"))
+    # only buckets that are cut need their size beside each row: a bitmap tells them on the map side
+    large = written(size.filter(F.greatest("nq", "nx") > bucket_rows).select("key", "n", F.ceil(F.col("nq") / bucket_rows).cast("int").alias("kq"), F.ceil(F.col("nx") / bucket_rows).cast("int").alias("kx")), "large-buckets")
+    if n := large.count():
+        bits = filter_bits(n)
+        told = with_hit(rows, F.xxhash64("key"), key_bitmap(large, F.xxhash64("key"), bits), bits)
+        cut = join_groups(told.filter("__hit").drop("__hit"), large, "key", "n", rows.count()).drop("n")
+        rows = cut.unionByName(told.filter("not __hit").drop("__hit").withColumns({"kq": F.lit(1), "kx": F.lit(1)})).fillna(1, ["kq", "kx"]).filter("kq > 0 and kx > 0")
+    else:
+        rows = rows.withColumns({"kq": F.lit(1), "kx": F.lit(1)})
     slot = lambda k, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(k)).cast("int")
     every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
     rows = rows.select(
@@ -455,17 +461,25 @@ def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
             for t in b.column(0):
                 np.add.at(total, (shingle_set(t.as_py(), words) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         at = range(0, 1 << COUNT_BITS, COUNT_CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([np.minimum(total[i : i + COUNT_CHUNK], 2**32 - 1).astype(np.uint32).tobytes() for i in at])], names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array([narrow(total[i : i + COUNT_CHUNK]) for i in at])], names=["at", "n"])
+
+    def narrow(n: np.ndarray) -> bytes:
+        """In as few bytes a counter as its largest needs."""
+        n = np.minimum(n, 2**32 - 1)
+        return n.astype(np.min_scalar_type(int(n.max()))).tobytes()
+
+    def wide(n: bytes) -> np.ndarray:
+        return np.frombuffer(n, f"u{len(n) // COUNT_CHUNK}")
 
     def added(chunks: pa.Table) -> pa.Table:
         total = np.zeros(COUNT_CHUNK, np.int64)
         for n in chunks.column("n"):
-            total += np.frombuffer(n.as_py(), np.uint32)
-        return pa.table({"at": chunks.column("at")[:1], "n": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+            total += wide(n.as_py())
+        return pa.table({"at": chunks.column("at")[:1], "n": [narrow(total)]})
 
     out = np.zeros(1 << COUNT_BITS, np.uint32)
     for at, n in docs.select(F.col(text_col).cast("binary")).mapInArrow(tidy(run), "at int, n binary").groupBy("at").applyInArrow(added, "at int, n binary").collect():
-        out[at : at + COUNT_CHUNK] = np.frombuffer(n, np.uint32)
+        out[at : at + COUNT_CHUNK] = wide(n)
     return out
 
 
@@ -546,6 +560,34 @@ def _all_pairs(live: DataFrame, parities: DataFrame, similarity: float) -> DataF
     return _ordered(a.join(b, ["token", "block"]).filter("a.node < b.node and a.root <> b.root").filter(_may_be(similarity, "a", "b")).filter(_may_differ_so(similarity, "a", "b")))
 
 
+def _first_tokens(rows: DataFrame) -> DataFrame:
+    """(token, k): the tokens of rows (token, node, pos, ...) that several rows have; of those that the same rows have, the first in order.
+
+    A passage that texts share gives many such tokens. Two sets first meet at a token that is first of those of its rows, so
+    that the others tell nothing more. Rows are compared by 128 bits.
+    """
+    held = rows.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.sum("pos").alias("at")).filter("k > 1")
+    # one order of all shingles: the first has the least place in every row, and so the least sum
+    return held.groupBy("k", "x", "y").agg(F.min(F.struct("at", "token")).alias("first")).select("first.token", "k")
+
+
+def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs (a, b) whose rows are not of one component yet; a row without a root (node, root) is alone."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def _near_enough(pairs: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b), written, without those that differ too much by their sketches (node, size, parity); only those of rows in pairs are shuffled."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    bits = filter_bits(2 * pairs.count())
+    some = with_hit(parities, F.xxhash64("node"), key_bitmap(nodes, F.xxhash64("node"), bits), bits).filter("__hit")
+    for side in ("a", "b"):
+        pairs = pairs.join(some.select(F.col("node").alias(side), F.struct("size", "parity").alias(f"{side}_of")), side)
+    return pairs.filter(_may_differ_so(similarity, "a_of", "b_of")).select("a", "b")
+
+
 class Verifier:
     """Pairs (a, b) of rows, by the numbers of own (__node, id_col, __mark), to those that are similar.
 
@@ -556,13 +598,17 @@ class Verifier:
     def __init__(self, docs: DataFrame, own: DataFrame, id_col: str, text_col: str, similarity: float, words: int):
         self.docs, self.own, self.id_col, self.text_col, self.similarity, self.words = docs, own, id_col, text_col, similarity, words
         self.sets: DataFrame | None = None
+        self.scratch: list[DataFrame] = []
 
     def _made(self, nodes: DataFrame) -> DataFrame:
         keys = written(self.own.join(nodes, "__node", "left_semi").select("__node", F.col(self.id_col).alias("__id"), F.col("__mark").alias("__of")), "paired-rows")
         bits = filter_bits(keys.count())
         texts = with_hit(self.docs, _row_key(F.col(self.id_col), F.col("__mark")), key_bitmap(keys, _row_key(F.col("__id"), F.col("__of")), bits), bits).filter("__hit")
-        texts = texts.select(self.id_col, "__mark", F.col(self.text_col).cast("binary").alias("__text")).dropDuplicates([self.id_col, "__mark"])
-        texts = texts.join(keys, (F.col("__mark") == F.col("__of")) & F.col(self.id_col).eqNullSafe(F.col("__id"))).select("__node", "__text")
+        texts = texts.select(self.id_col, "__mark", F.col(self.text_col).cast("binary").alias("__text"))
+        # a set is that of its text, whatever the id; ids only deal the rows of a text that is frequent
+        dealt = lambda i: F.pmod(F.xxhash64(i), F.lit(16))
+        texts = texts.withColumn("__slot", dealt(self.id_col)).drop(self.id_col).dropDuplicates(["__mark", "__slot"])
+        texts = texts.join(keys.select(F.col("__of").alias("__mark"), dealt("__id").alias("__slot"), "__node"), ["__mark", "__slot"]).select("__node", "__text")
         words = self.words
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -573,13 +619,18 @@ class Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """pairs should be written: they are read more than once."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets, "__node", "left_anti")
-        new = self._made(nodes)
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct(), "paired-nodes")
+        n = nodes.count()
+        if not n:
+            return pairs
+        new = self._made(nodes if self.sets is None else nodes.join(self.sets.select("__node"), "__node", "left_anti"))
         self.sets = new if self.sets is None else self.sets.unionByName(new)
+        self.scratch.append(new)
+        # only sets of these pairs are shuffled
+        bits = filter_bits(n)
+        sets = with_hit(self.sets, F.xxhash64("__node"), key_bitmap(nodes, F.xxhash64("__node"), bits), bits).filter("__hit").drop("__hit")
         few = pairs.count() <= SIDE_PAIRS
-        found = self._beside(self._beside(pairs, "a", few), "b", few)
+        found = self._beside(self._beside(pairs, sets, "a", few), sets, "b", few)
         similarity = self.similarity
 
         def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -593,9 +644,9 @@ class Verifier:
 
         return written(map_batches(found.select("a", "b", "a_set", "b_set"), alike, "a long, b long"), "similar-pairs")
 
-    def _beside(self, pairs: DataFrame, side: str, few: bool) -> DataFrame:
+    def _beside(self, pairs: DataFrame, sets: DataFrame, side: str, few: bool) -> DataFrame:
         """pairs with the set of one side. A row's set goes once to each block of its pairs; few: there is but one block."""
-        sets = self.sets.select(F.col("__node").alias(side), F.col("__set").alias(f"{side}_set"))
+        sets = sets.select(F.col("__node").alias(side), F.col("__set").alias(f"{side}_set"))
         if few:
             return pairs.join(sets, side)
         often = pairs.groupBy(side).agg(F.count("*").alias("__n")).filter(F.col("__n") > SIDE_PAIRS).withColumn("__k", F.ceil(F.col("__n") / SIDE_PAIRS).cast("int"))
@@ -620,40 +671,63 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: flo
 
     All proposals are verified on whole sets, and only verified pairs make components.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     own = sketches(docs, id_col, text_col, "__mark", shingle_counts(docs, text_col, words), similarity, words)
     own = written(own.withColumn("__node", F.monotonically_increasing_id()), "sketches")
     verified, total = Verifier(docs, own, id_col, text_col, similarity, words), own.count()
 
     reps = written(own.groupBy("fp").agg(F.min("__node").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
     of = lambda c: reps.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low"))
-    across = links(reps, radius).join(of("a"), "a").join(of("b"), "b").select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b"))
+    linked = links(reps, radius)
+    across = linked.join(of("a"), "a").join(of("b"), "b").select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b"))
     within = join_groups(own.select("__node", "fp"), reps.filter("n > 1"), "fp", "n", total, "inner").filter("__node <> low").select(F.col("low").alias("a"), F.col("__node").alias("b"))
-    seen = [written(across.unionByName(within), "proposals")]
+    proposed = written(across.unionByName(within).distinct(), "proposals")
+    released(spark, linked)
+    del linked, across, within
+    # one pair of each row first: most others are of one component then
+    parities = own.select(F.col("__node").alias("node"), "size", "parity")
+    likely = written(_near_enough(proposed, parities, similarity), "proposals")
+    seen = [written(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "proposals")]
     similar = [verified(seen[0])]
     roots = written(components(similar[0]), "roots")
+    rest = written(_still_apart(likely, roots).join(seen[0], ["a", "b"], "left_anti"), "proposals")
+    seen.append(rest)
+    similar.append(verified(rest))
+    if not similar[-1].isEmpty():
+        roots = written(components(reduce(DataFrame.unionByName, similar)), "roots")
+    released(spark, proposed, likely)
 
     firsts = own.select(F.col("__node").alias("node"), "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = written(firsts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"), "shared-shingles")
+    shared = written(firsts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"), "shared-shingles")
     bits = filter_bits(shared.count())
-    some = with_hit(firsts, F.xxhash64("token"), key_bitmap(shared, F.xxhash64("token"), bits), bits).filter("__hit").drop("__hit")
-    live = written(join_groups(some, shared, "token", "k", own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], "inner").drop("k"), "shared-prefixes")
+    some = written(with_hit(firsts, F.xxhash64("token"), key_bitmap(shared, F.xxhash64("token"), bits), bits).filter("__hit").drop("__hit"), "shared-prefixes")
+    tokens = written(_first_tokens(some), "first-shingles")
+    bits = filter_bits(tokens.count())
+    live = with_hit(some, F.xxhash64("token"), key_bitmap(tokens, F.xxhash64("token"), bits), bits).filter("__hit").drop("__hit")
+    live = written(join_groups(live, tokens, "token", "k", tokens.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0], "inner").drop("k"), "first-prefixes")
+    whole, own = own, written(own.select(id_col, "__mark", "__node", "size", "parity"), "parities")
+    verified.own, parities = own, own.select(F.col("__node").alias("node"), "size", "parity")
+    del firsts
+    released(spark, whole, shared, some, tokens)
 
     idle = False
     for turn in range(STAR_ROUNDS + 1):
         sizes = roots.groupBy("root").agg(F.count("*").alias("together"))
         sizes = join_groups(roots, written(sizes, "root-sizes"), "root", "together", total, "inner")
-        live = live.drop("root", "together", "k").join(sizes, "node", "left").withColumns({"root": F.coalesce("root", "node"), "together": F.coalesce("together", F.lit(1).cast("long"))})
+        before, live = live, live.drop("root", "together", "k").join(sizes, "node", "left").withColumns({"root": F.coalesce("root", "node"), "together": F.coalesce("together", F.lit(1).cast("long"))})
         # tokens whose rows are of one component have nothing left to tell
         held = live.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("roots"))
         held = written(held.filter("roots > 1"), "open-shingles")
         rows, apart = held.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("within")) / 2), F.lit(0))).first()
         if not rows:
+            live = before
             break
         live = written(join_groups(live, held.select("token", "k"), "token", "k", rows, "inner"), "open-prefixes")
+        released(spark, before)
         # a round that linked nothing will hardly be followed by one that does
         last = idle or turn == STAR_ROUNDS or apart <= FEW_PAIRS * rows
-        pairs = _all_pairs(live, own.select(F.col("__node").alias("node"), "parity"), similarity) if last else _star_pairs(live, similarity, turn, rows)
+        pairs = _all_pairs(live, parities.drop("size"), similarity) if last else _near_enough(written(_star_pairs(live, similarity, turn, rows), "star-pairs"), parities, similarity)
         for s in seen:
             pairs = pairs.join(s, ["a", "b"], "left_anti")
         pairs = written(pairs, "proposals")
@@ -664,6 +738,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, similarity: flo
             roots = written(components(reduce(DataFrame.unionByName, similar)), "roots")
         if last:
             break
+    released(spark, live, *verified.scratch)
     rows = own.select(id_col, "__mark", "__node").join(roots.select(F.col("node").alias("__node"), "root"), "__node", "left")
     return _lowest(rows.select(id_col, "__mark", "root"), id_col, total).select(id_col, "__mark", "component_id")
 

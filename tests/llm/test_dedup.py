@@ -2,6 +2,7 @@
 
 import re
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termweave.llm import components, exact_dedup, simhash
+from termweave.llm import common, components, exact_dedup, simhash
 
 
 def norm(t):
@@ -340,3 +341,24 @@ def test_a_group_of_half_similar_texts_does_not_become_pairs(spark, monkeypatch)
     got = {r["component_id"] for r in simhash.similar_classes(docs, "doc_id", "text").collect()}
     assert got == slow_similar(texts) and 120 not in got
     assert len(listed) == 1 and listed[0] < 500
+
+
+def test_a_passage_that_texts_share_is_told_once(spark, monkeypatch):
+    """Two texts of a common passage share many first shingles, which tell the same; the first is enough."""
+    counted = []
+    monkeypatch.setattr(simhash, "_all_pairs", lambda live, *a, f=simhash._all_pairs: counted.append(live.count()) or f(live, *a))
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    texts = {0: f"{words('a', 16)} {words('p', 100)}", 1: f"{words('b', 16)} {words('p', 100)}", 2: words("c", 60)}
+    assert similar_kept(spark, texts) == slow_similar(texts) == {0, 1, 2}
+    assert counted == [2]
+
+
+def test_similar_drop_removes_scratch_tables(spark):
+    """Large tables go as soon as nothing reads them any more."""
+    listed = lambda: {p.name for p in Path(common._own_scratch(spark).removeprefix("file://")).glob("*")}
+    texts = {k: "a b c d e f g h " * 9 + f"x{k % 3}" for k in range(20)}
+    common.scratch_path(spark, "any")
+    before = listed()
+    assert similar_kept(spark, texts) == slow_similar(texts)
+    left = {n.rpartition("-")[0] for n in listed() - before}
+    assert left and not left & {"probes", "sketches", "shared-shingles", "shared-prefixes", "shingle-sets"}
