@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import as_id, code_list, id_list
 from .profiles import is_valid
 
+#: Rows or concepts of a block; a task holds what two blocks list, some square of it, at a time.
+BLOCK = 256
+
 
 def with_class(candidates: DataFrame, concepts: DataFrame) -> DataFrame:
     """candidates with concept_class_id, null where a concept is not known."""
@@ -56,13 +59,32 @@ def allowlist(scopes: DataFrame, ancestors: DataFrame, concepts: DataFrame, quer
         wide = edges.distinct().groupBy("ancestor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("ancestor")
         beyond = scopes.join(wide, "ancestor", "left_semi").select(query_id).distinct()
         scopes, edges = scopes.join(beyond, query_id, "left_anti"), edges.join(wide, "ancestor", "left_anti")
-    found = scopes.join(edges, "ancestor").select(query_id, "concept_id").distinct()
+    found = _listed(scopes, edges, query_id)
     if most <= 0:
         return found
     fits = found.groupBy(query_id).agg(F.count("*").alias("n")).filter(F.col("n") <= most).select(query_id)
     return found.join(fits, query_id, "left_semi")
 
 
+def _blocks(pairs: DataFrame, member: str, name: str) -> DataFrame:
+    """(name_set, name): members that have the same set of ancestors, in blocks of about BLOCK."""
+    sets = pairs.filter("ancestor IS NOT NULL").groupBy(member).agg(F.array_sort(F.collect_set("ancestor")).alias(f"{name}_set"))
+    n = sets.groupBy(f"{name}_set").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    part = F.pmod(F.xxhash64(member), F.col("_n"))
+    # by way of a struct, as lists drop nulls
+    return sets.join(n, f"{name}_set").groupBy(f"{name}_set", part.alias("_part")).agg(F.collect_list(F.struct(member))[member].alias(name)).drop("_part")
+
+
+def _listed(scopes: DataFrame, edges: DataFrame, query_id: str) -> DataFrame:
+    """Distinct (query_id, concept_id) that share an ancestor: blocks meet once, by the least they share, and are listed where they are dealt to."""
+    asked, below = _blocks(scopes, query_id, "_asked"), _blocks(edges, "concept_id", "_below")
+    asked, below = asked.withColumn("ancestor", F.explode("_asked_set")), below.withColumn("ancestor", F.explode("_below_set"))
+    once = F.array_min(F.array_intersect("_asked_set", "_below_set")) == F.col("ancestor")
+    met = asked.join(below.hint("merge"), "ancestor").filter(once).select("_asked", "_below")
+    met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_asked", "_below"))
+    return met.select(F.explode("_asked").alias(query_id), "_below").select(query_id, F.explode("_below").alias("concept_id"))
+
+
 def scoped_first(candidates: DataFrame, allowed: DataFrame, query_id: str = "query_id", rank: str = "rank", edges: DataFrame | None = None) -> DataFrame:
     """candidates with atc_match; those allowed come first, each part in its order. Rows without an allowlist are unmoved.
 

@@ -445,9 +445,9 @@ def scope_nodes(spark, sf_dir):
     return _scopes(spark, sf_dir)
 
 
-@query(f"WITH {_SCOPES} SELECT query_id, concept_id FROM allowed WHERE query_id IN (SELECT query_id FROM allowed GROUP BY 1 HAVING count(*) <= 1000)")
+@query(f"WITH {_SCOPES} SELECT query_id, concept_id FROM allowed")
 def scope_allowlist(spark, sf_dir):
-    return scope.allowlist(_scopes(spark, sf_dir), derived(spark, sf_dir, "part", ANCESTOR), concepts_of(spark, sf_dir), most=1000)
+    return scope.allowlist(_scopes(spark, sf_dir), derived(spark, sf_dir, "part", ANCESTOR), concepts_of(spark, sf_dir), most=0)
 
 
 @query(f"""

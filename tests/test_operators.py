@@ -187,3 +187,16 @@ def test_pairs_of_read_texts_are_not_broadcast(spark, sf):
 
     plan = QUERIES["pair_features"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_allowlist_without_cap_lists_each_pair_once(spark, monkeypatch):
+    """Scopes overlap, edges and scopes repeat, and sets of rows and of concepts take several blocks."""
+    monkeypatch.setattr(scope, "BLOCK", 4)
+    ids = spark.range(100).selectExpr("id AS concept_id", "CASE WHEN id = 50 THEN 'Device' ELSE 'Drug' END AS domain_id", "'S' AS standard_concept", "CAST(NULL AS STRING) AS invalid_reason")
+    above = {i: {7, 8} if i < 40 else {8} if i < 70 else {9, 10, 7} if i < 90 else {11} for i in range(100)}
+    edges = spark.createDataFrame([(a, i) for i, s in above.items() for a in s] * 2 + [(None, 1), (7, None), (7, 1000)], "ancestor_concept_id long, descendant_concept_id long")
+    asked = {q: {7, 8} if q < 30 else {8, 9, 10} if q < 33 else {12} if q < 35 else {7} for q in range(40)} | {None: {11}}
+    scopes = spark.createDataFrame([(q, a) for q, s in asked.items() for a in s] + [(3, 7), (4, None)], "query_id long, ancestor long")
+    want = {(q, i) for q, s in asked.items() for i, a in above.items() if s & a and i != 50}
+    found = [tuple(r) for r in scope.allowlist(scopes, edges, ids, most=0).collect()]
+    assert len(found) == len(want) and set(found) == want

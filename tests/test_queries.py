@@ -33,3 +33,21 @@ def test_entry_without_what_the_operators_need(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", code, str(tmp_path), root], capture_output=True, text=True, check=True, timeout=120).stdout.split()
     assert int(out[0]) == len(queries.QUERIES) and out[1] == "False"
+
+
+def test_scope_allowlist_keeps_wide_scopes(spark, tmp_path):
+    """Rows that name a scope of thousands of concepts have them all, as rows of narrow scopes do."""
+    import duckdb
+
+    parts = spark.range(7000).selectExpr("id AS p_partkey", "'name' AS p_name", "'Brand#1' AS p_brand", "'PROMO' AS p_type", "CAST(CASE WHEN id < 6900 THEN 7 ELSE 9 END AS INT) AS p_size")
+    rows = spark.sql("SELECT * FROM VALUES (57L, 7), (7L, 9), (9L, 9), (11L, 12) AS t(s_suppkey, s_nationkey)")
+    con = duckdb.connect()
+    for name, df in (("part", parts), ("supplier", rows)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in queries.QUERIES["scope_allowlist"](spark, str(tmp_path)).collect())
+    valid = [i for i in range(7000) if i % 5 and i % 7 and i % 11]
+    wide, narrow = [i for i in valid if i < 6900], [i for i in valid if i >= 6900]
+    assert len(wide) > 4000
+    assert found == sorted([(q, i) for q in (57, 7) for i in wide] + [(q, i) for q in (7, 9) for i in narrow])
+    assert found == sorted(con.sql(queries.ORACLES["scope_allowlist"]).fetchall())
